@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locuskit.llm import exact_dedup
+from locuskit.llm import exact_dedup, packing, pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_packing": packing.op4_packing,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {

@@ -48,3 +48,22 @@ def row_of(df: DataFrame, alias: str = "row") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Python operators work on about this many characters of text at a time.
+BATCH_CHARS = 2_000_000
+
+
+def text_batches(batches, chars: int = BATCH_CHARS):
+    """(ids, texts) lists of about `chars` characters from Arrow batches of (id, text); one text may be longer."""
+    for batch in batches:
+        ids, texts, held = [], [], 0
+        for i, t in zip(batch.column(0), batch.column(1), strict=True):
+            ids.append(i.as_py())
+            texts.append(t.as_py())
+            held += len(texts[-1])
+            if held >= chars:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+        if ids:
+            yield ids, texts
