@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locuskit.llm import exact_dedup, packing, pieces
+from locuskit.llm import exact_dedup, ngram_join, packing, pieces, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_embedding_near_dedup": vector_dedup.op3_embedding_near_dedup,
     "op4_packing": packing.op4_packing,
+    "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 

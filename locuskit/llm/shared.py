@@ -25,11 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as Parquet under the shared folder and read it back: cuts lineage, survives lost executors."""
+def stash_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write `df` as Parquet under the shared folder and read it back: cuts lineage, survives lost executors. Also its path."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stash(df: DataFrame, label: str) -> DataFrame:
+    return stash_at(df, label)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a stashed table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
