@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locuskit.llm import exact_dedup, ngram_join, packing, pieces, vector_dedup
+from locuskit.llm import chat, exact_dedup, ngram_join, packing, pieces, quality, url_filter, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_url_filter": url_filter.op2_url_filter,
     "op3_embedding_near_dedup": vector_dedup.op3_embedding_near_dedup,
     "op4_packing": packing.op4_packing,
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
+    "op7_quality": quality.op7_quality,
+    "op8_chat_formatting": chat.op8_chat_formatting,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op2_url_filter": url_filter.ORACLE,
+    "op8_chat_formatting": chat.ORACLE,
 }
