@@ -48,13 +48,10 @@ def _splitters(rows: DataFrame, ranges: int) -> list[dict]:
 
 
 def _range_of(keys: Column, key: Column, n: int) -> Column:
-    """Number of splitters at or below the key, by binary search over the constant array."""
-    steps = [1 << b for b in reversed(range(max(1, n).bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda lo, step: F.when(F.get(keys, lo + step - F.lit(1)) <= key, lo + step).otherwise(lo),
-    )
+    """Number of splitters at or below the key, by binary search over the constant array; the key is computed once."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, n).bit_length()))])
+    search = lambda k: F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get(keys, lo + step - F.lit(1)) <= k, lo + step).otherwise(lo))
+    return F.get(F.transform(F.array(key), search), F.lit(0))
 
 
 def _sorted_runs(df: DataFrame, id_col: str, text_col: str, carry: bool) -> tuple[DataFrame, DataFrame]:
