@@ -60,12 +60,14 @@ def _sorted_runs(df: DataFrame, id_col: str, text_col: str, carry: bool) -> tupl
     The second table has a few rows per range: its size follows the number of ranges, not of rows.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([row_of(df)] if carry else []))
+    # The text crosses the network once: with the row, where rows are asked for.
+    rows = df.select(F.col(id_col).cast("long").alias("id"), row_of(df if carry else df.select(text_col)))
+    text = F.col("row")[text_col].cast("string")
     ranges = max(2, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = _splitters(rows.select("id", "text"), ranges)
+    found = _splitters(rows.select("id", text.alias("text")), ranges)
     keys = F.from_json(F.lit(json.dumps(found)), _KEYS)
 
-    norm = normalised(F.col("text"))
+    norm = normalised(text)
     # The sort needs the normalised text, but only the original crosses the network.
     ranged = rows.withColumn("part", _range_of(keys, _key(norm, F.col("id")), len(found))).repartition("part").withColumn("norm", norm)
     order = W.partitionBy("part").orderBy("norm", F.col("id").asc_nulls_last())
