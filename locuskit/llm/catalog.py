@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locuskit.llm import chat, exact_dedup, ngram_join, packing, pieces, quality, url_filter, vector_dedup
+from locuskit.llm import chat, edit_counts, exact_dedup, ngram_join, packing, pieces, pii, quality, url_filter, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -14,8 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_near_dedup": vector_dedup.op3_embedding_near_dedup,
     "op4_packing": packing.op4_packing,
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
+    "op6_token_counts": edit_counts.op6_token_counts,
     "op7_quality": quality.op7_quality,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_pii": pii.op9_pii,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locuskit.llm.graph import components
-from locuskit.llm.shared import discard, stash, stash_at, table, text_batches, text_or_empty
+from locuskit.llm.shared import discard, small, stash, stash_at, table, text_batches, text_or_empty
 
 #: Counters of the frequency sketch (fixed: 16 MB), and of one slice of it.
 SKETCH, SLICE = 1 << 22, 1 << 15
@@ -357,8 +357,8 @@ def similar(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
 
 def keep_one(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows, with all their columns, that have the smallest id of their component; rows without id stay."""
-    found = similar(df, size, percent, id_col, text_col).filter("id <> component_id").select("id").distinct()
-    return df.join(found.withColumnRenamed("id", "__dropped"), df[id_col].cast("long") == F.col("__dropped"), "left_anti")
+    found = stash(similar(df, size, percent, id_col, text_col).filter("id <> component_id").select(F.col("id").alias("__dropped")).distinct(), "dropped")
+    return df.join(small(found), df[id_col].cast("long") == F.col("__dropped"), "left_anti")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
