@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from locuskit.llm.shared import table, text_batches, text_or_empty
 
 MAX_LENGTH, END_ID = 4096, 2
-#: Distinct words whose ids a task remembers, and the longest word that it remembers.
+#: Distinct words whose ids a task remembers in each of two generations, and the longest word that it remembers.
 CACHE_WORDS, CACHE_CHARS = 400_000, 48
 #: Sequence ids: the bucket's bits stand above this many bits of row number.
 ROW_BITS = 58
@@ -37,13 +37,17 @@ class WordEncoder:
 
     def __init__(self, path: str):
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        # For words that are already cut and lower-cased: the same merges, without normalising and offsets.
+        self.cut = Tokenizer(self.whole.model)
+        self.cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.whole.get_vocab_size(), dtype=bool)
         self.ends[[i for w, i in self.whole.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
@@ -55,7 +59,7 @@ class WordEncoder:
         """Ids of distinct words by one call of the library; each word's last id is one that ends words."""
         import numpy as np
 
-        ids = np.asarray(self.whole.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.asarray(self.cut.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
             return {w: self._packed(self.whole.encode(w, add_special_tokens=False).ids) for w in words}
@@ -67,16 +71,21 @@ class WordEncoder:
         cut = [t.lower().split() if q else () for t, q in zip(texts, quick, strict=True)]
         need = set().union(*cut)
         known = self.known
-        if missing := [w for w in need if w not in known]:
-            if len(known) + len(missing) > CACHE_WORDS:
-                known = {w: known[w] for w in need if w in known}
-            parts = [_WORD.findall(w) for w in missing]
-            words = self._words(list(set().union(*parts)))
-            known.update((w, b"".join(map(words.__getitem__, p))) for w, p in zip(missing, parts, strict=True))
+        missing = need.difference(known)
+        if missing and (again := missing.intersection(self.older)):
+            known.update((w, self.older[w]) for w in again)
+            missing -= again
+        if missing:
+            cuts = {w: _WORD.findall(w) for w in missing}
+            words = self._words(list(set().union(*cuts.values())))
+            known.update((w, words[p[0]] if len(p) == 1 else b"".join(map(words.__getitem__, p))) for w, p in cuts.items())
         out = [b"".join(map(known.__getitem__, c)) if q else self._packed(self.whole.encode(t, add_special_tokens=False).ids) for t, q, c in zip(texts, quick, cut, strict=True)]
-        if len(known) > CACHE_WORDS or any(len(w) > CACHE_CHARS for w in missing):
-            known = {w: i for w, i in known.items() if len(w) <= CACHE_CHARS} if len(known) <= CACHE_WORDS else {}
-        self.known = known
+        if len(known) > CACHE_WORDS:
+            self.known, self.older = {}, {w: i for w, i in known.items() if len(w) <= CACHE_CHARS} if len(known) <= 2 * CACHE_WORDS else {}
+        else:
+            for w in missing:
+                if len(w) > CACHE_CHARS:
+                    del known[w]
         return out
 
     def encode(self, text: str) -> bytes:
