@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from locuskit.plans import structure  # noqa: F401
+from locuskit.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "p01_span"
 
-FLAGSHIP = "region_rows"
-
-
-def region_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name")
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"region_rows": region_rows}
-ORACLES: dict[str, str] = {"region_rows": "SELECT r_regionkey, r_name FROM region"}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
