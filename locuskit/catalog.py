@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from locuskit.plans import structure  # noqa: F401
+from locuskit.plans import decisions, evidence, release, structure  # noqa: F401
 from locuskit.plans.registry import ORACLES, QUERIES
 
-FLAGSHIP = "p01_span"
+FLAGSHIP = "a07_model_junction_support"
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -5,10 +5,11 @@ Spark groups by locus, gap or namespace; the sequential rule inside one of these
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Genes on the larger side of a locus up to which all assignments are weighed; beyond it the best pair is taken in turn.
 EXACT_SIDE = 12
@@ -47,14 +48,18 @@ def best_pairs(scores: dict[tuple[str, str], tuple]) -> list[tuple[str, str]]:
 
 
 def assign(scores: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """Assigned pairs (`by`, old_id, new_id) from rows (`by`, old_id, new_id, score columns), one small group per locus."""
+    """Assigned pairs (`by`, old_id, new_id) from rows (`by`, old_id, new_id, score columns).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = {(r[0], r[1]): tuple(r[2:]) for r in pdf[["old_id", "new_id", *columns]].itertuples(index=False, name=None)}
-        return pd.DataFrame([(pdf[by].iloc[0], o, n) for o, n in best_pairs(table)], columns=[by, "old_id", "new_id"])
+    The rows of a locus, a few by nature, become one array; Python then takes many loci at a time in Arrow batches.
+    """
+    grouped = scores.groupBy(by).agg(F.collect_list(F.struct("old_id", "new_id", *columns)).alias("rows"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(key, o, n) for key, rows in zip(pdf[by], pdf["rows"], strict=True) for o, n in best_pairs({(r["old_id"], r["new_id"]): tuple(int(r[c]) for c in columns) for r in rows})]
+            yield pd.DataFrame(out, columns=[by, "old_id", "new_id"])
 
-    kind = scores.schema[by].dataType.simpleString()
-    return scores.groupBy(by).applyInPandas(run, f"{by} {kind}, old_id string, new_id string")
+    return grouped.mapInPandas(run, f"{by} {scores.schema[by].dataType.simpleString()}, old_id string, new_id string")
 
 
 def free_numbers(low: int | None, high: int | None, count: int, taken: Iterable[int], step: int = 10) -> list[int]:
@@ -80,15 +85,16 @@ def free_numbers(low: int | None, high: int | None, count: int, taken: Iterable[
 
 
 def allocate(gaps: DataFrame, by: str) -> DataFrame:
-    """(`by`, new_id, number) for rows (`by`, low, high, taken array, new_id, place): numbers in each gap in order of place."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["place", "new_id"])
-        bound = lambda c: None if pd.isna(pdf[c].iloc[0]) else int(pdf[c].iloc[0])
-        taken = pdf["taken"].iloc[0]
-        numbers = free_numbers(bound("low"), bound("high"), len(pdf), [] if taken is None else taken)
-        numbers += [None] * (len(pdf) - len(numbers))
-        return pd.DataFrame({by: pdf[by], "new_id": pdf["new_id"], "number": pd.array(numbers, dtype="Int64")})
-
-    kind = gaps.schema[by].dataType.simpleString()
-    return gaps.groupBy(by).applyInPandas(run, f"{by} {kind}, new_id string, number long")
+    """(`by`, new_id, number) for rows (`by`, low, high, taken array, new_id, place): numbers in each gap in order of place;
+    null where a gap is full."""
+    grouped = gaps.groupBy(by).agg(F.first("low").alias("low"), F.first("high").alias("high"), F.first("taken").alias("taken"), F.array_sort(F.collect_list(F.struct("place", "new_id"))).alias("rows"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, low, high, taken, rows in pdf[[by, "low", "high", "taken", "rows"]].itertuples(index=False, name=None):
+                numbers = free_numbers(None if pd.isna(low) else int(low), None if pd.isna(high) else int(high), len(rows), [] if taken is None else taken)
+                out += [(key, r["new_id"], n) for r, n in zip(rows, [*numbers, *[None] * (len(rows) - len(numbers))], strict=True)]
+            yield pd.DataFrame(out, columns=[by, "new_id", "number"]).astype({"number": "Int64"})
+
+    return grouped.mapInPandas(run, f"{by} {gaps.schema[by].dataType.simpleString()}, new_id string, number long")

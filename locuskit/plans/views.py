@@ -74,7 +74,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH exon AS (
+WITH exon AS MATERIALIZED (
   SELECT l_orderkey AS tx_id, 'chr' || ((l_orderkey // 4) % 5) AS seqid,
          CASE l_orderkey % 4 WHEN 0 THEN 'current' WHEN 1 THEN 'ToolA' WHEN 2 THEN 'ToolB' ELSE 'ToolC' END AS source,
          CASE o_orderstatus WHEN 'F' THEN '+' WHEN 'O' THEN '-' ELSE '.' END AS strand, 'g' || o_custkey AS gene_id, rn AS exon_no,
@@ -82,12 +82,12 @@ WITH exon AS (
          l_suppkey AS part, 's' || l_linenumber AS sample, CAST(l_quantity AS BIGINT) AS reads
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem)
   JOIN orders ON l_orderkey = o_orderkey),
-tx AS (SELECT tx_id, seqid, source, strand, gene_id, min(s) AS s, max(e) AS e, count(*) AS n FROM exon GROUP BY ALL),
-pair AS (SELECT *, lag(e) OVER (PARTITION BY tx_id ORDER BY s, e) + 1 AS gs, s - 1 AS ge FROM exon),
-intron AS (SELECT tx_id, seqid, source, strand, gene_id, gs AS s, ge AS e FROM pair WHERE gs < ge),
-cds AS (SELECT tx_id, seqid, source, strand, gene_id, s, e - 1 AS e FROM exon WHERE exon_no <= 4 AND e > s),
+tx AS MATERIALIZED (SELECT tx_id, seqid, source, strand, gene_id, min(s) AS s, max(e) AS e, count(*) AS n FROM exon GROUP BY ALL),
+pair AS MATERIALIZED (SELECT *, lag(e) OVER (PARTITION BY tx_id ORDER BY s, e) + 1 AS gs, s - 1 AS ge FROM exon),
+intron AS MATERIALIZED (SELECT tx_id, seqid, source, strand, gene_id, gs AS s, ge AS e FROM pair WHERE gs < ge),
+cds AS MATERIALIZED (SELECT tx_id, seqid, source, strand, gene_id, s, e - 1 AS e FROM exon WHERE exon_no <= 4 AND e > s),
 observed AS (SELECT seqid, gs AS s, ge AS e, strand, sample, reads, reads % 40 + 5 AS hang FROM pair WHERE gs < ge AND part % 3 = 0),
-junction AS (SELECT seqid, s, e, strand, sum(reads)::BIGINT AS reads, max(hang) AS hang, count(DISTINCT sample) AS samples, string_agg(DISTINCT sample, ',' ORDER BY sample) AS names FROM observed GROUP BY ALL),
-hit AS (SELECT event_id AS hit_id, 'chr' || (((event_id * 375 + 1) // 1000) % 5) AS seqid, event_id * 375 + 1 AS s, event_id * 375 + 200 + user_id % 300 AS e,
+junction AS MATERIALIZED (SELECT seqid, s, e, strand, sum(reads)::BIGINT AS reads, max(hang) AS hang, count(DISTINCT sample) AS samples, string_agg(DISTINCT sample, ',' ORDER BY sample) AS names FROM observed GROUP BY ALL),
+hit AS MATERIALIZED (SELECT event_id AS hit_id, 'chr' || (((event_id * 375 + 1) // 1000) % 5) AS seqid, event_id * 375 + 1 AS s, event_id * 375 + 200 + user_id % 300 AS e,
                CASE event_type WHEN 'click' THEN '+' WHEN 'view' THEN '-' ELSE '.' END AS strand FROM events),
 """
