@@ -1,10 +1,11 @@
 """N-gram Jaccard join by adaptive multi-match prefixes.
 
 Every document is the set of its distinct word n-grams, kept as 64-bit hashes. All grams have one order: by estimated
-frequency, then hash. If two sets are similar enough to link, their prefixes of length n - ceil(t n) + l share at least l
-grams; l is chosen per document where the estimated cost of reading postings and verifying candidates is least, and a pair
-needs min(l, l') shared prefix grams before it is verified. Frequencies come from a counting sketch of fixed size over all
-grams; errors of the sketch change the cost, not the result.
+frequency, then hash. If two sets are similar enough to link, their prefixes of length p = n - ceil(t n) + l share at least l
+grams; l is chosen per document where the estimated cost of reading postings and verifying candidates is least. A pair needs
+min(l, l') shared prefix grams before it is verified, and so many that the rest of the documents can still reach the overlap:
+the grams that both have up to the end of the earlier prefix are all counted, and of those behind it there are n - p at most.
+Frequencies come from a counting sketch of fixed size over all grams; errors of the sketch change the cost, not the result.
 
 Documents with equal sets are one class. Classes that are already connected need no further comparison, so each posting
 list first proposes short chains (neighbours, and its best-connected member); verified links are contracted, and only
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locuskit.llm.graph import components
-from locuskit.llm.shared import discard, small, stash, stash_at, table, text_batches, text_or_empty
+from locuskit.llm.shared import BROADCAST_ROWS, discard, small, stash, stash_at, table, text_batches, text_or_empty
 
 #: Counters of the frequency sketch (fixed: 16 MB), and of one slice of it.
 SKETCH, SLICE = 1 << 22, 1 << 15
@@ -30,7 +31,7 @@ LONGEST, VERIFY_COST = 8, 20.0
 #: Members of a posting list compared with each other in one go; longer lists are split into pairs of blocks.
 BLOCK = 2048
 #: Rounds of chains before the full enumeration, at most; they end earlier when one brings no link.
-CHAIN_ROUNDS = 6
+CHAIN_ROUNDS = 2
 
 
 @functools.lru_cache(maxsize=1)
@@ -78,10 +79,10 @@ def gram_sets(texts: list[str], size: int) -> list:
         if n >= size:
             out.append(np.unique(grams[at : at + n - size + 1]))
         elif n:
-            short = np.uint64(n)
-            for h in flat[at : at + n]:
-                short = _mix(np.atleast_1d(short))[0] + h
-            out.append(_mix(np.atleast_1d(short)))
+            short = np.full(1, n, dtype="u8")
+            for i in range(at, at + n):
+                short = _mix(short) + flat[i : i + 1]
+            out.append(_mix(short))
         else:
             out.append(grams[:0])
         at += n
@@ -265,6 +266,11 @@ def _verified(batches: Iterator, size: int, percent: int) -> Iterator:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links among the pairs (a written table). Only the texts that pairs name take part in the two joins."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if pairs.count() <= BROADCAST_ROWS // 2:
+        named = F.broadcast(named)
+    texts = texts.join(named, "id", "left_semi")
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
     two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
     return two.mapInArrow(lambda x: _verified(x, size, percent), "a long, b long")
@@ -284,19 +290,28 @@ def _mixed(index: DataFrame) -> DataFrame:
     return index.join(mixed, "gram", "left_semi")
 
 
-def _proposals(index: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """One pair for each document at most: with the representative of another component that shares most prefix grams.
+def _needed(na: str, nb: str, la: str, lb: str, percent: int) -> str:
+    """Shared prefix grams that a pair needs, as SQL: l of the shorter extension, and what the remaining grams can't supply."""
+    overlap = f"ceil({percent} * ({na} + {nb}) / {100 + percent})"
+    rest = lambda n, l: f"(ceil({percent} * {n} / 100) - {l})"
+    return f"greatest(least({la}, {lb}), {overlap} - greatest({rest(na, la)}, {rest(nb, lb)}))"
+
+
+def _proposals(index: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs of a document and a representative of another component that share many of the prefix grams a link needs.
 
     Each gram's postings are joined with two of its members: those of the largest and of the smallest set of
     (component size, id). Both are aggregates, so a long posting list needs no sort and no window.
     """
     sizes = index.select("id", "comp").distinct().groupBy("comp").agg(F.count("*").alias("weight"))
     weighed = index.join(sizes, "comp")
-    order = F.struct("weight", F.xxhash64("id"), "id", "comp", "n")
+    order = F.struct("weight", F.xxhash64("id"), "id", "comp", "n", "l")
     ends = weighed.groupBy("gram").agg(F.max(order).alias("x"), F.min(order).alias("y"))
-    ends = ends.select("gram", F.explode(F.array("x", "y")).alias("e")).select("gram", F.col("e.id").alias("hub"), F.col("e.comp").alias("hub_comp"), F.col("e.n").alias("hub_n"))
-    both = index.join(ends, "gram").filter("comp <> hub_comp").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), "id", F.least("n", "hub_n").alias("n0"), F.greatest("n", "hub_n").alias("n1"))
-    counted = both.groupBy("id", "a", "b", "n0", "n1").agg(F.count("*").alias("shared"))
+    ends = ends.select("gram", F.explode(F.array("x", "y")).alias("e")).select("gram", F.col("e.id").alias("hub"), F.col("e.comp").alias("hub_comp"), F.col("e.n").alias("hub_n"), F.col("e.l").alias("hub_l"))
+    both = index.join(ends, "gram").filter(f"comp <> hub_comp and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
+    both = both.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), "id", F.expr(_needed("n", "hub_n", "l", "hub_l", percent)).alias("needed"))
+    # A representative stands for a part of its grams only: half of what a link needs is enough to try.
+    counted = both.groupBy("id", "a", "b", "needed").agg(F.count("*").alias("shared")).filter("2 * shared >= needed")
     return counted if tried is None else counted.join(tried, ["a", "b"], "left_anti")
 
 
@@ -326,12 +341,12 @@ def similar(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
     open_index, open_path = stash_at(index.withColumn("comp", F.col("id")), "mixed")
     links = tried = None
     for _ in range(CHAIN_ROUNDS):
-        best = _proposals(open_index, tried).filter(f"100 * n0 >= {percent} * n1").groupBy("id").agg(F.max_by(F.struct("a", "b"), "shared").alias("p")).select("p.*").distinct()
+        best = _proposals(open_index, tried, percent).groupBy("id").agg(F.max_by(F.struct("a", "b"), "shared").alias("p")).select("p.*").distinct()
         proposed = stash(best, "proposed")
         more = stash(_verify(proposed, texts, size, percent), "links")
         tried = proposed if tried is None else tried.union(proposed)
         if not more.take(1):
-            break
+            break  # the enumeration below still finds every other link
         links = more if links is None else links.union(more)
         merged, path = _merged(open_index, more)
         discard(spark, open_path)
@@ -340,11 +355,12 @@ def similar(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
     left = open_index.join(open_index.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "gram").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     dealt = dealt.repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi").select("gram", "lo", "hi", "block", "id", "comp", "n")
-    need = stash(index.select("id", "l").distinct(), "needs")
+    need = stash(index.select("id", "n", "l").distinct(), "needs")
     shared = dealt.mapInArrow(lambda b: _cross(b, percent), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    wanted = shared.join(need.select(F.col("id").alias("a"), F.col("l").alias("la")), "a").join(need.select(F.col("id").alias("b"), F.col("l").alias("lb")), "b")
-    wanted = wanted.filter("shared >= least(la, lb)").select("a", "b")
-    last = stash(_verify(wanted if tried is None else wanted.join(tried, ["a", "b"], "left_anti"), texts, size, percent), "links")
+    side = lambda x: need.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("l").alias(f"l{x}"))
+    wanted = shared.join(side("a"), "a").join(side("b"), "b").filter(f"shared >= {_needed('na', 'nb', 'la', 'lb', percent)}").select("a", "b").distinct()
+    wanted = stash(wanted if tried is None else wanted.join(tried, ["a", "b"], "left_anti"), "wanted")
+    last = stash(_verify(wanted, texts, size, percent), "links")
     links = last if links is None else links.union(last)
 
     # An id with several texts is one node: it ties the classes of these texts together.
