@@ -19,7 +19,7 @@ from locuskit.llm.shared import table, text_or_empty
 SLOT, SPLIT = 16, 8
 #: Pre-tokens before an edit that are cut again: white space and contractions look at most two pre-tokens ahead.
 CONTEXT = 3
-#: Pre-tokens whose number of tokens a task remembers, and the longest one.
+#: Pre-tokens whose number of tokens a task remembers in each of two generations, and the longest one.
 CACHE, CACHE_CHARS = 500_000, 48
 BATCH_CHARS = 1_000_000
 
@@ -39,6 +39,7 @@ class Counter:
         self.library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.encoded_chars = 0
 
     def cut(self, text: str) -> list[str]:
@@ -48,12 +49,16 @@ class Counter:
         """Tokens of each piece; all of them count as encoded, remembered or not."""
         self.encoded_chars += sum(map(len, pieces))
         known = self.known
-        if missing := list(set(pieces).difference(known)):
-            if len(known) > CACHE:
-                known.clear()
-                missing = list(set(pieces))
-            known.update(zip(missing, map(len, self.library.encode_ordinary_batch(missing, num_threads=1)), strict=True))
+        if missing := set(pieces).difference(known):
+            older = self.older
+            again = [p for p in missing if p in older]  # intersection() would walk the whole dict
+            known.update((p, older[p]) for p in again)
+            missing.difference_update(again)
+            encode = self.library.encode_ordinary
+            known.update((p, len(encode(p))) for p in missing)
         out = list(map(known.__getitem__, pieces))
+        if len(known) > CACHE:
+            self.known, self.older = {}, known
         for p in missing:
             if len(p) > CACHE_CHARS:
                 del known[p]
