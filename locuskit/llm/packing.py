@@ -72,9 +72,10 @@ class WordEncoder:
         need = set().union(*cut)
         known = self.known
         missing = need.difference(known)
-        if missing and (again := missing.intersection(self.older)):
+        if missing and self.older:
+            again = [w for w in missing if w in self.older]
             known.update((w, self.older[w]) for w in again)
-            missing -= again
+            missing.difference_update(again)
         if missing:
             cuts = {w: _WORD.findall(w) for w in missing}
             words = self._words(list(set().union(*cuts.values())))
