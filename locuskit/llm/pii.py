@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuskit.llm.shared import discard, small, stash, stash_at, table, text_batches
+from locuskit.llm.shared import bounded_batches, discard, small, stash, stash_at, table, text_batches
 
 # The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -210,6 +210,7 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str = "n_chars") -
     """
     import pyarrow as pa
 
+    bounded_batches(df.sparkSession)
     columns = df.columns
     keyed = _keyed(df, text_col)
     found = _scan(keyed.select("__key", F.lit(None).cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))).filter(F.size("near") > 0)

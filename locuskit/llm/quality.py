@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuskit.llm.shared import table, text_batches, text_or_empty
+from locuskit.llm.shared import bounded_batches, table, text_batches, text_or_empty
 
 #: At most this many labelled rows (those of the smallest hash) fit the trees.
 FIT_ROWS = 60_000
@@ -189,6 +189,7 @@ def keep_good(df: DataFrame, trees: Trees, threshold: float = 0.5, text_col: str
     """The input rows, with all their columns, whose score is at least `threshold`. Null ids and empty texts are scored like any."""
     import pyarrow as pa
 
+    bounded_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator) -> Iterator:

@@ -56,10 +56,20 @@ def row_of(df: DataFrame, alias: str = "row") -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(alias)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts hold at most about BATCH_BYTES, in the JVM and in Python; rows are never split."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b") or 0) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 #: Python operators work on about this many characters of text at a time.
 BATCH_CHARS = 2_000_000
 
