@@ -22,14 +22,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locuskit.llm.graph import components
-from locuskit.llm.shared import BROADCAST_ROWS, discard, small, stash, stash_at, table, text_batches, text_or_empty
+from locuskit.llm.shared import BROADCAST_ROWS, bounded_batches, discard, small, stash, stash_at, table, text_batches, text_or_empty
 
 #: Counters of the frequency sketch (fixed: 16 MB), and of one slice of it.
 SKETCH, SLICE = 1 << 22, 1 << 15
 #: Longest extension of a prefix, and the cost of a verification in postings read.
 LONGEST, VERIFY_COST = 8, 20.0
+#: Words whose hashes a task remembers.
+WORDS = 250_000
 #: Members of a posting list compared with each other in one go; longer lists are split into pairs of blocks.
-BLOCK = 2048
+BLOCK = 1024
+#: Lists of up to so many members are handled together; grams of longer ones that are multiplied at a time.
+FEW, COLUMNS = 24, 1024
 #: Rounds of chains before the full enumeration, at most; they end earlier when one brings no link.
 CHAIN_ROUNDS = 2
 
@@ -45,7 +49,7 @@ def _hash_words(words: list[bytes]):
     import xxhash
 
     known = _word_hashes()
-    if len(known) > 1_000_000:
+    if len(known) > WORDS:
         known.clear()
     for w in set(words).difference(known):
         known[w] = xxhash.xxh3_64_intdigest(w)
@@ -107,7 +111,7 @@ def _summaries(batches: Iterator, size: int) -> Iterator:
         yield rows([ids, [len(s) for s in sets], digests, none, none])
         held += [(s & np.uint64(SKETCH - 1)).astype("i8") for s in sets]
         waiting += sum(map(len, sets))
-        if waiting > SKETCH:
+        if waiting > SKETCH // 4:
             counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype("u4")
             held, waiting = [], 0
     if held:
@@ -215,33 +219,139 @@ def _runs(batches: Iterator, keys: list[str]) -> Iterator:
         yield pa.concat_batches(held)
 
 
-def _pairs_out(a, b) -> object:
+def _pairs_out(found: list) -> object:
+    import numpy as np
     import pyarrow as pa
 
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+class _Postings:
+    """Rows of one or more posting lists: documents with all their open prefix grams, in the common order."""
+
+    def __init__(self, batch, percent: int):
+        import numpy as np
+
+        self.ids, self.comp, self.n, self.l, self.block = (batch.column(c).to_numpy() for c in ("id", "comp", "n", "l", "block"))
+        lists = batch.column("grams")
+        self.size = lists.value_lengths().to_numpy()
+        self.at = np.r_[0, np.cumsum(self.size)]
+        self.flat = lists.flatten().to_numpy()
+        self.owner = np.repeat(np.arange(len(self.ids)), self.size)
+        own = np.flatnonzero(self.flat == batch.column("gram").to_numpy()[self.owner])
+        place = np.arange(len(self.flat))
+        self.before = place < own[np.searchsorted(own, self.at[:-1])][self.owner] if len(own) else place < 0
+        self.rest = ceil_share(percent, self.n) - self.l
+        self.percent = percent
+
+    def fits(self, i, j):
+        """Different components, sizes that allow a link."""
+        import numpy as np
+
+        small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        return (self.comp[i] != self.comp[j]) & (self.ids[i] != self.ids[j]) & (100 * small >= self.percent * large)
+
+    def needed(self, i, j):
+        """Shared prefix grams that a pair needs; see _needed."""
+        import numpy as np
+
+        overlap = -(-self.percent * (self.n[i] + self.n[j]) // (100 + self.percent))
+        return np.maximum(np.minimum(self.l[i], self.l[j]), overlap - np.maximum(self.rest[i], self.rest[j]))
+
+    def out(self, i, j):
+        import numpy as np
+
+        return np.minimum(self.ids[i], self.ids[j]), np.maximum(self.ids[i], self.ids[j])
+
+    def by_pairs(self, i, j):
+        """Which of the pairs share enough grams, and none before the one whose list they are met in."""
+        import numpy as np
+
+        def spread(rows):
+            k = self.size[rows]
+            first = np.cumsum(k) - k
+            place = np.arange(k.sum()) - np.repeat(first, k) + np.repeat(self.at[rows], k)
+            return np.repeat(np.arange(len(rows)), k), self.flat[place], self.before[place]
+
+        pair, gram, before = (np.concatenate(x) for x in zip(spread(i), spread(j), strict=True))
+        order = np.lexsort((gram, pair))
+        pair, gram, before = pair[order], gram[order], before[order]
+        same = (pair[1:] == pair[:-1]) & (gram[1:] == gram[:-1])
+        shared = np.bincount(pair[1:][same], minlength=len(i))
+        earlier = np.bincount(pair[1:][same & before[1:] & before[:-1]], minlength=len(i))
+        return (earlier == 0) & (shared >= self.needed(i, j))
+
+    def by_matrix(self, fits):
+        """The same for a matrix of pairs, by products of incidence matrices, some columns at a time."""
+        import numpy as np
+
+        m = len(self.ids)
+        _, column, times = np.unique(self.flat, return_inverse=True, return_counts=True)
+        number = np.cumsum(times > 1) - 1
+        use = times[column] > 1
+        owner, column, before = self.owner[use], number[column[use]], self.before[use]
+        shared, earlier = np.zeros((m, m), "f4"), np.zeros((m, m), "f4")
+        for low in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+            own = (column >= low) & (column < low + COLUMNS)
+            x = np.zeros((m, COLUMNS), "f4")
+            x[owner[own], column[own] - low] = 1
+            shared += x @ x.T
+            x[owner[own & ~before], column[own & ~before] - low] = 0
+            earlier += x @ x.T
+        i, j = np.nonzero(fits & (earlier == 0))
+        good = shared[i, j] >= self.needed(i, j)
+        return i[good], j[good]
+
+
 def _cross(batches: Iterator, percent: int) -> Iterator:
-    """All pairs of a block pair's members that are in different components and whose sizes allow a link."""
+    """Pairs of different components that share enough prefix grams, each met in the list of its first shared gram."""
     import numpy as np
+    import pyarrow as pa
+
+    found, held, small, rows = [], 0, [], 0
+
+    def few() -> None:
+        nonlocal small, rows, held
+        if small:
+            p = _Postings(pa.concat_batches(small), percent)
+            ends = np.cumsum([b.num_rows for b in small])
+            size = np.array([b.num_rows for b in small])
+            # Row k pairs with the rows after it in its own list.
+            after = np.repeat(ends, size) - np.arange(ends[-1]) - 1
+            i = np.repeat(np.arange(ends[-1]), after)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+            fits = p.fits(i, j)
+            i, j = i[fits], j[fits]
+            good = p.by_pairs(i, j)
+            if good.any():
+                found.append(p.out(i[good], j[good]))
+                held += int(good.sum())
+        small, rows = [], 0
 
-    waiting, held = [], 0
     for run in _runs(batches, ["gram", "lo", "hi"]):
-        ids, comp, n, block = (run.column(c).to_numpy() for c in ("id", "comp", "n", "block"))
-        fits = comp[:, None] != comp
-        fits &= 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
-        fits &= ids[:, None] < ids
-        if run.column("lo")[0] != run.column("hi")[0]:
-            fits &= block[:, None] != block
-        i, j = np.nonzero(fits)
-        if len(i):
-            waiting.append((ids[i], ids[j]))
-            held += len(i)
+        if run.num_rows <= FEW and run.column("lo")[0] == run.column("hi")[0]:
+            small.append(run)
+            rows += run.num_rows
+            if rows >= 4096:
+                few()
+        else:
+            p = _Postings(run, percent)
+            every = np.arange(run.num_rows)
+            fits = p.fits(every[:, None], every) & (every[:, None] < every)
+            if run.column("lo")[0] != run.column("hi")[0]:
+                fits &= p.block[:, None] != p.block
+            if fits.any():
+                i, j = p.by_matrix(fits)
+                if len(i):
+                    found.append(p.out(i, j))
+                    held += len(i)
         if held > 50_000:
-            yield _pairs_out(*map(np.concatenate, zip(*waiting, strict=True)))
-            waiting, held = [], 0
-    if waiting:
-        yield _pairs_out(*map(np.concatenate, zip(*waiting, strict=True)))
+            yield _pairs_out(found)
+            found, held = [], 0
+    few()
+    if found:
+        yield _pairs_out(found)
 
 
 def _verified(batches: Iterator, size: int, percent: int) -> Iterator:
@@ -250,12 +360,12 @@ def _verified(batches: Iterator, size: int, percent: int) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        a, b, left, right = (c.to_pylist() for c in batch.columns)
-        for at in range(0, len(a), 64):
-            texts = list(dict.fromkeys(left[at : at + 64] + right[at : at + 64]))
+        for at in range(0, batch.num_rows, 32):
+            a, b, left, right = (c.to_pylist() for c in batch.slice(at, 32).columns)
+            texts = list(dict.fromkeys(left + right))
             sets = dict(zip(texts, gram_sets(texts, size), strict=True))
             found = []
-            for i in range(at, min(at + 64, len(a))):
+            for i in range(len(a)):
                 x, y = sets[left[i]], sets[right[i]]
                 if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -323,6 +433,7 @@ def similar(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
     links with nothing and has no component. An empty table gives an empty result.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     first, _ = stash_at(rows.mapInArrow(lambda b: _summaries(b, size), "id long, n long, digest binary, slice int, counts binary"), "grams")
     docs = first.filter("slice is null").select("id", "n", "digest")
@@ -332,8 +443,8 @@ def similar(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
     made, made_path = stash_at(rows.mapInArrow(lambda b: _prefixes(b, size, percent, sketch), "id long, digest binary, n long, l int, grams array<long>"), "prefixes")
     reps = made.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
     # Postings of grams that at least two classes have.
-    postings = reps.select("id", "n", "l", F.explode("grams").alias("gram"))
-    index = stash(postings.repartition("gram").sortWithinPartitions("gram").mapInArrow(lambda b: _runs(b, ["gram"]), "id long, n long, l int, gram long"), "postings")
+    postings = reps.select("id", "n", "l", F.posexplode("grams").alias("pos", "gram"))
+    index = stash(postings.repartition("gram").sortWithinPartitions("gram").mapInArrow(lambda b: _runs(b, ["gram"]), "id long, n long, l int, pos int, gram long"), "postings")
     discard(spark, made_path)
     active = index.select("id").distinct()
     texts = stash(rows.join(active, "id", "left_semi"), "texts")
@@ -352,13 +463,13 @@ def similar(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
         discard(spark, open_path)
         open_index, open_path = merged, path
 
-    left = open_index.join(open_index.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "gram").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # What is still open: every document with its list, so that a pair is judged where it is first met and only there.
+    lists = open_index.groupBy("id", "n", "l").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gram"))), lambda x: x["gram"]).alias("grams"))
+    sizes = open_index.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    left = open_index.join(sizes, "gram").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(lists, ["id", "n", "l"])
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    dealt = dealt.repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi").select("gram", "lo", "hi", "block", "id", "comp", "n")
-    need = stash(index.select("id", "n", "l").distinct(), "needs")
-    shared = dealt.mapInArrow(lambda b: _cross(b, percent), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    side = lambda x: need.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("l").alias(f"l{x}"))
-    wanted = shared.join(side("a"), "a").join(side("b"), "b").filter(f"shared >= {_needed('na', 'nb', 'la', 'lb', percent)}").select("a", "b").distinct()
+    dealt = dealt.repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi").select("gram", "lo", "hi", "block", "id", "comp", "n", "l", "grams")
+    wanted = dealt.mapInArrow(lambda b: _cross(b, percent), "a long, b long").distinct()
     wanted = stash(wanted if tried is None else wanted.join(tried, ["a", "b"], "left_anti"), "wanted")
     last = stash(_verify(wanted, texts, size, percent), "links")
     links = last if links is None else links.union(last)

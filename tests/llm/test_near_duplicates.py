@@ -94,9 +94,10 @@ def corpus(seed):
     return rows + [(2000, None), (2001, ""), (2002, " \n"), (2003, "Ä b c"), (2004, "ä b c"), (None, rows[0][1]), (2005, "w1 " * 3000), (2006, "w1 w1 w1 w1 w1 w1")]
 
 
-@pytest.mark.parametrize(("size", "percent", "block", "rounds"), [(3, 90, 2048, 6), (5, 80, 2048, 6), (3, 60, 4, 0)])
-def test_join_matches_brute_force(spark, monkeypatch, size, percent, block, rounds):
+@pytest.mark.parametrize(("size", "percent", "block", "rounds", "few"), [(3, 90, 2048, 2, 24), (5, 80, 2048, 0, 24), (3, 60, 4, 0, 1), (3, 50, 2048, 0, 1)])
+def test_join_matches_brute_force(spark, monkeypatch, size, percent, block, rounds, few):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "FEW", few)
     monkeypatch.setattr(ngram_join, "CHAIN_ROUNDS", rounds)
     rows = corpus(size * percent)
     df = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, gram string, n int")
