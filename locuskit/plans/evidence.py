@@ -52,7 +52,7 @@ def j02_mixed_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals from one position to a hundred thousand: every level of bins is used."""
     t = F.col("tx_id")
     a = transcripts(spark, sf_dir).select("tx_id", "seqid", "start", (F.col("start") + 100 * (t % 7) * (t % 11) * (t % 13)).alias("end"))
-    return range_join.overlap_join(a, hits(spark, sf_dir).filter("hit_id % 5 = 0"), ["seqid"]).groupBy("tx_id").agg(F.count("*").alias("n"))
+    return range_join.overlap_join(a, hits(spark, sf_dir), ["seqid"]).groupBy("tx_id").agg(F.count("*").alias("n"))
 
 
 _PAIR = """, ch AS MATERIALIZED (
@@ -91,7 +91,7 @@ _WIDE = ", wide AS (SELECT s, e + 700 AS e, strand FROM junction WHERE s % 3 = 0
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longer junctions on one sequence, so that some reach from one window into the next."""
-    return junctions(spark, sf_dir).filter("start % 3 = 0").select(F.lit("all").alias("seqid"), "start", (F.col("end") + 700).alias("end"), "strand")
+    return junctions(spark, sf_dir).select(F.lit("all").alias("seqid"), "start", (F.col("end") + 700).alias("end"), "strand")
 
 
 @query(_WIDE + """, g AS (SELECT a.tx_id AS a, b.tx_id AS b, a.s AS l0, a.e AS l1, b.s AS r0, b.e AS r1, a.strand AS s1, b.strand AS s2 FROM tx a JOIN tx b ON b.tx_id // 4 - 1 = a.tx_id // 4 AND a.e < b.s AND b.s - a.e - 1 <= 700
@@ -113,8 +113,8 @@ def j07_intron_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_OK + f"""SELECT tx_id, start, "end", array_to_string(list_sort(list(x))[1:20], ';') AS near FROM (SELECT DISTINCT tx_id, i.s AS start, i.e AS "end", j.seqid || ':' || j.s || '-' || j.e || ':' || j.strand AS x FROM intron i JOIN ok j ON i.seqid = j.seqid
   AND (i.strand = '.' OR j.strand = '.' OR i.strand = j.strand) AND NOT (i.s = j.s AND i.e = j.e) AND (abs(i.s - j.s) <= 60 OR abs(i.e - j.e) <= 60) WHERE i.tx_id % 10 = 0) GROUP BY ALL""")
 def j09_nearby_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = introns(spark, sf_dir).filter("tx_id % 10 = 0").select("tx_id", "seqid", "strand", "start", "end")
-    return evidence.listed_near(some, supported(spark, sf_dir), window=60).select("tx_id", "start", "end", "near")
+    all_ = introns(spark, sf_dir).select("tx_id", "seqid", "strand", "start", "end")
+    return evidence.listed_near(all_, supported(spark, sf_dir), window=60).select("tx_id", "start", "end", "near")
 
 
 @query("SELECT tx_id, count(*) AS hits, (max({'bp': bp, 'h': -hit_id})).bp AS best_bp, -(max({'bp': bp, 'h': -hit_id})).h AS best_hit FROM (SELECT tx_id, hit_id, least(t.e, h.e) - greatest(t.s, h.s) + 1 AS bp FROM tx t JOIN hit h ON t.seqid = h.seqid AND t.s <= h.e AND h.s <= t.e) GROUP BY tx_id")
