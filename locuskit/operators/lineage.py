@@ -12,7 +12,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Genes on the larger side of a locus up to which all assignments are weighed; beyond it the best pair is taken in turn.
-EXACT_SIDE = 12
+EXACT_SIDE = 20
+
+
+def heaviest(weights: list[list[int]]) -> list[int]:
+    """The column of each row in the assignment of greatest summed weight; at least as many columns as rows. Shortest
+    augmenting paths, over whole numbers of any size."""
+    rows, cols = len(weights), len(weights[0]) if weights else 0
+    u, v, taken = [0] * (rows + 1), [0] * (cols + 1), [0] * (cols + 1)
+    for row in range(1, rows + 1):
+        taken[0], at = row, 0
+        least: list[int | None] = [None] * (cols + 1)
+        way, seen = [0] * (cols + 1), [False] * (cols + 1)
+        while taken[at]:
+            seen[at] = True
+            i, step, to = taken[at], None, 0
+            for j in range(1, cols + 1):
+                if not seen[j]:
+                    slack = -weights[i - 1][j - 1] - u[i] - v[j]
+                    if least[j] is None or slack < least[j]:
+                        least[j], way[j] = slack, at
+                    if step is None or least[j] < step:
+                        step, to = least[j], j
+            for j in range(cols + 1):
+                if seen[j]:
+                    u[taken[j]] += step
+                    v[j] -= step
+                elif least[j] is not None:
+                    least[j] -= step
+            at = to
+        while at:
+            taken[at] = taken[way[at]]
+            at = way[at]
+    out = [0] * rows
+    for j in range(1, cols + 1):
+        if taken[j]:
+            out[taken[j] - 1] = j - 1
+    return out
 
 
 def best_pairs(scores: dict[tuple[str, str], tuple]) -> list[tuple[str, str]]:
@@ -30,21 +66,24 @@ def best_pairs(scores: dict[tuple[str, str], tuple]) -> list[tuple[str, str]]:
                 out.append((o, n))
                 used |= {("o", o), ("n", n)}
         return sorted(out)
-    # Over sets of new genes taken so far, the best total for the old genes seen so far.
-    states: dict[int, tuple[tuple, tuple]] = {0: ((0,) * width, ())}
-    for o in olds:
-        nxt = dict(states)
-        for mask, (total, pairs) in states.items():
-            for i, n in enumerate(news):
-                if mask >> i & 1 or (o, n) not in good:
-                    continue
-                cand = tuple(a + b for a, b in zip(total, good[o, n], strict=True)), (*pairs, (o, n))
-                have = nxt.get(mask | 1 << i)
-                if have is None or cand[0] > have[0] or cand[0] == have[0] and cand[1] < have[1]:
-                    nxt[mask | 1 << i] = cand
-        states = nxt
-    best = max((t for t, _ in states.values()), default=())
-    return list(min(p for t, p in states.values() if t == best))
+    # A pair's vector becomes the digits of one number, in a base that no sum of a locus reaches, so that sums compare as the
+    # vectors do; the last digits prefer the smaller new gene, first for the first old one. Free columns leave a gene alone.
+    base = 2 * len(olds) * max((abs(x) for s in good.values() for x in s), default=0) + 1
+    places, weights = len(news) + 1, []
+    for i, o in enumerate(olds):
+        row = [0] * (len(news) + len(olds))
+        for j, n in enumerate(news):
+            if (o, n) in good:
+                for x in good[o, n]:
+                    row[j] = row[j] * base + x
+                row[j] = row[j] * places ** len(olds) + (len(news) - j) * places ** (len(olds) - 1 - i)
+        weights.append(row)
+    chosen = [(o, news[j]) for o, j in zip(olds, heaviest(weights), strict=True) if j < len(news) and (o, news[j]) in good]
+    # Pairs at the end that add nothing are left out: the shorter list is the smaller one.
+    totals = [(0,) * width]
+    for p in chosen:
+        totals.append(tuple(a + b for a, b in zip(totals[-1], good[p], strict=True)))
+    return chosen[: totals.index(totals[-1])]
 
 
 def assign(scores: DataFrame, by: str, columns: list[str]) -> DataFrame:
