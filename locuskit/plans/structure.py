@@ -128,8 +128,8 @@ def x07_bounded_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_GENOME + """SELECT doc_id, length(cds)::BIGINT AS n, coalesce(len(list_filter(range(0, greatest(length(cds) // 3 - 1, 0)), lambda i: substr(cds, 3 * i + 1, 3) IN ('TAA', 'TAG', 'TGA'))), 0) > 0 AS inner_stop,
   right(cds, 3) IN ('TAA', 'TAG', 'TGA') AS stop, left(cds, 3) = 'ATG' AS start, (length(cds) % 3)::BIGINT AS rest FROM (SELECT doc_id, left(seq, 300) AS cds FROM g)""", views=False)
 def x09_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cds = F.col("cds")
-    return genome(spark, sf_dir).select("doc_id", F.left("seq", F.lit(300)).alias("cds")).select(
+    cds = F.col("seq")
+    return genome(spark, sf_dir).select(
         "doc_id", F.length(cds).cast("long").alias("n"), sequence.has_inner_stop(cds).alias("inner_stop"), sequence.ends_in_stop(cds).alias("stop"), sequence.begins_with_start(cds).alias("start"), (F.length(cds) % 3).cast("long").alias("rest")
     )
 

@@ -4,8 +4,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from locuskit.functions import sequence
 from verify import rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -14,6 +16,7 @@ SF = "/root/testdata/sf0.001"
 LIMITS = {
     "j02_mixed_lengths": (" WHERE hit_id % 5 = 0", ""),
     "j06_junction_bridges": (" WHERE s % 3 = 0", ""),
+    "x09_codons": ("left(seq, 300) AS cds", "seq AS cds"),
     "j09_nearby_junctions": (" WHERE i.tx_id % 10 = 0", ""),
 }
 
@@ -36,3 +39,11 @@ def test_query_covers_all_rows(spark, con, name):
     columns = [d[0] for d in res.description]
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     assert got == rows_of(columns, res.fetchall())
+
+
+def test_inner_stop_anywhere(spark):
+    """Far stops, stops out of frame and at the end, against a plain loop."""
+    texts = ["ATG" + "GCA" * n + tail for n in (0, 1, 99, 100, 5000) for tail in ("", "TAA", "TAAGCA", "TAAGC", "CTAAGCAGCA")] + ["", "TA", "TAA", None]
+    plain = lambda s: any(s[i : i + 3] in sequence.STOPS for i in range(0, 3 * (len(s) // 3 - 1), 3))
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    assert [r[0] for r in df.select(sequence.has_inner_stop(F.col("s"))).collect()] == [plain(t or "") for t in texts]
