@@ -84,9 +84,12 @@ def numbered_id(prefix: Column | str, n: Column, width: int) -> Column:
 
 
 def letters(n: Column) -> Column:
-    """1 is A, 26 Z, 27 AA ..., up to ZZ."""
-    char = lambda x: F.char(x + 64)
-    return F.when(n <= 26, char(n)).otherwise(F.concat(char(((n - 1) / 26).cast("int")), char((n - 1) % 26 + 1)))
+    """1 is A, 26 Z, 27 AA, 703 AAA ..., to any length; below 1 it is A."""
+    at = lambda v, out: F.struct(v.cast("long").alias("v"), out.alias("out"))
+    step = lambda s: F.when(s["v"] > 0, at(F.call_function("div", s["v"] - 1, F.lit(26)), F.concat(F.char((s["v"] - 1) % 26 + 65), s["out"]))).otherwise(s)
+    # 14 letters reach beyond any long.
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(14)), at(n, F.lit("")), lambda s, _: step(s))["out"]
+    return F.when(n < 1, "A").when(n >= 1, out)
 
 
 def transcript_of(gene: Column) -> Column:
