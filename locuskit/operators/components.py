@@ -32,12 +32,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def descendants(edges: DataFrame, roots: DataFrame, depth: int = 16) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes below the roots, roots included, by following (parent, child) edges level by level until nothing new is found."""
     spark = edges.sparkSession
     found, path = written(roots.select("node").distinct(), "closure")
     front, front_path = found, None
-    for _ in range(depth):
+    while True:
         below = edges.join(front, edges["parent"] == front["node"]).select(F.col("child").alias("node")).distinct().join(found, "node", "left_anti")
         below, below_path = written(below, "closure")
         if not below.limit(1).count():
