@@ -7,10 +7,12 @@ min(l, l') shared prefix grams before it is verified, and so many that the rest
 the grams that both have up to the end of the earlier prefix are all counted, and of those behind it there are n - p at most.
 Frequencies come from a counting sketch of fixed size over all grams; errors of the sketch change the cost, not the result.
 
-Documents with equal sets are one class. Classes that are already connected need no further comparison, so each posting
-list first proposes short chains (neighbours, and its best-connected member); verified links are contracted, and only
-pairs from different components are then enumerated and verified in full. A group of near copies thus costs about its
-size, not its square, and no component is lost.
+Documents with equal sets are one class. A posting stays only while its list holds a possible partner: sizes that allow a
+link, and as many lists of either document as the pair needs shared grams. Beside its postings a document carries a bit set of
+odd counts; where two of them differ in more bits than a link allows grams, the pair is no link, whatever else it shares.
+Of the pairs that are left, first those that span each posting list are counted, verified and contracted, and then every
+pair of different components. A group of near copies thus gives about as many pairs as it has members, not their square,
+and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locuskit.llm.graph import components
-from locuskit.llm.shared import BROADCAST_ROWS, bounded_batches, discard, small, stash, stash_at, table, text_batches, text_or_empty
+from locuskit.llm.shared import bounded_batches, discard, row_of, small, stash, stash_at, table, text_batches, text_or_empty
 
 #: Counters of the frequency sketch (fixed: 16 MB), and of one slice of it.
 SKETCH, SLICE = 1 << 22, 1 << 15
@@ -32,10 +34,12 @@ LONGEST, VERIFY_COST = 8, 20.0
 WORDS = 250_000
 #: Members of a posting list compared with each other in one go; longer lists are split into pairs of blocks.
 BLOCK = 1024
-#: Lists of up to so many members are handled together; grams of longer ones that are multiplied at a time.
-FEW, COLUMNS = 24, 1024
-#: Rounds of chains before the full enumeration, at most; they end earlier when one brings no link.
-CHAIN_ROUNDS = 2
+#: Passes that drop postings without a possible partner in their list.
+PRUNINGS = 2
+#: A document's bit set has as many bits as it has grams, rounded up to a power of two within these bounds.
+LEAST_BITS, MOST_BITS = 512, 4096
+#: Pairs, and 64-bit words of their bit sets, that a task compares at a time.
+PAIRS, MATRIX = 1 << 18, 1 << 20
 
 
 @functools.lru_cache(maxsize=1)
@@ -170,6 +174,15 @@ def prefix(grams, counts, percent: int) -> tuple[int, object]:
     return best + 1, grams[order[: short + best + 1]]
 
 
+def bit_set(grams) -> bytes:
+    """For each bit, whether an odd number of grams falls on it: two such sets differ in as many bits as grams at most."""
+    import numpy as np
+
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(grams) - 1).bit_length()))
+    odd = np.bincount(((grams >> np.uint64(32)) & np.uint64(bits - 1)).astype("i8"), minlength=bits) & 1
+    return np.packbits(odd.astype("u1"), bitorder="little").tobytes()
+
+
 def _prefixes(batches: Iterator, size: int, percent: int, sketch) -> Iterator:
     import hashlib
 
@@ -187,171 +200,191 @@ def _prefixes(batches: Iterator, size: int, percent: int, sketch) -> Iterator:
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([p for _, p in made]).view("i8")))
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([l for l, _ in made], pa.int32()), lists],
-            names=["id", "digest", "n", "l", "grams"],
+            [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([l for l, _ in made], pa.int32()), pa.array(map(bit_set, sets), pa.binary()), lists],
+            names=["id", "digest", "n", "l", "bits", "grams"],
         )
 
 
-def _runs(batches: Iterator, keys: list[str]) -> Iterator:
-    """Record batches that each hold the rows of one key, of rows sorted by it; keys of one row are left out."""
-    import numpy as np
-    import pyarrow as pa
+class _Lists:
+    """Rows of whole posting lists, or of two blocks of a long one: documents that share a prefix gram."""
 
-    held: list = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy() for k in keys]
-        new = np.zeros(batch.num_rows, dtype=bool)
-        new[0] = bool(held) and any(held[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, columns, strict=True))
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        cuts = np.flatnonzero(new).tolist()
-        for i, j in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            if j == batch.num_rows:
-                break
-            whole = pa.concat_batches([*held, batch.slice(i, j - i)]) if held else batch.slice(i, j - i)
-            held = []
-            if whole.num_rows > 1:
-                yield whole
-        held.append(batch.slice(cuts[-1] if cuts else 0))
-    if held and sum(b.num_rows for b in held) > 1:
-        yield pa.concat_batches(held)
-
-
-def _pairs_out(found: list) -> object:
-    import numpy as np
-    import pyarrow as pa
-
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
-class _Postings:
-    """Rows of one or more posting lists: documents with all their open prefix grams, in the common order."""
-
-    def __init__(self, batch, percent: int):
+    def __init__(self, batch, new, percent: int):
+        """`new`: where a list begins. In a pair of blocks, only rows of different blocks pair with each other."""
         import numpy as np
+        import pyarrow.compute as pc
 
-        self.ids, self.comp, self.n, self.l, self.block = (batch.column(c).to_numpy() for c in ("id", "comp", "n", "l", "block"))
-        lists = batch.column("grams")
-        self.size = lists.value_lengths().to_numpy()
-        self.at = np.r_[0, np.cumsum(self.size)]
-        self.flat = lists.flatten().to_numpy()
-        self.owner = np.repeat(np.arange(len(self.ids)), self.size)
-        own = np.flatnonzero(self.flat == batch.column("gram").to_numpy()[self.owner])
-        place = np.arange(len(self.flat))
-        self.before = place < own[np.searchsorted(own, self.at[:-1])][self.owner] if len(own) else place < 0
+        self.id, self.comp, self.n, self.l, self.s = (batch.column(c).to_numpy() for c in ("id", "comp", "n", "l", "s"))
         self.rest = ceil_share(percent, self.n) - self.l
-        self.percent = percent
-
-    def fits(self, i, j):
-        """Different components, sizes that allow a link."""
+        self.percent, self.rows = percent, len(new)
+        end = np.r_[np.flatnonzero(new)[1:], len(new)][np.cumsum(new) - 1]
+        self.first = np.arange(self.rows) + 1
+        if "block_a" in batch.schema.names:
+            block, one, other = (batch.column(c).to_numpy() for c in ("block", "block_a", "block_b"))
+            turn = new | np.r_[False, block[1:] != block[:-1]]
+            next_turn = np.r_[np.flatnonzero(turn)[1:], self.rows][np.cumsum(turn) - 1]
+            self.first = np.where(one == other, self.first, next_turn)
+        self.count = np.maximum(0, end - self.first)
+        self.words = None
+        if "bits" in batch.schema.names:
+            self.bits, self.at = batch.column("bits"), {}
+            self.words = pc.binary_length(self.bits).to_numpy() // 8
+
+    def folded(self, words: int):
+        """Bit sets of the rows that have at least so many words, folded to that many; and each row's place among them."""
+        import numpy as np
+        import pyarrow as pa
+
+        if words not in self.at:
+            place, sets = np.full(self.rows, -1), []
+            for w in np.unique(self.words[self.words >= words]).tolist():
+                own = np.flatnonzero(self.words == w)
+                place[own] = sum(map(len, sets)) + np.arange(len(own))
+                made = np.frombuffer(b"".join(self.bits.take(pa.array(own)).to_pylist()), "u8").reshape(len(own), w)
+                while made.shape[1] > words:
+                    made = made[:, : made.shape[1] // 2] ^ made[:, made.shape[1] // 2 :]
+                sets.append(made)
+            self.at[words] = np.concatenate(sets), place
+        return self.at[words]
+
+    def differing(self, i, j):
+        """Bits in which the sets of two rows differ: at most as many as the grams that only one of them has."""
         import numpy as np
 
-        small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
-        return (self.comp[i] != self.comp[j]) & (self.ids[i] != self.ids[j]) & (100 * small >= self.percent * large)
-
-    def needed(self, i, j):
-        """Shared prefix grams that a pair needs; see _needed."""
+        out = np.zeros(len(i), "i8")
+        words = np.minimum(self.words[i], self.words[j])
+        for w in np.unique(words).tolist():
+            own = np.flatnonzero(words == w)
+            sets, place = self.folded(w)
+            step = max(1, MATRIX // w)
+            for k in range(0, len(own), step):
+                part = own[k : k + step]
+                out[part] = np.bitwise_count(sets[place[i[part]]] ^ sets[place[j[part]]]).sum(axis=1, dtype="i8")
+        return out
+
+    def pairs(self) -> Iterator:
+        """(i, j, needed, weight) of pairs of different components that may link, many at a time.
+
+        needed: shared prefix grams that the pair needs; each row's lists must be as many. weight: a total order of pairs
+        that is the same in every list, the likelier links first.
+        """
         import numpy as np
 
-        overlap = -(-self.percent * (self.n[i] + self.n[j]) // (100 + self.percent))
-        return np.maximum(np.minimum(self.l[i], self.l[j]), overlap - np.maximum(self.rest[i], self.rest[j]))
+        upto = np.cumsum(self.count)
+        low = 0
+        while low < self.rows:
+            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + PAIRS)))
+            count = self.count[low:high]
+            i = np.repeat(np.arange(low, high), count)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[low:high], count)
+            low = high
+            small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+            fits = (self.comp[i] != self.comp[j]) & (self.id[i] != self.id[j]) & (100 * small >= self.percent * large)
+            i, j = i[fits], j[fits]
+            both = self.n[i] + self.n[j]
+            overlap = -(-self.percent * both // (100 + self.percent))
+            needed = np.maximum(np.minimum(self.l[i], self.l[j]), overlap - np.maximum(self.rest[i], self.rest[j]))
+            fits = np.minimum(self.s[i], self.s[j]) >= needed
+            i, j, needed, both = i[fits], j[fits], needed[fits], both[fits]
+            if self.words is None or not len(i):
+                yield i, j, needed, None
+                continue
+            apart = self.differing(i, j)
+            fits = (100 + self.percent) * apart <= (100 - self.percent) * both
+            i, j, needed, both, apart = i[fits], j[fits], needed[fits], both[fits], apart[fits]
+            a, b = np.minimum(self.id[i], self.id[j]).astype("u8"), np.maximum(self.id[i], self.id[j]).astype("u8")
+            yield i, j, needed, ((apart << 20) // both).astype("u8") << np.uint64(32) | _mix(_mix(a) + b) >> np.uint64(32)
+
+
+def _lists(batches: Iterator, keys: list[str], rows: int = 4096) -> Iterator:
+    """(batch, new): whole runs of rows that are equal in `keys`, about `rows` rows at a time, and where each run begins."""
+    import numpy as np
+    import pyarrow as pa
+
+    def begins(batch):
+        new = np.ones(batch.num_rows, dtype=bool)
+        if batch.num_rows:
+            new[1:] = False
+            for k in keys:
+                c = batch.column(k).to_numpy()
+                new[1:] |= c[1:] != c[:-1]
+        return new
 
-    def out(self, i, j):
-        import numpy as np
+    held: list = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            whole = pa.concat_batches(held)
+            new = begins(whole)
+            last = int(np.flatnonzero(new)[-1])
+            if last:
+                yield whole.slice(0, last), new[:last]
+            held = [whole.slice(last)]
+    if held and (whole := pa.concat_batches(held)).num_rows:
+        yield whole, begins(whole)
+
+
+def _pruned(batches: Iterator, percent: int) -> Iterator:
+    """Postings that have a possible partner in their list. Of a list of several blocks, all stay."""
+    import numpy as np
+    import pyarrow as pa
 
-        return np.minimum(self.ids[i], self.ids[j]), np.maximum(self.ids[i], self.ids[j])
+    for batch, new in _lists(batches, ["gram", "block"]):
+        lists = _Lists(batch, new, percent)
+        stay = batch.column("blocks").to_numpy() > 1
+        for i, j, _, _ in lists.pairs():
+            stay[i] = stay[j] = True
+        if stay.any():
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(stay)) for c in ("gram", "id", "comp", "n", "l")], names=["gram", "id", "comp", "n", "l"])
 
-    def by_pairs(self, i, j):
-        """Which of the pairs share enough grams, and none before the one whose list they are met in."""
-        import numpy as np
 
-        def spread(rows):
-            k = self.size[rows]
-            first = np.cumsum(k) - k
-            place = np.arange(k.sum()) - np.repeat(first, k) + np.repeat(self.at[rows], k)
-            return np.repeat(np.arange(len(rows)), k), self.flat[place], self.before[place]
-
-        pair, gram, before = (np.concatenate(x) for x in zip(spread(i), spread(j), strict=True))
-        order = np.lexsort((gram, pair))
-        pair, gram, before = pair[order], gram[order], before[order]
-        same = (pair[1:] == pair[:-1]) & (gram[1:] == gram[:-1])
-        shared = np.bincount(pair[1:][same], minlength=len(i))
-        earlier = np.bincount(pair[1:][same & before[1:] & before[:-1]], minlength=len(i))
-        return (earlier == 0) & (shared >= self.needed(i, j))
-
-    def by_matrix(self, fits):
-        """The same for a matrix of pairs, by products of incidence matrices, some columns at a time."""
-        import numpy as np
+def forest(rows: int, i, j, weight):
+    """Places of the edges (i, j) of the spanning forest of least weight."""
+    import numpy as np
 
-        m = len(self.ids)
-        _, column, times = np.unique(self.flat, return_inverse=True, return_counts=True)
-        number = np.cumsum(times > 1) - 1
-        use = times[column] > 1
-        owner, column, before = self.owner[use], number[column[use]], self.before[use]
-        shared, earlier = np.zeros((m, m), "f4"), np.zeros((m, m), "f4")
-        for low in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
-            own = (column >= low) & (column < low + COLUMNS)
-            x = np.zeros((m, COLUMNS), "f4")
-            x[owner[own], column[own] - low] = 1
-            shared += x @ x.T
-            x[owner[own & ~before], column[own & ~before] - low] = 0
-            earlier += x @ x.T
-        i, j = np.nonzero(fits & (earlier == 0))
-        good = shared[i, j] >= self.needed(i, j)
-        return i[good], j[good]
-
-
-def _cross(batches: Iterator, percent: int) -> Iterator:
-    """Pairs of different components that share enough prefix grams, each met in the list of its first shared gram."""
+    order, root, out = np.argsort(weight, kind="stable"), np.arange(rows), []
+    while len(order):
+        a, b = root[i[order]], root[j[order]]
+        order, a, b = order[a != b], a[a != b], b[a != b]
+        least = np.full(rows, -1)
+        # Of several values for one place, the last one written stays: the lightest edge.
+        at = np.arange(len(order))[::-1]
+        least[np.stack([a[::-1], b[::-1]], axis=1).ravel()] = np.repeat(at, 2)
+        chosen = np.unique(least[least >= 0])
+        parent = np.arange(rows)
+        for k in chosen.tolist():
+            x, y = int(a[k]), int(b[k])
+            while parent[x] != x:
+                x = int(parent[x])
+            while parent[y] != y:
+                y = int(parent[y])
+            parent[max(x, y)] = min(x, y)
+        out.append(order[chosen])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        root = parent[root]
+    return np.concatenate(out) if out else order
+
+
+def _candidates(batches: Iterator, percent: int, spanning: bool) -> Iterator:
+    """(a, b, needed) for each list in which two documents meet that may link; if `spanning`, only what spans each list.
+
+    Pairs have the same weights in all lists, so an edge that belongs to the spanning forest of all documents is found in
+    every list in which its documents meet, and its count is the number of prefix grams they share.
+    """
     import numpy as np
     import pyarrow as pa
 
-    found, held, small, rows = [], 0, [], 0
-
-    def few() -> None:
-        nonlocal small, rows, held
-        if small:
-            p = _Postings(pa.concat_batches(small), percent)
-            ends = np.cumsum([b.num_rows for b in small])
-            size = np.array([b.num_rows for b in small])
-            # Row k pairs with the rows after it in its own list.
-            after = np.repeat(ends, size) - np.arange(ends[-1]) - 1
-            i = np.repeat(np.arange(ends[-1]), after)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
-            fits = p.fits(i, j)
-            i, j = i[fits], j[fits]
-            good = p.by_pairs(i, j)
-            if good.any():
-                found.append(p.out(i[good], j[good]))
-                held += int(good.sum())
-        small, rows = [], 0
-
-    for run in _runs(batches, ["gram", "lo", "hi"]):
-        if run.num_rows <= FEW and run.column("lo")[0] == run.column("hi")[0]:
-            small.append(run)
-            rows += run.num_rows
-            if rows >= 4096:
-                few()
-        else:
-            p = _Postings(run, percent)
-            every = np.arange(run.num_rows)
-            fits = p.fits(every[:, None], every) & (every[:, None] < every)
-            if run.column("lo")[0] != run.column("hi")[0]:
-                fits &= p.block[:, None] != p.block
-            if fits.any():
-                i, j = p.by_matrix(fits)
-                if len(i):
-                    found.append(p.out(i, j))
-                    held += len(i)
-        if held > 50_000:
-            yield _pairs_out(found)
-            found, held = [], 0
-    few()
-    if found:
-        yield _pairs_out(found)
+    for batch, new in _lists(batches, ["gram", "block_a", "block_b"]):
+        lists = _Lists(batch, new, percent)
+        found = [x for x in lists.pairs() if len(x[0])]
+        if not found:
+            continue
+        i, j, needed, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        if spanning:
+            keep = forest(lists.rows, i, j, weight)
+            i, j, needed = i[keep], j[keep], needed[keep]
+        a, b = np.minimum(lists.id[i], lists.id[j]), np.maximum(lists.id[i], lists.id[j])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(needed.astype("i8"))], names=["a", "b", "needed"])
 
 
 def _verified(batches: Iterator, size: int, percent: int) -> Iterator:
@@ -375,54 +408,43 @@ def _verified(batches: Iterator, size: int, percent: int) -> Iterator:
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in found], pa.int64()), pa.array([b[i] for i in found], pa.int64())], names=["a", "b"])
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The links among the pairs (a written table). Only the texts that pairs name take part in the two joins."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if pairs.count() <= BROADCAST_ROWS // 2:
-        named = F.broadcast(named)
-    texts = texts.join(named, "id", "left_semi")
+def _verify(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links among the pairs (a written table). Only the texts that pairs name take part in the two joins.
+
+    The text of the document with more pairs is joined last, so it isn't shuffled once for each of them.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("k"))
+    pairs = pairs.join(ends.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(ends.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+    pairs = stash(pairs.select(F.when(F.expr("ka <= kb"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.expr("ka <= kb"), F.col("b")).otherwise(F.col("a")).alias("b")), "turned")
+    named = small(stash(ends.select("id"), "named"))
+    texts = rows.join(named, "id", "left_semi")
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
     two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
     return two.mapInArrow(lambda x: _verified(x, size, percent), "a long, b long")
 
 
-def _merged(index: DataFrame, found: DataFrame) -> tuple[DataFrame, str]:
-    """The postings after their components were joined along the links found."""
-    of = index.select("id", "comp").distinct()
-    ends = found.join(of.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
-    moved = components(ends, "ca", "cb").select(F.col("id").alias("comp"), "component_id")
-    return stash_at(_mixed(index.join(moved, "comp", "left").withColumn("comp", F.coalesce("component_id", "comp")).drop("component_id")), "mixed")
-
-
-def _mixed(index: DataFrame) -> DataFrame:
+def _open(index: DataFrame) -> DataFrame:
     """Postings of grams whose documents are not all in one component."""
     mixed = index.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("gram")
     return index.join(mixed, "gram", "left_semi")
 
 
-def _needed(na: str, nb: str, la: str, lb: str, percent: int) -> str:
-    """Shared prefix grams that a pair needs, as SQL: l of the shorter extension, and what the remaining grams can't supply."""
-    overlap = f"ceil({percent} * ({na} + {nb}) / {100 + percent})"
-    rest = lambda n, l: f"(ceil({percent} * {n} / 100) - {l})"
-    return f"greatest(least({la}, {lb}), {overlap} - greatest({rest(na, la)}, {rest(nb, lb)}))"
-
+def _measured(index: DataFrame) -> DataFrame:
+    """With s, the lists a document is in, and the number of blocks of each list. Counts combine before the shuffle."""
+    lists = index.groupBy("id").agg(F.count("*").alias("s"))
+    sizes = index.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    return index.join(lists, "id").join(sizes, "gram").withColumn("block", block)
 
-def _proposals(index: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs of a document and a representative of another component that share many of the prefix grams a link needs.
 
-    Each gram's postings are joined with two of its members: those of the largest and of the smallest set of
-    (component size, id). Both are aggregates, so a long posting list needs no sort and no window.
-    """
-    sizes = index.select("id", "comp").distinct().groupBy("comp").agg(F.count("*").alias("weight"))
-    weighed = index.join(sizes, "comp")
-    order = F.struct("weight", F.xxhash64("id"), "id", "comp", "n", "l")
-    ends = weighed.groupBy("gram").agg(F.max(order).alias("x"), F.min(order).alias("y"))
-    ends = ends.select("gram", F.explode(F.array("x", "y")).alias("e")).select("gram", F.col("e.id").alias("hub"), F.col("e.comp").alias("hub_comp"), F.col("e.n").alias("hub_n"), F.col("e.l").alias("hub_l"))
-    both = index.join(ends, "gram").filter(f"comp <> hub_comp and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
-    both = both.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), "id", F.expr(_needed("n", "hub_n", "l", "hub_l", percent)).alias("needed"))
-    # A representative stands for a part of its grams only: half of what a link needs is enough to try.
-    counted = both.groupBy("id", "a", "b", "needed").agg(F.count("*").alias("shared")).filter("2 * shared >= needed")
-    return counted if tried is None else counted.join(tried, ["a", "b"], "left_anti")
+def _judged(index: DataFrame, bits: DataFrame, percent: int, spanning: bool) -> DataFrame:
+    """Pairs (a, b) of open postings that share as many prefix grams as they need; long lists go by pairs of blocks."""
+    columns = ["gram", "block_a", "block_b", "block", "id", "comp", "n", "l", "s", "bits"]
+    each = _measured(index).join(bits, ["id", "n", "l"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other")})
+    dealt = each.select(*columns).repartition("gram", "block_a", "block_b").sortWithinPartitions("gram", "block_a", "block_b", "block")
+    met = dealt.mapInArrow(lambda b: _candidates(b, percent, spanning), "a long, b long, needed long")
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("needed").alias("needed")).filter("shared >= needed").select("a", "b")
 
 
 def similar(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -435,44 +457,36 @@ def similar(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
     spark = df.sparkSession
     bounded_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    first, _ = stash_at(rows.mapInArrow(lambda b: _summaries(b, size), "id long, n long, digest binary, slice int, counts binary"), "grams")
-    docs = first.filter("slice is null").select("id", "n", "digest")
+    first, first_path = stash_at(rows.mapInArrow(lambda b: _summaries(b, size), "id long, n long, digest binary, slice int, counts binary"), "grams")
+    sketch = spark.sparkContext.broadcast(_sketch(first.filter("slice is not null").select("slice", "counts")))
+    docs = stash(first.filter("slice is null").select("id", "n", "digest"), "sets")
+    discard(spark, first_path)
     classes = stash(docs.filter("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("rep")), "classes")
 
-    sketch = spark.sparkContext.broadcast(_sketch(first.filter("slice is not null").select("slice", "counts")))
-    made, made_path = stash_at(rows.mapInArrow(lambda b: _prefixes(b, size, percent, sketch), "id long, digest binary, n long, l int, grams array<long>"), "prefixes")
-    reps = made.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
-    # Postings of grams that at least two classes have.
-    postings = reps.select("id", "n", "l", F.posexplode("grams").alias("pos", "gram"))
-    index = stash(postings.repartition("gram").sortWithinPartitions("gram").mapInArrow(lambda b: _runs(b, ["gram"]), "id long, n long, l int, pos int, gram long"), "postings")
-    discard(spark, made_path)
-    active = index.select("id").distinct()
-    texts = stash(rows.join(active, "id", "left_semi"), "texts")
-
-    open_index, open_path = stash_at(index.withColumn("comp", F.col("id")), "mixed")
-    links = tried = None
-    for _ in range(CHAIN_ROUNDS):
-        best = _proposals(open_index, tried, percent).groupBy("id").agg(F.max_by(F.struct("a", "b"), "shared").alias("p")).select("p.*").distinct()
-        proposed = stash(best, "proposed")
-        more = stash(_verify(proposed, texts, size, percent), "links")
-        tried = proposed if tried is None else tried.union(proposed)
-        if not more.take(1):
-            break  # the enumeration below still finds every other link
-        links = more if links is None else links.union(more)
-        merged, path = _merged(open_index, more)
-        discard(spark, open_path)
-        open_index, open_path = merged, path
-
-    # What is still open: every document with its list, so that a pair is judged where it is first met and only there.
-    lists = open_index.groupBy("id", "n", "l").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gram"))), lambda x: x["gram"]).alias("grams"))
-    sizes = open_index.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    left = open_index.join(sizes, "gram").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(lists, ["id", "n", "l"])
-    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    dealt = dealt.repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi").select("gram", "lo", "hi", "block", "id", "comp", "n", "l", "grams")
-    wanted = dealt.mapInArrow(lambda b: _cross(b, percent), "a long, b long").distinct()
-    wanted = stash(wanted if tried is None else wanted.join(tried, ["a", "b"], "left_anti"), "wanted")
-    last = stash(_verify(wanted, texts, size, percent), "links")
-    links = last if links is None else links.union(last)
+    made = rows.mapInArrow(lambda b: _prefixes(b, size, percent, sketch), "id long, digest binary, n long, l int, bits binary, grams array<long>")
+    reps, reps_path = stash_at(made.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]), "prefixes")
+    bits = reps.select("id", "n", "l", "bits")
+    # Postings of grams that at least two classes have, then of documents with a possible partner in the list.
+    postings = reps.select(F.explode("grams").alias("gram"), "id", "n", "l")
+    several = postings.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram")
+    index, path = stash_at(postings.join(several, "gram", "left_semi").withColumn("comp", F.col("id")), "postings")
+    for _ in range(PRUNINGS):
+        dealt = _measured(index).repartition("gram", "block").sortWithinPartitions("gram", "block")
+        fewer, fewer_path = stash_at(dealt.mapInArrow(lambda b: _pruned(b, percent), "gram long, id long, comp long, n long, l int"), "postings")
+        discard(spark, path)
+        index, path = fewer, fewer_path
+
+    # What spans each list; links found are contracted; then every pair of different components that is left.
+    proposed = stash(_judged(index, bits, percent, True), "proposed")
+    links = stash(_verify(proposed, rows, size, percent), "links")
+    groups, groups_path = stash_at(components(links, "a", "b"), "groups")
+    joined = index.drop("comp").join(groups.select("id", F.col("component_id").alias("to")), "id", "left").withColumn("comp", F.coalesce("to", "id")).drop("to")
+    left, left_path = stash_at(_open(joined), "postings")
+    discard(spark, path)
+    rest = stash(_judged(left, bits, percent, False).join(proposed, ["a", "b"], "left_anti"), "proposed")
+    for p in (left_path, groups_path, reps_path):
+        discard(spark, p)
+    links = links.union(stash(_verify(rest, rows, size, percent), "links"))
 
     # An id with several texts is one node: it ties the classes of these texts together.
     several = docs.filter("n > 0").groupBy("id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).filter("d0 <> d1").select("id")
@@ -484,8 +498,9 @@ def similar(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
 
 def keep_one(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows, with all their columns, that have the smallest id of their component; rows without id stay."""
-    found = stash(similar(df, size, percent, id_col, text_col).filter("id <> component_id").select(F.col("id").alias("__dropped")).distinct(), "dropped")
-    return df.join(small(found), df[id_col].cast("long") == F.col("__dropped"), "left_anti")
+    found = stash(similar(df, size, percent, id_col, text_col).filter("id <> component_id").select("id").distinct(), "dropped")
+    whole = df.select(row_of(df), F.col(f"`{id_col}`").cast("long").alias("id"))
+    return whole.join(small(found), "id", "left_anti").select("row.*")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

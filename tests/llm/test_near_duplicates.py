@@ -94,11 +94,12 @@ def corpus(seed):
     return rows + [(2000, None), (2001, ""), (2002, " \n"), (2003, "Ä b c"), (2004, "ä b c"), (None, rows[0][1]), (2005, "w1 " * 3000), (2006, "w1 w1 w1 w1 w1 w1")]
 
 
-@pytest.mark.parametrize(("size", "percent", "block", "rounds", "few"), [(3, 90, 2048, 2, 24), (5, 80, 2048, 0, 24), (3, 60, 4, 0, 1), (3, 50, 2048, 0, 1)])
-def test_join_matches_brute_force(spark, monkeypatch, size, percent, block, rounds, few):
+@pytest.mark.parametrize(("size", "percent", "block", "prunings", "bits"), [(3, 90, 2048, 2, 4096), (5, 80, 2048, 1, 512), (3, 60, 4, 2, 64), (3, 50, 7, 0, 128)])
+def test_join_matches_brute_force(spark, monkeypatch, size, percent, block, prunings, bits):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
-    monkeypatch.setattr(ngram_join, "FEW", few)
-    monkeypatch.setattr(ngram_join, "CHAIN_ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "PRUNINGS", prunings)
+    monkeypatch.setattr(ngram_join, "LEAST_BITS", 64)
+    monkeypatch.setattr(ngram_join, "MOST_BITS", bits)
     rows = corpus(size * percent)
     df = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, gram string, n int")
     got = sorted(((r.id, r.n_shingles, r.component_id) for r in ngram_join.similar(df, size, percent).collect()), key=str)
