@@ -198,3 +198,233 @@ def change_class(relations: Column, action: Column, call: Column, fallback: Colu
         F.when(relations != "", relations).when(action == "add_novel_selected_set", "novel_gene").when(action == "replace_current_with_selected_set", "replacement_without_final_gene_mapping")
         .when(action != "", action).when(call.startswith("keep_current"), "keep_current").otherwise(F.coalesce(F.nullif(fallback, F.lit("")), F.nullif(call, F.lit("")), F.lit("unknown")))
     )
+
+
+def support_profile(n: dict[str, Column], active: frozenset[str] = frozenset({"short_read", "long_read", "protein"}), shared: Column | None = None, flags: Column | None = None) -> dict[str, Column]:
+    """The words of a set's support, from the counts that `score` takes; `long_status` replaces `long_known` if it is given.
+
+    `shared` says whether other sets have one of its structures, `flags` are the risk flags of its score.
+    """
+    m = F.greatest(n["models"], F.lit(1))
+    share = lambda x: x / m
+    both, known = n["full"] + n["partial"], n["exact"] + n["long_partial"]
+    short = (
+        F.when(n["conflict"] > 0, "conflicting_support").when(share(n["full"]) >= 0.95, "full_support").when(share(both) >= 0.8, "mostly_supported").when(both > 0, "partial_support")
+        .when((n["junction_unknown"] > 0) & (n["none"] == 0), "not_assessable").when(n["none"] > 0, "none_observed").otherwise("not_configured")
+    )
+    status = n.get("long_status", F.when(n["long_known"], "available").otherwise("not_configured")) if "long_known" in n else n["long_status"]
+    long = (
+        F.when(status != "available", status).when(n["long_conflict"] > 0, "conflicting_chains_present").when(share(n["exact"]) >= 0.8, "exact_chain_support").when(share(known) >= 0.8, "mostly_supported")
+        .when(known > 0, "partial_support").when((n["mono"] > 0) & (n["unsupported"] == 0), "not_assessable_mono_exon").when(n["unsupported"] > 0, "unsupported").otherwise("available_no_support")
+    )
+    protein = F.when(share(n["protein"]) >= 0.8, "supported").when(n["protein"] > 0, "partially_supported").otherwise("not_observed")
+    off = F.lit("not_configured")
+    shared = F.lit(False) if shared is None else shared
+    return {
+        "coding_qc": F.when(n["fail"] > 0, "fail").when(n["warning"] > 0, "warning").when(share(n["pass"]) >= 0.95, "pass").when(n["pass"] > 0, "partial_pass").otherwise("not_assessed"),
+        "short_read_junction_support": short if "short_read" in active else off, "long_read_transcriptome_support": long if "long_read" in active else off, "protein_support": protein if "protein" in active else off,
+        "candidate_generation_agreement": F.when(shared, "present").otherwise("not_detected"), "cross_candidate_consistency": F.when(shared, "candidate_generation_agreement_only").otherwise("not_detected"),
+        "risk_level": F.lit("low") if flags is None else risk_level(flags),
+    }
+
+
+#: Parts of flags that make a risk high or moderate; parts of tags that say nothing against a set; tags that do.
+HIGH_RISKS, MODERATE_RISKS = ("validation_fail", "conflicting_short_read_junction", "long_read_conflicting", "homolog_protein_not_observed"), ("warning", "partial", "limited", "not_assessed", "not_configured")
+SILENT = (
+    "not_observed", "none_observed", "not_assessable", "not_configured", "not_computed", "support_absent", "no_exact_chain", "missing_junction_support", "unsupported_by_long_reads", "unsupported_transcripts_present",
+    "no_splice_junction_to_assess", "mono_exon_no_chain", "partial_junction_supported", "partial_junction_support", "partial_short_read_junction_support", "limited_short_read_junction_support",
+    "model_level_no_junction_support", "missing_for_current", "long_read_none", "long_read_not_available", "single_read_exact",
+)
+STRONG_RISKS = ("conflicting_RNA_junction", "conflicting_short_read_junction", "possible_fusion_if_components_are_independent", "misses_core_component", "includes_unsupported_component")
+EVIDENCE = ("coding_qc", "short_read_junction", "long_read", "protein")
+#: The states of each kind of evidence, best first.
+STATES = {
+    "coding_qc": ("pass", "partial_pass", "warning", "not_assessed", "fail"), "short_read_junction": ("full", "partial", "conflict", "not_assessable", "not_observed", "not_configured"),
+    "long_read": ("exact", "partial", "conflict", "not_assessable", "not_observed", "not_available", "not_configured"), "protein": ("supported", "partial", "not_observed", "not_configured"),
+}
+
+
+def _holds(array: Column, parts: tuple[str, ...]) -> Column:
+    return F.exists(F.coalesce(array, F.array().cast(NO_TAGS)), lambda x: F.coalesce(x.rlike("|".join(parts)), F.lit(False)))
+
+
+def risk_level(flags: Column) -> Column:
+    return F.when(_holds(flags, HIGH_RISKS), "high").when(_holds(flags, MODERATE_RISKS), "low_to_moderate").otherwise("low")
+
+
+def cleaned_tags(array: Column, limit: int = 8) -> Column:
+    """The first distinct tags that aren't empty and say something against a set."""
+    kept = F.filter(F.coalesce(array, F.array().cast(NO_TAGS)), lambda x: F.coalesce(x != "", F.lit(False)) & ~F.lower(x).rlike("|".join(SILENT)))
+    return F.slice(F.array_distinct(kept), 1, limit)
+
+
+def set_states(n: dict[str, Column], active: frozenset[str] = frozenset({"short_read", "long_read", "protein"})) -> dict[str, Column]:
+    """The state of each kind of evidence of a set: any model that has it counts. Counts as for `score`, and not_assessed."""
+    short = (
+        F.when(n["full"] > 0, "full").when(n["partial"] > 0, "partial").when(n["conflict"] > 0, "conflict").when((n["junction_unknown"] > 0) & (n["none"] == 0), "not_assessable")
+        .when(n["none"] > 0, "not_observed").otherwise("not_configured")
+    )
+    long = (
+        F.when(~n["long_known"], "not_available").when(n["exact"] > 0, "exact").when(n["long_partial"] > 0, "partial").when(n["long_conflict"] > 0, "conflict")
+        .when((n["mono"] > 0) & (n["unsupported"] == 0), "not_assessable").otherwise("not_observed")
+    )
+    protein = F.when(n["protein"] >= F.greatest(n["models"], F.lit(1)), "supported").when(n["protein"] > 0, "partial").otherwise("not_observed")
+    coding = F.when(n["fail"] > 0, "fail").when(n["warning"] > 0, "warning").when((n["pass"] > 0) & (n["not_assessed"] == 0), "pass").when(n["pass"] > 0, "partial_pass").otherwise("not_assessed")
+    off = F.lit("not_configured")
+    return {"coding_qc": coding, "short_read_junction": short if "short_read" in active else off, "long_read": long if "long_read" in active else off, "protein": protein if "protein" in active else off}
+
+
+def interpretation(e: Column, fit: Column, collapsed: bool) -> Column:
+    """What a set is, from its evidence struct (EVIDENCE) and component fit. A conflict weighs more than support in a set as it
+    came, and less in one that stands for several `collapsed` ones."""
+    bad = F.when(e["coding_qc"] == "fail", "biologically_problematic").when(fit.isin("misses_core_component", "includes_unsupported_component"), "topology_risk")
+    support = e["short_read_junction"].isin("full", "partial") | e["long_read"].isin("exact", "partial") | e["protein"].isin("supported", "partial")
+    conflict = (e["short_read_junction"] == "conflict") | (e["long_read"] == "conflict")
+    steps = [(support, "biologically_supported"), (conflict, "evidence_conflict")]
+    for condition, word in steps if collapsed else steps[::-1]:
+        bad = bad.when(condition, word)
+    return bad.otherwise("plausible_low_evidence")
+
+
+def component_words(mono: Column, members: Column, total: Column, tier_: Column) -> dict[str, Column]:
+    """Type, claim, role and uncertainty of a component, from whether all its models lack introns, the sets that have it, all sets."""
+    kind = F.when(mono & (members < total), "possible_extra_or_mono_exon_component").when(mono, "mono_exon_protein_coding_component").otherwise("protein_coding_transcript_component")
+    extra, shared = mono & (members < total), members == total
+    return {
+        "component_type": kind,
+        "claim": F.when(extra, "possible extra mono-exon gene or candidate-specific coding unit").when(shared, "shared supported protein-coding transcript component").when(members > 1, "supported coding component shared by a subset of candidate sets").otherwise("candidate-specific protein-coding component"),
+        "role": F.when(extra, "uncertain_extra_component").when(shared, "shared_core_component").when(tier_ == "high", "strong_component").otherwise("candidate_specific_component"),
+        "uncertainty": F.when(extra, "mono_exon_or_extra_gene_status").when(shared, "terminal_boundary_or_transcript_span").otherwise("split_merge_or_component_presence"),
+    }
+
+
+def fit_label(missing: Column, uncertain: Column, unsupported: Column, fused: Column) -> Column:
+    """How a set fits the components; the arguments are arrays of components, and whether any is covered within one gene."""
+    return (
+        F.when(F.size(missing) > 0, "misses_core_component").when(F.size(uncertain) > 0, "includes_uncertain_extra_component").when(F.size(unsupported) > 0, "includes_unsupported_component")
+        .when(fused, "fusion_of_components").otherwise("covers_core_components")
+    )
+
+
+def topology_risks(claim: Column, fused: Column, missing: Column, uncertain: Column, risks: Column) -> dict[str, Column]:
+    may = lambda c: F.when(c, "possible").otherwise("none")
+    has = lambda tag: F.coalesce(F.array_contains(risks, tag), F.lit(False))
+    return {
+        "fusion_risk": may(fused | has("possible_fusion_if_components_are_independent")), "split_risk": may(claim.contains("independent_genes") | has("possible_over_split_if_transcriptional_bridge_supports_fusion")),
+        "extra_gene_risk": may((F.size(uncertain) > 0) | has("may_accept_uncertain_extra_gene")), "missing_component_risk": may(F.size(missing) > 0),
+    }
+
+
+def direct_support(splice: Column, long: Column, protein: Column) -> Column:
+    return F.when(splice & long, "splice_and_long_read").when(splice, "splice").when(long, "long_read").when(protein, "protein_only").otherwise("none")
+
+
+#: Labels of direct support in the order in which the greatest is taken; of equal rank the first by name.
+DIRECT = ("splice_and_long_read", "long_read", "splice", "protein_only", "none")
+
+
+def component_priority(coding_fail: Column, missing: Column, extra: Column, extra_support: Column, split_possible: Column, split_support: Column) -> tuple[Column, Column]:
+    """(priority, reasons) of a set by what its components lack."""
+    weak = lambda label: label.isin("none", "protein_only")
+    reasons = tags((coding_fail, "coding_qc_fail"), (missing > 0, "missing_strong_component"), ((extra > 0) & weak(extra_support), "unsupported_extra_component"), (split_possible & weak(split_support), "unsupported_split_or_fusion_topology"))
+    first = [("coding_qc_fail", "low_priority_coding_problem"), ("missing_strong_component", "low_priority_missing_strong_component"), ("unsupported_extra_component", "low_priority_extra_component"), ("unsupported_split_or_fusion_topology", "low_priority_unsupported_split_or_fusion")]
+    return F.coalesce(*[F.when(F.array_contains(reasons, r), F.lit(p)) for r, p in first], F.lit("normal")), reasons
+
+
+def set_quality(interpretation_: Column, priority: Column) -> Column:
+    rank = F.when(interpretation_ == "biologically_supported", 4).when(interpretation_ == "evidence_conflict", 2).when(interpretation_ == "plausible_low_evidence", 1).otherwise(0)
+    return F.when(priority.startswith("low_priority"), F.least(rank, F.lit(1))).otherwise(rank)
+
+
+def structure_overall(sets: Column, variable: Column, genes: Column, introns: Column, cds: Column, exons: Column) -> tuple[Column, Column]:
+    """(overall, relevance) of the differences between a locus's sets, from their states."""
+    topology, inner = variable | (genes == "different"), (cds == "different") | (exons == "different")
+    terminal = (cds == "terminal_only_difference") | (exons == "terminal_only_difference")
+    pick = lambda *v: F.when(sets <= 1, v[0]).when(topology, v[1]).when(introns == "different", v[2]).when(inner, v[3]).when(terminal, v[4]).otherwise(v[5])
+    overall = pick("single_set", "split_merge_or_gene_count_difference", "intron_chain_difference", "internal_exon_or_CDS_difference", "terminal_boundary_only", "no_visible_structure_difference_after_collapse")
+    return overall, pick("low", "high", "high", "medium", "low", "low")
+
+
+def difference_class(sets: Column, split_merge: Column, variable: Column, overall: Column, evidence_differs: Column) -> Column:
+    return (
+        F.when(sets <= 1, "single_set").when(split_merge | (overall == "split_merge_or_gene_count_difference"), "split_merge_or_component_topology").when(variable, "component_presence_difference")
+        .when(overall.isin("intron_chain_difference", "internal_exon_or_CDS_difference", "terminal_boundary_only"), overall).when(evidence_differs, "evidence_difference_between_structures")
+        .otherwise("CDS_or_intron_structure_difference_without_visible_evidence_discriminator")
+    )
+
+
+def decision_focus(overall: Column, fields: Column) -> Column:
+    """What a decision turns on, with the kinds of evidence that differ; a single set has none."""
+    more = F.when(F.size(fields) > 0, F.concat(F.lit(" Evidence differs in: "), F.array_join(F.array_sort(F.array_distinct(fields)), ", "), F.lit("."))).otherwise("")
+    text = (
+        F.when(overall == "split_merge_or_gene_count_difference", "Compare component topology: independent genes versus fused, extra, or missing components.")
+        .when(overall == "intron_chain_difference", "Compare alternative intron chains using transcript junction and long-read chain evidence.")
+        .when(overall == "internal_exon_or_CDS_difference", "Compare internal CDS/exon structure using coding QC, transcript support, and protein support.")
+        .when(overall == "terminal_boundary_only", "Candidate sets mainly differ at terminal CDS/exon boundaries; listed evidence may not distinguish them.")
+    )
+    rest = F.when(overall == "single_set", "Only one annotation set remains after deterministic collapse.").otherwise("Select the listed annotation set best supported by coding QC, transcript evidence, protein evidence, and component topology.")
+    return F.coalesce(F.concat(text, more), rest)
+
+
+def main_question(overall: Column, uncertainty: Column) -> Column:
+    return (
+        F.when(overall == "split_merge_or_gene_count_difference", "component_topology_or_gene_count").when(overall == "intron_chain_difference", "which_intron_chain_is_best_supported")
+        .when(overall == "internal_exon_or_CDS_difference", "which_internal_CDS_or_exon_structure_is_best_supported").when(overall == "terminal_boundary_only", "terminal_boundary_tie_break")
+        .otherwise(F.coalesce(uncertainty, F.lit("which listed annotation set is best supported")))
+    )
+
+
+def strong_risk(risks: Column) -> Column:
+    return F.arrays_overlap(F.coalesce(risks, F.array().cast(NO_TAGS)), F.array(*map(F.lit, STRONG_RISKS)))
+
+
+def auto_risk(interpretation_: Column, risks: Column, gate: Column) -> tuple[Column, Column]:
+    """(level, reasons) of a set that a gate chose."""
+    strong, some = strong_risk(risks), F.size(F.coalesce(risks, F.array().cast(NO_TAGS))) > 0
+    base = F.when(interpretation_ == "biologically_supported", "low").when(interpretation_.isin("plausible_low_evidence", "evidence_conflict"), "moderate").otherwise("high")
+    level = F.when(strong, "high").when(some & (base == "low"), "low_to_moderate").otherwise(base)
+    reasons = tags(
+        (interpretation_ == "biologically_supported", "selected_set_has_direct_biological_support"), (interpretation_ == "plausible_low_evidence", "single_selected_set_has_limited_direct_evidence"), (interpretation_ == "evidence_conflict", "selected_set_has_conflicting_evidence"),
+        (~interpretation_.isin("biologically_supported", "plausible_low_evidence", "evidence_conflict"), "selected_set_has_topology_or_coding_risk"), (strong, "strong_risk_tag_present"), (~strong & some, "nonblocking_risk_tags_present"),
+        (gate.startswith("Gate_A"), "no_alternative_CDS_intron_set_after_collapse"), (gate.startswith("Gate_B"), "dominant_supported_set_passed_strict_gate"), (gate.startswith("Gate_C"), "terminal_boundary_only_without_visible_evidence_discriminator"),
+    )
+    return level, reasons
+
+
+def risk_router(complex_reasons: Column, hard: Column, supported_structures: Column, disjoint: Column, any_fail: Column, de_novo: bool = False) -> dict[str, Column]:
+    """Whether a locus needs a decision, and which. `complex_reasons` and `hard` are arrays of triggers; `supported_structures` is
+    the number of distinct structures of supported models; `disjoint`: junctions and proteins support different ones."""
+    extra = tags((supported_structures > 1, "multiple_supported_distinct_structures"), (disjoint, "RNA_protein_support_different_structures"), (any_fail, "one_or_more_candidate_validation_fail"))
+    triggers = F.array_sort(F.array_distinct(F.concat(complex_reasons, extra)))
+    conflict = F.when(disjoint, "RNA_protein_conflict").when(supported_structures > 1, "supported_model_conflict").when(F.size(complex_reasons) > 0, "complex_locus").when(any_fail, "validation_conflict").otherwise("none")
+    risk, flagged = F.size(hard) > 0, F.size(triggers) > 0
+    pick = lambda a, b, c: F.when(risk, a).when(flagged, b).otherwise(c)
+    space = "choose_candidate_set" if de_novo else "keep_current_set,choose_candidate_set"
+    return {
+        "risk_flagged": risk, "risk_triggers": F.when(risk, joined(F.array_sort(F.array_distinct(hard)))).otherwise(joined(triggers)), "decision_required": ~risk,
+        "decision_requirement": pick("risk_flagged_no_ai_decision", "AI_must_select_best_candidate_gene_set_with_complexity_or_conflict_flags" if de_novo else "AI_must_select_best_gene_set_with_complexity_or_conflict_flags", "AI_must_select_one_best_candidate_gene_set_id" if de_novo else "AI_must_select_one_best_gene_set_id"),
+        "recommended_action_space": pick("risk_flagged", space, space), "conflict_class": conflict,
+        "recommended_next_gate": pick("risk_review_after_pipeline", "AI_gene_set_arbitration_with_complexity_flags_then_set_validation", "AI_gene_set_arbitration_then_set_validation"),
+    }
+
+
+def long_read_flags(status: Column, support: Column, more: Column) -> tuple[Column, Column]:
+    """(flags, risk tags) that a model's long reads add; `more` are risk tags of the support table."""
+    there = ~status.isin("not_configured", "not_available_for_source", "missing_for_model")
+    is_ = lambda s: there & (support == s)
+    flags = tags((is_("exact_chain_supported"), "long_read_exact_chain_supported"), (is_("single_read_exact_chain"), "long_read_single_read_exact_chain"), (is_("all_junctions_supported_no_exact_chain"), "long_read_all_junctions_supported_no_exact_chain"), (is_("partial_junction_supported"), "long_read_partial_junction_supported"))
+    risks = tags(
+        (status == "not_available_for_source", "long_read_not_available_for_source"), (status == "missing_for_model", "long_read_missing_for_model"), (is_("single_read_exact_chain"), "long_read_single_read_exact_chain"), (is_("all_junctions_supported_no_exact_chain"), "long_read_no_exact_chain"),
+        (is_("partial_junction_supported"), "long_read_partial_junction_supported"), (is_("unsupported_by_long_reads"), "long_read_unsupported_by_long_reads"), (is_("mono_exon_not_assessable"), "long_read_mono_exon_not_assessable"),
+    )
+    own = F.transform(F.coalesce(more, F.array().cast(NO_TAGS)), lambda t: F.concat(F.lit("long_read_"), t))
+    return flags, F.when(there, F.array_sort(F.array_union(risks, own))).otherwise(risks)
+
+
+def junction_summary_flags(status: Column, fraction: Column, full_chain: Column) -> tuple[Column, Column]:
+    """(flags, risk tags) that a current model's own junction summary adds."""
+    direct = status == "direct_current_summary_available"
+    some = direct & ~full_chain & (fraction > 0) & (fraction < 1)
+    flags = tags((direct & full_chain, "model_level_full_intron_chain_supported"), (some, "model_level_partial_junction_support"))
+    risks = tags((direct & ~full_chain & (fraction == 0), "model_level_no_junction_support"), (some, "model_level_partial_junction_support"), (status.isin("missing_for_current_model", "not_available_for_de_novo_model"), status))
+    return flags, risks

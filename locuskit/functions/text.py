@@ -46,6 +46,20 @@ def decoded(text: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
 
 
+def released_value(text: Column) -> Column:
+    """A value as a release writes it: decoded (up to three times), then percent-encoded but for letters, digits and `_.-~:|,`."""
+    for _ in range(3):
+        text = decoded(text)
+    out = F.url_encode(text)
+    for c, code in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%3A", ":"), ("%7C", "|"), ("%2C", ",")):
+        out = F.replace(out, F.lit(c), F.lit(code))
+    return out
+
+
+def released_text(pairs: Column) -> Column:
+    return F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), released_value(p["v"]))), ";")
+
+
 def split_list(text: Column, drop_dots: bool = False) -> Column:
     """Items between commas or semicolons, trimmed, without empty ones."""
     items = F.transform(F.split(F.translate(F.coalesce(text, F.lit("")), ";", ","), ","), lambda x: F.trim(x))
@@ -98,10 +112,10 @@ def transcript_of(gene: Column) -> Column:
 
 
 def id_parts(gene: Column) -> Column:
-    """struct<prefix,number,width,suffix> by the last number after a G, else by the longest (then first) number."""
-    after_g = F.regexp_extract(gene, r"^(.*[Gg])(\d+)(\D*)$", 2)
+    """struct<prefix,number,width,suffix> by the last number right after a G, else by the longest (then first) number; else null."""
+    after_g = F.regexp_extract(gene, r"^(.*[Gg])(\d+)(.*)$", 2)
     numbers = F.regexp_extract_all(gene, F.lit(r"(\d+)"), 1)
     longest = F.aggregate(numbers, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
     number = F.when(after_g != "", after_g).otherwise(longest)
-    prefix = F.when(after_g != "", F.regexp_extract(gene, r"^(.*[Gg])(\d+)(\D*)$", 1)).otherwise(F.substr(gene, F.lit(1), F.instr(gene, number) - 1))
+    prefix = F.when(after_g != "", F.regexp_extract(gene, r"^(.*[Gg])(\d+)(.*)$", 1)).otherwise(F.substr(gene, F.lit(1), F.instr(gene, number) - 1))
     return F.when(number != "", F.struct(prefix.alias("prefix"), number.cast("long").alias("number"), F.length(number).alias("width"), F.substr(gene, F.length(prefix) + F.length(number) + 1).alias("suffix")))

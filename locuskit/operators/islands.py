@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,33 +16,60 @@ def merge_intervals(df: DataFrame, on: list[str], gap: int = 1) -> DataFrame:
     return marked.groupBy(*on, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("__island")
 
 
-def as_of(df: DataFrame, anchors: DataFrame, on: list[str], at: str, value: str, after: bool = False) -> DataFrame:
-    """Each row with the anchor value at or before (or strictly after) its place, or null; one sort, no join."""
+#: Width of the bins into which a long key is cut, in units of the ordering column.
+BIN = 1 << 20
+
+
+def _carried(places: DataFrame, on: list[str], at: str, value: str, after: bool, width: int) -> DataFrame:
+    """For each bin of `places` (on, at, value) its key, number, and the nearest value of the bins before (or after) it.
+
+    One row per bin is all that meets in a window of a key, however many rows the key has.
+    """
+    bins = places.groupBy(*on, F.floor(F.col(at) / width).alias("__bin")).agg((F.min_by if after else F.max_by)(value, F.when(F.col(value).isNotNull(), F.col(at))).alias("__value"))
+    order = W.partitionBy(*on).orderBy(F.desc("__bin") if after else F.asc("__bin")).rowsBetween(W.unboundedPreceding, -1)
+    return bins.withColumn("__value", F.last("__value", ignorenulls=True).over(order)).filter("__value is not null")
+
+
+def as_of(df: DataFrame, anchors: DataFrame, on: list[str], at: str, value: str, after: bool = False, width: int = BIN) -> DataFrame:
+    """Each row with the anchor value at or before (or strictly after) its place, or null; no join of rows with anchors.
+
+    Rows and anchors are sorted within bins of `width` places of a key, so a key with many rows is many tasks' work, and a
+    bin starts with what the bins before it hand on. Anchors at one place should be reduced to one.
+    """
     name = "next_value" if after else "last_value"
-    both = df.withColumn("__anchor", F.lit(None).cast(anchors.schema[value].dataType)).withColumn("__kind", F.lit(1)).unionByName(
-        anchors.select(*on, at, F.col(value).alias("__anchor")).withColumn("__kind", F.lit(0)), allowMissingColumns=True
-    )
-    order = W.partitionBy(*on).orderBy(at, "__kind")
-    if after:
-        found = F.first("__anchor", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
-    else:
-        found = F.last("__anchor", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return both.withColumn(name, found).filter("__kind = 1").drop("__anchor", "__kind")
+    kind = anchors.schema[value].dataType
+    told = anchors.select(*on, at, F.col(value).alias("__value"))
+    carried = _carried(told.union(df.select(*on, at, F.lit(None).cast(kind))), on, at, "__value", after, width)
+    rows = df.withColumns({"__value": F.lit(None).cast(kind), "__kind": F.lit(1), "__bin": F.floor(F.col(at) / width)})
+    both = rows.unionByName(told.withColumns({"__kind": F.lit(0), "__bin": F.floor(F.col(at) / width)}), allowMissingColumns=True).unionByName(carried.withColumn("__kind", F.lit(-1)), allowMissingColumns=True)
+    # What is handed on comes first; at one place an anchor counts as before the rows, so a strict look ahead passes it over.
+    first = F.when(F.col("__kind") == -1, 0).otherwise(1)
+    order = W.partitionBy(*on, "__bin").orderBy(first, F.desc(at), F.desc("__kind")) if after else W.partitionBy(*on, "__bin").orderBy(first, F.asc(at), F.asc("__kind"))
+    found = F.last("__value", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return both.withColumn(name, found).filter("__kind = 1").drop("__value", "__kind", "__bin")
 
 
-def forward_fill(df: DataFrame, on: list[str], order: str, column: str) -> DataFrame:
-    """The column's last value that isn't null, in the given order."""
-    return df.withColumn(column, F.last(column, ignorenulls=True).over(W.partitionBy(*on).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+def forward_fill(df: DataFrame, on: list[str], order: str, column: str, width: int = BIN) -> DataFrame:
+    """The column's last value that isn't null, in the given numeric order; bins as in `as_of`."""
+    carried = _carried(df.select(*on, order, column), on, order, column, False, width)
+    both = df.withColumns({"__kind": F.lit(1), "__bin": F.floor(F.col(order) / width)}).unionByName(carried.withColumnRenamed("__value", column).withColumn("__kind", F.lit(0)), allowMissingColumns=True)
+    by = W.partitionBy(*on, "__bin").orderBy("__kind", order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return both.withColumn(column, F.last(column, ignorenulls=True).over(by)).filter("__kind = 1").drop("__kind", "__bin")
 
 
-def numbered(df: DataFrame, order: list, name: str, buckets: str | None = None) -> DataFrame:
-    """Rows numbered from 1 over the whole table without one sort of all: counts per bucket are summed up first.
+def numbered(df: DataFrame, order: list, name: str, buckets: list[Column | str]) -> DataFrame:
+    """Rows numbered from 1 over the whole table without a sort of all in one task: counts per bucket are summed up first.
 
-    `buckets` is a column whose order agrees with `order` (a sequence id, say); its distinct values are few.
+    `buckets` are columns or expressions that rise with `order` (a sequence id and a bin of places, say). Only one row per
+    bucket goes through a single window.
     """
-    if buckets is None:
-        return df.withColumn(name, F.row_number().over(W.orderBy(*order)))
-    sizes = df.groupBy(buckets).agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy(buckets).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    own = df.withColumn("__row", F.row_number().over(W.partitionBy(buckets).orderBy(*order)))
-    return own.join(before, buckets).withColumn(name, (F.col("__before") + F.col("__row")).cast("long")).drop("__before", "__row")
+    keys = [f"__b{i}" for i in range(len(buckets))]
+    kept = df.withColumns({k: F.col(b) if isinstance(b, str) else b for k, b in zip(keys, buckets, strict=True)})
+    sizes = kept.groupBy(*keys).agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    before = before.select(*[F.col(k).alias(f"{k}_r") for k in keys], "__before")
+    own = kept.withColumn("__row", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_r"))
+    return own.join(before, same).withColumn(name, (F.col("__before") + F.col("__row")).cast("long")).select(*df.columns, name)

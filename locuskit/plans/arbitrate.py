@@ -43,7 +43,7 @@ def arbitrate(models: DataFrame, observed: DataFrame, hits: DataFrame, priority:
     roots = components.components(models.select(F.col("tx_id").alias("node")), edges)
     placed = models.join(roots.withColumnRenamed("node", "tx_id"), "tx_id")
     first = placed.groupBy("root").agg(F.min(F.struct("seqid", "start", "end", "tx_id")).alias("first")).select("root", "first.seqid", "first")
-    loci, _ = written(islands.numbered(first, ["first"], "k", buckets="seqid").select("root", text.numbered_id("locus_", F.col("k"), 8).alias("locus_id")), "loci")
+    loci, _ = written(islands.numbered(first, ["first"], "k", ["seqid", F.floor(F.col("first.start") / islands.BIN)]).select("root", text.numbered_id("locus_", F.col("k"), 8).alias("locus_id")), "loci")
 
     rank = F.array_position(F.array(*map(F.lit, priority)), F.col("source"))
     m = placed.join(loci, "root").join(status, "tx_id").withColumn("hits", F.coalesce("hits", F.lit(0)))

@@ -41,14 +41,24 @@ def k09_gtf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("tx_id").alias("l_orderkey"), F.col("exon_no").alias("l_linenumber"), writers.gtf_line(F.col("gene_id"), F.col("tx_id").cast("string")).alias("line"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'ID=' || p_partkey || ';biotype=x' WHEN 1 THEN 'ID=' || p_partkey || ';Name=n;Parent=g' ELSE 'ID=' || p_partkey || ';Parent=g' END AS attributes FROM part", views=False)
+_CLEAN = """WITH r AS (SELECT p_partkey, ['gene', 'mRNA', 'CDS', 'exon', 'lnc_RNA', 'stop_codon'][1 + p_partkey % 6] AS feature, p_partkey::VARCHAR AS id,
+  CASE WHEN p_size % 3 = 0 THEN p_partkey::VARCHAR WHEN p_size % 3 = 1 THEN p_brand ELSE '' END AS name, CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END AS biotype FROM part),
+k AS (SELECT *, lower(feature) AS f FROM r)
+SELECT p_partkey, concat_ws(';', 'ID=' || id, CASE WHEN f <> 'gene' THEN 'Parent=g' END, CASE WHEN f IN ('gene', 'mrna', 'lnc_rna') AND name <> id AND name <> '' THEN 'Name=' || replace(replace(name, '#', '%23'), ' ', '%20') END,
+  CASE WHEN f IN ('gene', 'mrna', 'lnc_rna') THEN 'biotype=' || CASE WHEN biotype <> '' THEN replace(biotype, ' ', '%20') WHEN f = 'gene' THEN 'gb' ELSE 'tb' END END, CASE WHEN f = 'cds' THEN 'protein_id=p1' END) AS attributes,
+  CASE f WHEN 'gene' THEN 0 WHEN 'mrna' THEN 1 WHEN 'lnc_rna' THEN 1 WHEN 'exon' THEN 2 WHEN 'cds' THEN 4 ELSE 5 END AS rank FROM k"""
+
+
+@query(_CLEAN, views=False)
 def k10_clean_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a release keeps of each class of feature."""
-    k, ident = F.col("p_partkey") % 3, F.col("p_partkey").cast("string")
-    feature = F.when(k == 0, "gene").when(k == 1, "mRNA").otherwise("exon")
-    line = F.concat(F.lit("ID="), ident, F.lit(";Name="), F.when(k == 1, "n").otherwise(ident), F.lit(";Parent=g;trace=1;biotype=x"))
-    line = F.when(k == 1, F.concat(F.lit("ID="), ident, F.lit(";Name=n;Parent=g;score=1"))).otherwise(line)
-    return table(spark, sf_dir, "part").select("p_partkey", text.attribute_text(writers.clean_attributes(text.attribute_pairs(line), feature)).alias("attributes"))
+    """What a release keeps of each class of feature, and the rank of the feature."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    feature = F.element_at(F.array(*map(F.lit, ("gene", "mRNA", "CDS", "exon", "lnc_RNA", "stop_codon"))), (k % 6 + 1).cast("int"))
+    name = F.when(F.col("p_size") % 3 == 0, k.cast("string")).when(F.col("p_size") % 3 == 1, text.encoded(F.col("p_brand"))).otherwise("")
+    biotype = F.when(F.col("p_size") % 2 == 0, text.encoded(F.col("p_type"))).otherwise("")
+    line = F.concat(F.lit("trace=1;protein_id=p1;biotype="), biotype, F.lit(";gene_biotype=gb;transcript_biotype=tb;exon_number=3;Note=x;Name="), name, F.lit(";Parent=g;ID=0;ID="), k.cast("string"))
+    kept = writers.clean_attributes(text.attribute_pairs(line), feature)
+    return part.select("p_partkey", text.released_text(kept).alias("attributes"), writers.feature_rank(feature).cast("int").alias("rank"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey % 3 = 0)", views=False)
@@ -90,19 +100,19 @@ def j24_parent_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(parents, "o_custkey", "left").select("o_orderkey", status.alias("status"))
 
 
-@query("SELECT gene_id, source FROM (SELECT gene_id, source, count(DISTINCT l) AS n FROM (SELECT gene_id, source, e - s + 1 AS l FROM cds WHERE e - s < 12) GROUP BY ALL) JOIN (SELECT gene_id, count(DISTINCT e - s + 1) AS total FROM cds WHERE e - s < 12 GROUP BY ALL) USING (gene_id) WHERE n = total")
+@query("SELECT gene_id, source FROM (SELECT gene_id, source, count(DISTINCT l) AS n FROM (SELECT gene_id, source, e - s + 1 AS l FROM cds ) GROUP BY ALL) JOIN (SELECT gene_id, count(DISTINCT e - s + 1) AS total FROM cds GROUP BY ALL) USING (gene_id) WHERE n = total")
 def a17_supporting_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that have every coding length of a gene: relational division by two counts."""
-    c = transcripts(spark, sf_dir).select("gene_id", "source", F.explode("coding").alias("b")).select("gene_id", "source", (F.col("b.end") - F.col("b.start") + 1).alias("l")).filter("l <= 12")
+    c = transcripts(spark, sf_dir).select("gene_id", "source", F.explode("coding").alias("b")).select("gene_id", "source", (F.col("b.end") - F.col("b.start") + 1).alias("l"))
     n = c.groupBy("gene_id", "source").agg(F.count_distinct("l").alias("n"))
     total = c.groupBy("gene_id").agg(F.count_distinct("l").alias("total"))
     return n.join(total, "gene_id").filter("n = total").select("gene_id", "source")
 
 
-@query("SELECT l_suppkey, gcd_step AS step FROM (SELECT l_suppkey, list_reduce(list_prepend(0::BIGINT, list(d)), lambda a, b: gcd(a, b)) AS gcd_step FROM (SELECT l_suppkey, k - lag(k) OVER (PARTITION BY l_suppkey ORDER BY k) AS d FROM (SELECT DISTINCT l_suppkey, l_partkey * 5 AS k FROM lineitem WHERE l_partkey % 4 = 1)) WHERE d IS NOT NULL GROUP BY l_suppkey)", views=False)
+@query("SELECT l_suppkey, gcd_step AS step FROM (SELECT l_suppkey, list_reduce(list_prepend(0::BIGINT, list(d)), lambda a, b: gcd(a, b)) AS gcd_step FROM (SELECT l_suppkey, k - lag(k) OVER (PARTITION BY l_suppkey ORDER BY k) AS d FROM (SELECT DISTINCT l_suppkey, l_partkey * 5 AS k FROM lineitem)) WHERE d IS NOT NULL GROUP BY l_suppkey)", views=False)
 def a26_numeric_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greatest common divisor of neighbouring differences, by Euclid's rule inside a fold."""
-    k = table(spark, sf_dir, "lineitem").filter("l_partkey % 4 = 1").select("l_suppkey", (F.col("l_partkey") * 5).alias("k")).distinct()
+    k = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_partkey") * 5).alias("k")).distinct()
     d = k.select("l_suppkey", (F.col("k") - F.lag("k").over(W.partitionBy("l_suppkey").orderBy("k"))).alias("d")).filter("d is not null")
     step = lambda p: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), F.coalesce(F.try_mod(p["a"], p["b"]), F.lit(0)).cast("long").alias("b")))
     euclid = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), lambda p, _: step(p))["a"]
@@ -139,7 +149,7 @@ def w11_sequential_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New identifiers in order above the largest known number; known ones stay."""
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") < 0).alias("new"), (F.col("c_custkey") / 1000).cast("long").alias("bucket"))
     top = c.agg(F.max("c_custkey").alias("top"))
-    new = islands.numbered(c.filter("new"), ["c_custkey"], "k", buckets="bucket").join(F.broadcast(top)).select("c_custkey", (F.col("k") + F.col("top")).alias("n"))
+    new = islands.numbered(c.filter("new"), ["c_custkey"], "k", ["bucket"]).join(F.broadcast(top)).select("c_custkey", (F.col("k") + F.col("top")).alias("n"))
     both = new.union(c.filter("not new").select("c_custkey", F.col("c_custkey").alias("n")))
     return both.select("c_custkey", text.numbered_id("GeneG", F.col("n"), 8).alias("gene"))
 
@@ -153,25 +163,39 @@ def lineage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     union = intervals.length(F.col("old_c")) + intervals.length(F.col("new_c")) - bp
     middle = lambda s: F.floor((F.col(f"{s}_s") + F.col(f"{s}_e")) / 2)
     return p.select(
-        "locus", "old_id", "new_id", bp.alias("cds_bp"), F.size(F.array_intersect("old_c", "new_c")).cast("long").alias("exact"), F.coalesce(F.floor(bp * 1_000_000 / F.nullif(union, F.lit(0))), F.lit(0)).cast("long").alias("ppm"),
+        "locus", "old_id", "new_id", F.col("old_s").alias("old_at"), F.col("new_s").alias("new_at"), bp.alias("cds_bp"), F.size(F.array_intersect("old_c", "new_c")).cast("long").alias("exact"), F.coalesce(F.floor(bp * 1_000_000 / F.nullif(union, F.lit(0))), F.lit(0)).cast("long").alias("ppm"),
         intervals.overlap(F.col("old_s"), F.col("old_e"), F.col("new_s"), F.col("new_e")).alias("span"), (-F.abs(middle("old") - middle("new"))).cast("long").alias("near"),
     )
 
 
-@query()
+# Windows hold two models of either side at most, so the assignments of the smaller side are the shifts of the larger one.
+_ASSIGNED = """, c AS (SELECT t.tx_id, t.tx_id // 4 AS locus, t.tx_id % 4 < 2 AS old, t.s, t.e, coalesce(any_value(k), []) AS k, coalesce(any_value(cn), 0) AS n
+  FROM tx t LEFT JOIN (SELECT tx_id, list({'s': s, 'e': e} ORDER BY s, e) AS k, sum(e - s + 1)::BIGINT AS cn FROM cds GROUP BY tx_id) USING (tx_id) GROUP BY ALL),
+p AS (SELECT o.locus, o.tx_id AS old_id, n.tx_id AS new_id, o.s AS os, n.s AS ns, o.n + n.n AS total,
+    coalesce(list_sum(flatten(list_transform(o.k, lambda u: list_transform(n.k, lambda v: greatest(0, least(u.e, v.e) - greatest(u.s, v.s) + 1))))), 0)::BIGINT AS bp,
+    len(list_distinct(list_filter(o.k, lambda u: list_contains(n.k, u))))::BIGINT AS exact, greatest(0, least(o.e, n.e) - greatest(o.s, n.s) + 1)::BIGINT AS span, (-abs((o.s + o.e) // 2 - (n.s + n.e) // 2))::BIGINT AS near
+  FROM c o JOIN c n ON o.locus = n.locus AND o.old AND NOT n.old),
+q AS (SELECT *, CASE WHEN total > bp THEN bp * 1000000 // (total - bp) ELSE 0 END AS ppm, dense_rank() OVER (PARTITION BY locus ORDER BY os, old_id::VARCHAR) - 1 AS i, dense_rank() OVER (PARTITION BY locus ORDER BY ns, new_id::VARCHAR) - 1 AS j FROM p),
+z AS (SELECT *, 1 + max(i) OVER (PARTITION BY locus) AS olds, 1 + max(j) OVER (PARTITION BY locus) AS news FROM q),
+o AS (SELECT *, CASE WHEN news <= olds THEN (i - j + olds) % olds ELSE (j - i + news) % news END AS shift FROM z),
+b AS (SELECT locus, shift, sum(bp) AS x1, sum(exact) AS x2, sum(ppm) AS x3, sum(span) AS x4, sum(near) AS x5 FROM o GROUP BY locus, shift),
+w AS (SELECT locus, shift, row_number() OVER (PARTITION BY locus ORDER BY x1 DESC, x2 DESC, x3 DESC, x4 DESC, x5 DESC, shift) AS k FROM b)
+SELECT o.locus, o.old_id::VARCHAR AS old_id, o.new_id::VARCHAR AS new_id FROM o JOIN w ON o.locus = w.locus AND o.shift = w.shift AND k = 1"""
+
+
+@query(_ASSIGNED)
 def g06_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-to-one lineage per locus by the greatest score vector (G06 to G08); tests weigh all assignments."""
+    """One-to-one lineage per locus by the greatest score vector (G06 to G08); tests weigh all assignments of larger loci."""
     return lineage.assign(lineage_scores(spark, sf_dir), "locus", ["cds_bp", "exact", "ppm", "span", "near"])
 
 
 @query()
 def g09_positional_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers for new models in the gaps between current ones on a sequence (G09, J22); tests check the rule."""
-    t = transcripts(spark, sf_dir).select("tx_id", "seqid", "source", "start")
-    known = t.filter("source = 'current'").withColumn("number", F.col("tx_id") * 10)
-    new = t.filter("source = 'ToolA'")
-    low = islands.as_of(new, known.groupBy("seqid", "start").agg(F.max("number").alias("number")), ["seqid"], "start", "number")
-    both = islands.as_of(low, known.groupBy("seqid", "start").agg(F.min("number").alias("number")), ["seqid"], "start", "number", after=True)
-    gap = F.concat_ws(":", "seqid", F.coalesce(F.col("last_value").cast("string"), F.lit("")), F.coalesce(F.col("next_value").cast("string"), F.lit("")))
-    gaps = both.select(gap.alias("gap"), F.col("last_value").alias("low"), F.col("next_value").alias("high"), F.lit(None).cast("array<long>").alias("taken"), F.col("tx_id").cast("string").alias("new_id"), F.col("start").alias("place"))
-    return lineage.allocate(gaps, "gap").select("new_id", "number")
+    """Numbers for new models in the gaps between current ones of their sequence (G09, A27, J22); tests check the rule.
+
+    One name space holds all sequences, as in an annotation whose identifiers don't name theirs.
+    """
+    t = transcripts(spark, sf_dir).select("tx_id", "seqid", "source", "start", "end")
+    known = t.filter("source = 'current'").select("seqid", "start", text.numbered_id("GeneG", F.col("tx_id") * 10, 9).alias("gene_id"))
+    new = t.filter("source = 'ToolA'").select(F.col("tx_id").cast("string").alias("new_id"), "seqid", "start", "end")
+    return lineage.positional_ids(new, known, known.select("gene_id"))

@@ -71,7 +71,12 @@ def p15_coding_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("tx_id", F.explode(both).alias("z")).select("tx_id", F.col("z.b.start").alias("start"), F.col("z.p").alias("phase"))
 
 
-@query("SELECT p_partkey, coalesce(CASE WHEN p_partkey <= 26 THEN chr((64 + p_partkey)::INTEGER) ELSE chr((64 + (p_partkey - 1) // 26)::INTEGER) || chr((65 + (p_partkey - 1) % 26)::INTEGER) END, '') AS alias, 'S' || lpad((p_partkey % 100)::VARCHAR, 2, '0') AS set_alias FROM part WHERE p_partkey BETWEEN 1 AND 700", views=False)
+_ALIASES = """WITH RECURSIVE l(p_partkey, rest, alias) AS (
+  SELECT p_partkey, p_partkey::BIGINT, '' FROM part UNION ALL SELECT p_partkey, (rest - 1) // 26, chr((65 + (rest - 1) % 26)::INTEGER) || alias FROM l WHERE rest > 0)
+SELECT p_partkey, CASE WHEN p_partkey < 1 THEN 'A' ELSE alias END AS alias, 'S' || lpad((p_partkey % 100)::VARCHAR, 2, '0') AS set_alias FROM l WHERE rest <= 0"""
+
+
+@query(_ALIASES, views=False)
 def p19_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select("p_partkey", text.letters(k).alias("alias"), text.numbered_id("S", k % 100, 2).alias("set_alias"))
@@ -125,8 +130,8 @@ def x07_bounded_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genome(spark, sf_dir).select("doc_id", sequence.cut(F.col("seq"), F.lit(11), F.lit(60)).alias("part"))
 
 
-@query(_GENOME + """SELECT doc_id, length(cds)::BIGINT AS n, coalesce(len(list_filter(range(0, greatest(length(cds) // 3 - 1, 0)), lambda i: substr(cds, 3 * i + 1, 3) IN ('TAA', 'TAG', 'TGA'))), 0) > 0 AS inner_stop,
-  right(cds, 3) IN ('TAA', 'TAG', 'TGA') AS stop, left(cds, 3) = 'ATG' AS start, (length(cds) % 3)::BIGINT AS rest FROM (SELECT doc_id, left(seq, 300) AS cds FROM g)""", views=False)
+@query(_GENOME + """SELECT doc_id, length(cds)::BIGINT AS n, regexp_matches(left(cds, 3 * greatest((length(cds) // 3)::BIGINT - 1, 0)), '^(...)*?(TAA|TAG|TGA)') AS inner_stop,
+  right(cds, 3) IN ('TAA', 'TAG', 'TGA') AS stop, left(cds, 3) = 'ATG' AS start, (length(cds) % 3)::BIGINT AS rest FROM (SELECT doc_id, seq AS cds FROM g)""", views=False)
 def x09_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
     cds = F.col("seq")
     return genome(spark, sf_dir).select(
@@ -232,7 +237,7 @@ def w12_median_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o01_natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chr2 before chr10: numbers inside names sort by value."""
     n = table(spark, sf_dir, "nation").withColumn("seqid", F.concat(F.lit("chr"), (F.col("n_nationkey") % 12).cast("string")))
-    return n.select("n_name", F.row_number().over(W.orderBy(text.natural_key(F.col("seqid")), "n_nationkey")).cast("long").alias("place"))
+    return islands.numbered(n, ["n_nationkey"], "place", [text.natural_key(F.col("seqid"))]).select("n_name", "place")
 
 
 @query("SELECT tx_id, CASE source WHEN 'ToolB' THEN 1 WHEN 'current' THEN 2 ELSE 3 END AS rank FROM tx")
@@ -251,7 +256,7 @@ def o08_top_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT tx_id, row_number() OVER (ORDER BY seqid, s, e, tx_id) AS number FROM tx")
 def w02_genome_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return islands.numbered(transcripts(spark, sf_dir).select("tx_id", "seqid", "start", "end"), ["start", "end", "tx_id"], "number", buckets="seqid").select("tx_id", "number")
+    return islands.numbered(transcripts(spark, sf_dir).select("tx_id", "seqid", "start", "end"), ["start", "end", "tx_id"], "number", ["seqid", F.floor(F.col("start") / islands.BIN)]).select("tx_id", "number")
 
 
 @query("SELECT tx_id, s AS start, e AS \"end\" FROM intron")

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from locuskit.functions import text
 
-#: Attributes that a released feature keeps, and the order of features at one place.
-KEPT = {
-    "gene": ("ID", "Name", "gene_biotype", "biotype", "Note"), "tx": ("ID", "Name", "Parent", "transcript_biotype", "biotype"), "part": ("ID", "Parent", "protein_id", "exon_number"),
+#: Transcript features in lower case; attributes that a released feature keeps, in their order; the rank of
+#: features at one place.
+TRANSCRIPTS = ("mrna", "transcript", "rna", "lnc_rna", "ncrna", "rrna", "trna", "mirna", "snrna", "snorna", "pre_mirna", "primary_transcript")
+KEPT = {"gene": ("ID", "Name", "biotype"), "tx": ("ID", "Parent", "Name", "biotype"), "cds": ("ID", "Parent", "protein_id"), "part": ("ID", "Parent")}
+RANKS = {
+    "gene": 0, "mrna": 1, "transcript": 1, "rna": 1, "lnc_rna": 1, "ncrna": 1, "rrna": 1, "trna": 1, "mirna": 1, "snrna": 1, "snorna": 1, "exon": 2, "five_prime_utr": 3, "three_prime_utr": 3, "utr": 3, "cds": 4, "start_codon": 5, "stop_codon": 5,
 }
-ORDER = ("gene", "mRNA", "transcript", "exon", "five_prime_UTR", "CDS", "three_prime_UTR")
 
 
 def gff_line(attributes: Column, source: Column | None = None) -> Column:
@@ -21,15 +23,24 @@ def gff_line(attributes: Column, source: Column | None = None) -> Column:
 
 
 def feature_class(feature: Column) -> Column:
-    return F.when(feature == "gene", "gene").when(F.lower(feature).isin("mrna", "transcript", "rna"), "tx").otherwise("part")
+    f = F.lower(feature)
+    return F.when(f == "gene", "gene").when(f.isin(*TRANSCRIPTS), "tx").when(f == "cds", "cds").otherwise("part")
 
 
 def clean_attributes(pairs: Column, feature: Column) -> Column:
-    """What the class of the feature keeps, in the old order; a Name that repeats the ID goes."""
-    kept = lambda names: F.filter(pairs, lambda p: p["k"].isin(*names))
-    own = F.when(feature_class(feature) == "gene", kept(KEPT["gene"])).when(feature_class(feature) == "tx", kept(KEPT["tx"])).otherwise(kept(KEPT["part"]))
-    ident = text.attribute(pairs, "ID")
-    return F.filter(own, lambda p: ~((p["k"] == "Name") & (p["v"] == F.coalesce(ident, F.lit("")))))
+    """What the class of the feature keeps, in the order of KEPT, of repeated keys the last; empty values go.
+
+    A gene or transcript without `biotype` takes it from `gene_biotype` or `transcript_biotype`; a Name that is the ID, once
+    both are decoded, goes.
+    """
+    last = lambda k: F.try_element_at(F.filter(pairs, lambda p: p["k"] == k), F.lit(-1))["v"]
+    value = lambda k: F.nullif(last(k), F.lit(""))
+    kind = feature_class(feature)
+    biotype = F.coalesce(value("biotype"), F.when(kind == "gene", value("gene_biotype")).when(kind == "tx", value("transcript_biotype")))
+    name = F.when(text.decoded(value("Name")).eqNullSafe(text.decoded(F.coalesce(value("ID"), F.lit("")))), None).otherwise(value("Name"))
+    of = lambda k: F.struct(F.lit(k).alias("k"), {"biotype": biotype, "Name": name}.get(k, value(k)).alias("v"))
+    own = F.coalesce(*[F.when(kind == c, F.array(*map(of, KEPT[c]))) for c in KEPT])
+    return F.filter(own, lambda p: p["v"].isNotNull())
 
 
 def gtf_line(gene: Column, tx: Column) -> Column:
@@ -37,10 +48,15 @@ def gtf_line(gene: Column, tx: Column) -> Column:
     return gff_line(F.concat_ws(" ", quoted("gene_id", gene), quoted("transcript_id", tx)))
 
 
+def feature_rank(feature: Column) -> Column:
+    """Place of a feature among others that start together; unknown ones are last."""
+    by_name = F.create_map(*[F.lit(x) for k, v in RANKS.items() for x in (k, v)])
+    return F.coalesce(F.try_element_at(by_name, F.lower(feature)), F.lit(9))
+
+
 def in_order(df: DataFrame) -> DataFrame:
-    """Features by sequence (numbers by value), place, rank and end."""
-    rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("feature"))
-    return df.orderBy(text.natural_key(F.col("seqid")), "start", F.when(rank > 0, rank).otherwise(len(ORDER) + 1), F.desc("end"), *[c for c in ("row_idx",) if c in df.columns])
+    """Features by sequence (numbers by value), start, rank of the feature, end, and the order they came in."""
+    return df.orderBy(text.natural_key(F.col("seqid")), "start", feature_rank(F.col("feature")), "end", *[c for c in ("row_idx",) if c in df.columns])
 
 
 def write_lines(df: DataFrame, line: Column, path: str, header: str | None = None, one_file: bool = False) -> None:

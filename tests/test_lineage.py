@@ -1,4 +1,4 @@
-"""Assignment in loci of more than 12 genes, where taking the best pair in turn is not the optimum."""
+"""Assignment in large loci, where taking the best pair in turn is not the optimum."""
 
 import random
 from functools import lru_cache
@@ -13,7 +13,7 @@ def total(scores, pairs):
     return tuple(map(sum, zip(*[scores[p] for p in pairs], strict=True)))
 
 
-@pytest.mark.parametrize("genes", range(13, 21))
+@pytest.mark.parametrize("genes", [13, 14, 19, 20, 25, 40])
 def test_large_locus_is_optimal(genes):
     """Blocks of two where the best pair leaves the other two genes without one."""
     scores, want = {}, []
@@ -24,7 +24,7 @@ def test_large_locus_is_optimal(genes):
     if genes % 2:
         scores[f"o{genes:02}", f"n{genes:02}"] = (1, 0, 0, 0, 0)
         want.append((f"o{genes:02}", f"n{genes:02}"))
-    assert lineage.best_pairs(scores) == want
+    assert lineage.best_pairs(scores) == sorted(want)
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -38,7 +38,7 @@ def test_dense_locus_has_the_greatest_total(seed):
         if i == len(olds):
             return (0,) * 5
         options = [tuple(a + b for a, b in zip(scores[olds[i], n], best(i + 1, used | 1 << j), strict=True)) for j, n in enumerate(news) if not used >> j & 1]
-        return max([*options, best(i + 1, used)])
+        return max(options)
 
     got = lineage.best_pairs(scores)
     assert len({o for o, _ in got}) == len({n for _, n in got}) == len(got)

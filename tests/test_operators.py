@@ -83,34 +83,47 @@ def test_sequence_functions(spark):
     assert [tuple(g) for g in got] == [("CTACCCTTACAT", True, True, True), ("", False, False, False), ("TCAGGGCAT", False, True, True)]
 
 
-def brute_assignment(scores):
-    olds, news = sorted({o for o, _ in scores}), sorted({n for _, n in scores})
-    best = None
-    for k in range(min(len(olds), len(news)) + 1):
-        for os_ in itertools.combinations(olds, k):
-            for ns in itertools.permutations(news, k):
-                pairs = tuple(zip(os_, ns, strict=True))
-                if all(p in scores and any(x > 0 for x in scores[p][:4]) for p in pairs):
-                    total = tuple(map(sum, zip(*[scores[p] for p in pairs], strict=True))) if pairs else (0,) * 5
-                    key = (tuple(-x for x in total), pairs)
-                    best = key if best is None or key < best else best
-    return sorted(best[1])
-
-
-@pytest.mark.parametrize("seed", range(25))
+def brute_assignment(scores, places=None):
+    """All ways to give each gene of the smaller side a partner; of the best ones the first in order of genes."""
+    places = places or {}
+    olds, news = (sorted({p[k] for p in scores}, key=lambda g, s=side: (places.get((s, g), 0), g)) for k, side in enumerate(("old", "new")))
+    few, many = (news, olds) if len(news) <= len(olds) else (olds, news)
+    pair = lambda x, y: (y, x) if few is news else (x, y)
+    ways = itertools.permutations(range(len(many)), len(few))
+    sums = lambda w: tuple(-sum(x) for x in zip(*[scores.get(pair(few[i], many[j]), lineage.APART) for i, j in enumerate(w)], strict=True))
+    best = min(ways, key=lambda w: (sums(w), w))
+    return sorted(pair(few[i], many[j]) for i, j in enumerate(best))
+
+
+@pytest.mark.parametrize("seed", range(60))
 def test_assignment_equals_all_permutations(seed):
     r = random.Random(seed)
-    scores = {(f"o{i}", f"n{j}"): tuple([*(r.randint(0, 2) for _ in range(4)), -r.randint(0, 3)]) for i in range(r.randint(1, 4)) for j in range(r.randint(1, 4))}
-    assert lineage.best_pairs(scores) == brute_assignment(scores)
-
-
-def test_free_numbers():
-    assert lineage.free_numbers(100, 200, 1, []) == [150]
-    assert lineage.free_numbers(100, 102, 3, [101]) == []
-    assert lineage.free_numbers(100, None, 3, [110]) == [120, 130, 140]
-    for low, high, n in ((10, 40, 4), (0, 1000, 9), (5, 9, 3)):
-        got = lineage.free_numbers(low, high, n, [7])
-        assert got == sorted(set(got)) and all(low < x < high and x != 7 for x in got)
+    scores = {(f"o{i}", f"n{j}"): tuple([*(r.randint(0, 2) for _ in range(4)), -r.randint(0, 3)]) for i in range(r.randint(1, 5)) for j in range(r.randint(1, 5)) if r.random() < 0.9}
+    places = {(s, f"{s[0]}{i}"): r.randint(0, 3) for s in ("old", "new") for i in range(5)}
+    if scores:
+        assert lineage.best_pairs(scores, places) == brute_assignment(scores, places)
+
+
+def test_nearest_free_equals_plain_search():
+    r = random.Random(9)
+    for _ in range(3000):
+        low = r.randint(0, 40)
+        high, taken = low + r.randint(1, 60), {r.randint(0, 110) for _ in range(r.randint(0, 90))}
+        target = low + (high - low) * r.random()
+        free = [n for n in range(low + 1, high) if n not in taken]
+        want = next((min(c, key=lambda n: (abs(n - target), n)) for m in (10, 5, 1) if (c := [n for n in free if n % m == 0])), None)
+        assert lineage.nearest_free(target, low, high, taken) == want
+
+
+def test_gap_numbers():
+    gap = lambda low, high, step=100, width=6: {"low": low, "high": high, "step": step, "width": width}
+    assert lineage.gap_numbers(gap(100, 200), 1, set()) == [150]
+    assert lineage.gap_numbers(gap(100, 200), 1, {150}) == [140]
+    assert lineage.gap_numbers(gap(100, 102), 3, {101}) is None and lineage.gap_numbers(gap(200, 100), 1, set()) is None
+    assert lineage.gap_numbers(gap(None, 100), 1, set()) == [50]
+    assert lineage.gap_numbers(gap(100, None, 10), 3, {110}) == [120, 130, 140]
+    assert lineage.gap_numbers(gap(999_990, None, 10), 1, set()) is None
+    assert lineage.gap_numbers(gap(0, 2_000_000), 1, set()) is None
 
 
 def test_junction_support_of_a_small_model(spark):
@@ -124,6 +137,56 @@ def test_junction_support_of_a_small_model(spark):
     assert {(x.tx, x.near) for x in near} == {("t2", "chr1:201-299:+")}
 
 
+def test_islands_over_many_bins(spark):
+    """As-of, fill and numbering in bins against plain loops, with places that lie far apart."""
+    r = random.Random(3)
+    anchors = sorted({(k, r.randint(0, 400)) for k in "ab" for _ in range(12)})
+    rows_ = [(k, r.randint(0, 400), i) for i, k in enumerate(r.choices("abc", k=200))]
+    df = rows(spark, rows_, "k string, start long, i long")
+    a = rows(spark, [(k, s, f"{k}{s}") for k, s in anchors], "k string, start long, v string")
+    two = islands.as_of(islands.as_of(df, a, ["k"], "start", "v", width=16), a, ["k"], "start", "v", after=True, width=16)
+    for x in two.collect():
+        before, after = [s for k, s in anchors if k == x.k and s <= x.start], [s for k, s in anchors if k == x.k and s > x.start]
+        assert x.last_value == (f"{x.k}{max(before)}" if before else None) and x.next_value == (f"{x.k}{min(after)}" if after else None)
+    some = rows(spark, [(k, i * 7, i if i % 9 == 4 else None) for k in "ab" for i in range(60)], "k string, start long, v long")
+    for x in islands.forward_fill(some, ["k"], "start", "v", width=32).collect():
+        n = x.start // 7
+        assert x.v == (None if n < 4 else (n - 4) // 9 * 9 + 4)
+    got = islands.numbered(df, ["start", "i"], "n", ["k", F.floor(F.col("start") / 50)]).collect()
+    assert [x.n for x in sorted(got, key=lambda x: (x.k, x.start, x.i))] == list(range(1, 201))
+
+
+def test_positional_and_style_and_sequential_ids(spark):
+    current = rows(spark, [("c1", 100 * i, f"AG{i * 100:05d}x") for i in range(1, 8)] + [("c2", 50, "AG05000x"), ("c3", 10, "noname")], "seqid string, start long, gene_id string")
+    reserved = rows(spark, [("AG00150x",), ("AG00160x",)], "gene_id string")
+    new = rows(spark, [("n1", "c1", 120, 130), ("n2", "c1", 140, 150), ("n3", "c1", 9000, 9001), ("n4", "c1", 5, 6), ("n5", "c2", 60, 70), ("n6", "c9", 1, 2), ("n7", "c3", 20, 30)], "new_id string, seqid string, start long, `end` long")
+    got = {x.new_id: x.gene_id for x in lineage.positional_ids(new, current, reserved.union(current.select("gene_id"))).collect()}
+    assert got == {"n1": "AG00130x", "n2": "AG00170x", "n3": "AG00800x", "n4": "AG00050x"}
+    anchors = rows(spark, [("n5", "AG05000x", "one_to_one_lineage", "s")], "new_id string, gene_id string, basis string, status string")
+    made = {x.new_id: (x.gene_id, x.basis, x.collides) for x in lineage.gene_mapping(new, anchors, current, reserved.union(rows(spark, [("QG0002",), ("QG0003",)], "gene_id string")), prefix="QG", width=4, strategy="current_style_or_sequential").collect()}
+    assert made["n1"][:2] == ("AG00130x", "current_namespace_genomic_gap") and made["n5"] == ("AG05000x", "one_to_one_lineage", False)
+    # c3 and c9 have no style of their own; one style holds most genes, and numbers go on above the largest.
+    assert made["n6"][:2] == ("AG05200x", "inferred_dominant_source_id_style") and made["n7"][:2] == ("AG05100x", "inferred_dominant_source_id_style")
+    plain = lineage.gene_mapping(new, anchors, current, rows(spark, [("QG0002",), ("QG0003",)], "gene_id string"), prefix="QG", width=4)
+    assert sorted(x.gene_id for x in plain.collect()) == ["AG05000x", "QG0001", "QG0004", "QG0005", "QG0006", "QG0007", "QG0008"] and not plain.filter("collides").count()
+
+
+def test_styles_with_the_sequence_in_them(spark):
+    current = rows(spark, [(f"s{k}", f"Bn{'s' + str(k)}G{i:04d}Z") for k in (1, 2) for i in range(10, 70, 10)], "seqid string, gene_id string")
+    new = rows(spark, [("a", "s9", 5), ("b", "s9", 3), ("c", "s1", 1)], "new_id string, seqid string, start long")
+    got = {x.new_id: (x.gene_id, x.basis) for x in lineage.style_ids(new, current, current.select("gene_id")).collect()}
+    assert got == {"b": ("Bns9G0010Z", "inferred_seqid_source_id_style"), "a": ("Bns9G0020Z", "inferred_seqid_source_id_style"), "c": ("Bns1G0070Z", "inferred_local_source_id_style")}
+    loc = rows(spark, [("s1", f"LOC{i}") for i in range(1000, 1020)], "seqid string, gene_id string")
+    assert lineage.style_ids(new, loc, loc.select("gene_id")).collect() == []
+
+
+def test_transcript_mapping(spark):
+    given = rows(spark, [("G7", "b", 5), ("G7", "a", 9), ("G7", "b", 7), ("G8", "c", 1)], "gene_id string, tx_id string, start long")
+    none = rows(spark, [("G8.t01",)], "tx_id string")
+    assert {(x.tx_id, x.final_id, x.collides) for x in lineage.transcript_mapping(given, none).collect()} == {("b", "G7.t01", False), ("a", "G7.t02", False), ("c", "G8.t01", True)}
+    assert {x.final_id for x in lineage.transcript_mapping(given, none, current_style=True).collect()} == {"T7.1", "T7.2", "T8.1"}
+
+
 def test_unknown_policy_is_refused():
     with pytest.raises(ValueError):
         rules.policy("any", *[None] * 8)

@@ -39,6 +39,15 @@ def test_assignment_query_is_one_to_one(spark):
     assert got and len({(r.locus, r.old_id) for r in got}) == len({(r.locus, r.new_id) for r in got}) == len(got)
 
 
-def test_positional_numbers_are_new_and_ordered(spark):
-    got = [r for r in CORE["g09_positional_ids"](spark, SF).collect() if r.number is not None]
-    assert got and len({r.number for r in got}) <= len(got)
+def test_positional_ids_are_new_and_lie_between_their_neighbours(spark):
+    """Each number was free, is given once, and rises with the place between the current genes of its sequence."""
+    from locuskit.plans.views import transcripts
+
+    t = {r.tx_id: r for r in transcripts(spark, SF).select("tx_id", "seqid", "source", "start").collect()}
+    known = {r.tx_id * 10 for r in t.values() if r.source == "current"}
+    got = {int(r.new_id): int(r.gene_id.removeprefix("GeneG")) for r in CORE["g09_positional_ids"](spark, SF).collect()}
+    assert len(set(got.values())) == len(got) > 100 and not known & set(got.values())
+    for i, n in got.items():
+        own = sorted((r.start, r.tx_id * 10) for r in t.values() if r.source == "current" and r.seqid == t[i].seqid)
+        before, after = [x for s, x in own if s <= t[i].start], [x for s, x in own if s > t[i].start]
+        assert (not before or before[-1] < n) and (not after or n < after[0])

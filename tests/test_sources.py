@@ -64,3 +64,20 @@ def test_release_lines(spark):
     pairs = text.attribute_pairs(F.lit("ID=a;Name=a;locus=1;Parent=g"))
     assert df.limit(1).select(text.attribute_text(writers.clean_attributes(pairs, F.lit("mRNA")))).first()[0] == "ID=a;Parent=g"
     assert readers.evidence_kind(["support_class", "x"]) == "long_read_models" and readers.evidence_kind(["q"]) is None
+
+
+def test_released_attributes_and_order(spark):
+    """Cases of a release: what each class keeps, biotype from its older name, Name that is the ID once decoded, and ranks."""
+    cases = [
+        ("gene", "ID=g%20A;Name=g A;gene_biotype=protein_coding;Note=x", "ID=g%20A;biotype=protein_coding"),
+        ("gene", "Name=n;ID=g1;biotype=lncRNA;gene_biotype=x", "ID=g1;Name=n;biotype=lncRNA"),
+        ("lnc_RNA", "Parent=g1;ID=t1;transcript_biotype=lncRNA;selected_source=ToolA", "ID=t1;Parent=g1;biotype=lncRNA"),
+        ("CDS", "protein_id=p%2B1;Parent=t1;ID=c1;Name=c", "ID=c1;Parent=t1;protein_id=p%2B1"),
+        ("exon", "exon_number=1;protein_id=p;Parent=t1,t2;ID=e1", "ID=e1;Parent=t1,t2"),
+    ]
+    df = spark.createDataFrame(cases, "feature string, line string, want string")
+    got = df.select("want", text.released_text(writers.clean_attributes(text.attribute_pairs(F.col("line")), F.col("feature"))).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    rows = [("c1", "exon", 1, 9), ("c1", "CDS", 1, 5), ("c1", "five_prime_UTR", 1, 3), ("c1", "lnc_RNA", 1, 9), ("c1", "mRNA", 1, 5), ("c1", "gene", 1, 9), ("c1", "odd", 1, 1), ("c1", "stop_codon", 1, 3)]
+    df = spark.createDataFrame(rows, "seqid string, feature string, start int, `end` int")
+    assert [r.feature for r in writers.in_order(df).collect()] == ["gene", "mRNA", "lnc_RNA", "exon", "five_prime_UTR", "CDS", "stop_codon", "odd"]

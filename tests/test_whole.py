@@ -1,45 +1,9 @@
-"""Queries whose registered SQL covers a part of the rows: here over all rows, by the same SQL without its limit."""
+"""Expressions over values of any length, against plain loops."""
 
-from pathlib import Path
-
-import duckdb
-import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from locuskit.functions import sequence, text
-from verify import rows_of
-
-SF = "/root/testdata/sf0.001"
-
-#: Query, and the limit in its registered SQL with what stands there for all rows.
-LIMITS = {
-    "j02_mixed_lengths": (" WHERE hit_id % 5 = 0", ""),
-    "j06_junction_bridges": (" WHERE s % 3 = 0", ""),
-    "x09_codons": ("left(seq, 300) AS cds", "seq AS cds"),
-    "j09_nearby_junctions": (" WHERE i.tx_id % 10 = 0", ""),
-}
-
-
-@pytest.fixture(scope="module")
-def con():
-    c = duckdb.connect()
-    c.execute("SET TimeZone = 'UTC'; SET memory_limit = '4GB'; SET threads = 4")
-    for p in Path(SF).glob("*.parquet"):
-        c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}{'/*.parquet' * p.is_dir()}'")
-    return c
-
-
-@pytest.mark.parametrize("name", sorted(LIMITS))
-def test_query_covers_all_rows(spark, con, name):
-    limit, instead = LIMITS[name]
-    sql = entry.oracle_sql()[name]
-    df = entry.queries()[name](spark, SF)
-    res = con.execute(sql.replace(limit, instead))
-    columns = [d[0] for d in res.description]
-    got = rows_of(df.columns, [tuple(r) for r in df.collect()])
-    assert got == rows_of(columns, res.fetchall())
-
 
 def test_inner_stop_anywhere(spark):
     """Far stops, stops out of frame and at the end, against a plain loop."""
