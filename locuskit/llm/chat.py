@@ -85,7 +85,9 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     rows = df.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).alias("t"))
     chats = rows.groupBy("conv").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     plain = F.when(_reads_back(rendered(F.col("turns"), 0), F.col("turns")), F.lit(0))
-    level = F.coalesce(plain, F.when(_reads_back(rendered(F.col("turns"), 1), F.col("turns")), F.lit(1)), F.lit(STRONGEST))
+    lost = F.raise_error(F.lit("a conversation doesn't read back at the strongest level of escaping")).cast("int")
+    strongest = F.when(_reads_back(rendered(F.col("turns"), STRONGEST), F.col("turns")), F.lit(STRONGEST)).otherwise(lost)
+    level = F.coalesce(plain, F.when(_reads_back(rendered(F.col("turns"), 1), F.col("turns")), F.lit(1)), strongest)
     chats = chats.withColumn("level", level)
     chosen = lambda made: F.when(F.col("level") == 0, made(0)).when(F.col("level") == 1, made(1)).otherwise(made(STRONGEST))
     chats = chats.withColumn("pieces", chosen(lambda n: _pieces(F.col("turns"), n)))

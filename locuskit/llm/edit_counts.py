@@ -224,15 +224,16 @@ EDITS = "array<struct<start:int,`end`:int,new:string>>"
 _OUT = "id long, n_tokens long, n_tokens_edited long, n_edits long, encoded_chars long"
 
 
-def count_edited(df: DataFrame, vocabulary: str, edits: Column | None = None, id_col: str = "doc_id", text_col: str = "text", trees: bool = False) -> DataFrame:
+def count_edited(df: DataFrame, vocabulary: str, edits: Column | None = None, id_col: str = "doc_id", text_col: str = "text", trees: bool = False, saved: bool = False) -> DataFrame:
     """One row per input row: `id`, `n_tokens` (before), `n_tokens_edited`, `n_edits`, `encoded_chars` (re-encoded by the edits).
 
     `edits` is an array of (start, end, new) in code points, each applied to the text that the one before left; places
     beyond the text are clipped, null edits skipped. With `trees`, the edited `text` and its tree's leaves (`lengths` and
-    `tokens` of pre-tokens) are returned too; a table with these columns is taken up without encoding it again. A null text
-    is an empty one; rows may repeat; an empty table gives an empty result.
+    `tokens` of pre-tokens) are returned too; with `saved`, the table has these columns from an earlier call and its texts are
+    not encoded again, except where they are null. Other columns, whatever their names, are not looked at. A null text is an
+    empty one; rows may repeat; an empty table gives an empty result.
     """
-    state = [c for c in ("lengths", "tokens") if {"lengths", "tokens"} <= set(df.columns)]
+    state = ["lengths", "tokens"] if saved else []
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), (F.lit(None) if edits is None else edits).cast(EDITS).alias("edits"), *state)
     return rows.mapInArrow(lambda b: _edited(b, vocabulary, trees), _OUT + (", text string, lengths array<int>, tokens array<int>" if trees else ""))
 

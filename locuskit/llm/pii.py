@@ -12,10 +12,10 @@ import bisect
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuskit.llm.shared import bounded_batches, discard, small, stash, stash_at, table, text_batches
+from locuskit.llm.shared import bounded_batches, discard, row_of, small, stash, stash_at, table, text_batches
 
 # The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -69,7 +69,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if not _ANY.search(text):
         return []
     out = [(0, *s) for s in _emails(text)] if "@" in text else []
-    out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, *m.span()) for m in IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -131,9 +131,9 @@ def _scanned(batches: Iterator) -> Iterator:
             )
 
 
-def _keyed(df: DataFrame, text_col: str) -> DataFrame:
-    """With the digest of the text: rows of equal text have equal spans."""
-    return df.withColumn("__key", F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))
+def _key(text: Column) -> Column:
+    """The digest of a text: rows of equal text have equal spans."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
 def learned(near: DataFrame) -> DataFrame:
@@ -167,7 +167,8 @@ def learned(near: DataFrame) -> DataFrame:
 
 
 def _scan(rows: DataFrame) -> DataFrame:
-    return rows.select(F.struct(F.col("__key").alias("key"), "id").alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_scanned, _FOUND)
+    """What `_scanned` finds in rows of key, id and text."""
+    return rows.select(F.struct("key", "id").alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_scanned, _FOUND)
 
 
 def _extra(found: DataFrame) -> DataFrame:
@@ -181,7 +182,8 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     A null or empty text has no spans. Rows may repeat and ids be null. An empty table gives an empty result. Extra spans
     overlap no base span.
     """
-    rows = _keyed(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text")
+    bounded_batches(df.sparkSession)
+    rows = df.select(_key(F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = stash(_scan(rows), "pii-found").select("k.key", "k.id", "base", "near")
     extra = _extra(found.filter(F.size("near") > 0))
     return found.join(extra, "key", "left").select("id", "base", F.coalesce("extra", F.array().cast(_SPANS)).alias("extra"))
@@ -211,19 +213,18 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str = "n_chars") -
     import pyarrow as pa
 
     bounded_batches(df.sparkSession)
-    columns = df.columns
-    keyed = _keyed(df, text_col)
-    found = _scan(keyed.select("__key", F.lit(None).cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))).filter(F.size("near") > 0)
+    columns, text = df.columns, F.col(f"`{text_col}`")
+    found = _scan(df.select(_key(text).alias("key"), F.lit(None).cast("long").alias("id"), text.alias("text"))).filter(F.size("near") > 0)
     extra = stash(_extra(stash(found.select("k.key", "near"), "pii-found")), "pii-extra")
-    both = keyed.join(small(extra).select(F.col("key").alias("__key"), F.col("extra").alias("__extra")), "__key", "left").select(*[F.col(f"`{c}`") for c in columns], "__extra")
+    both = df.select(_key(text).alias("key"), row_of(df)).join(small(extra), "key", "left").select("row", "extra")
     schema, place = df.schema, columns.index(text_col)
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            more = batch.column(len(columns)).to_pylist()
+            arrays = batch.column(0).flatten()
+            texts = arrays[place].to_pylist()
+            more = batch.column(1).to_pylist()
             new = [t if t is None else _masked(t, base_spans(t) + [(x["kind"], x["start"], x["end"]) for x in e or ()]) for t, e in zip(texts, more, strict=True)]
-            arrays = list(batch.columns[:-1])
             if length_col in columns and any(n is not t for n, t in zip(new, texts, strict=True)):
                 at = columns.index(length_col)
                 old = arrays[at].to_pylist()
@@ -240,6 +241,7 @@ def _joined(spans):
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the digest are of the fixed patterns only; what the learnt patterns add is in `spans`."""
     found = find(table(spark, sf_dir, "documents"))
     return found.select(
         F.col("id").alias("doc_id"),

@@ -48,10 +48,16 @@ def test_table(spark):
     codec = edit_counts.Counter(PATH)
     for r in first.collect():
         assert r.n_tokens_edited == len(codec.library.encode_ordinary(r.text)) and r.n_edits == 3
-    again = edit_counts.count_edited(first, PATH, F.array(F.struct(F.lit(3).alias("start"), F.lit(5).alias("end"), F.lit(" new").alias("new")), F.lit(None)), id_col="id", trees=True).collect()
+    again = edit_counts.count_edited(first, PATH, F.array(F.struct(F.lit(3).alias("start"), F.lit(5).alias("end"), F.lit(" new").alias("new")), F.lit(None)), id_col="id", trees=True, saved=True).collect()
     assert sorted(r.n_tokens for r in again) == sorted(r.n_tokens_edited for r in first.collect())
     for r in again:
         assert r.n_tokens_edited == len(codec.library.encode_ordinary(r.text)) and r.n_edits == 1
     table = spark.createDataFrame([(1, 2, 0, 1, "b"), (1, 1, 0, 0, "a")], "doc_id long, seq int, start int, `end` int, new string")
     assert [e.new for e in edit_counts.gathered(table).first().edits] == ["a", "b"]
     assert edit_counts.count_edited(df.limit(0), PATH).collect() == []
+
+
+def test_own_columns_named_like_trees(spark):
+    df = spark.createDataFrame([(1, "one two three", [1], [900], 5)], "doc_id long, text string, lengths array<int>, tokens array<int>, id int")
+    got = edit_counts.count_edited(df, PATH).first()
+    assert got.n_tokens == len(edit_counts.Counter(PATH).library.encode_ordinary("one two three")) and got.id == 1

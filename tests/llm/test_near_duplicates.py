@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from locuskit.llm import ngram_join, vector_dedup
 
@@ -94,14 +95,12 @@ def corpus(seed):
     return rows + [(2000, None), (2001, ""), (2002, " \n"), (2003, "Ä b c"), (2004, "ä b c"), (None, rows[0][1]), (2005, "w1 " * 3000), (2006, "w1 w1 w1 w1 w1 w1")]
 
 
-@pytest.mark.parametrize(("size", "percent", "block", "prunings", "bits"), [(3, 90, 2048, 2, 4096), (5, 80, 2048, 1, 512), (3, 60, 4, 2, 64), (3, 50, 7, 0, 128)])
-def test_join_matches_brute_force(spark, monkeypatch, size, percent, block, prunings, bits):
+@pytest.mark.parametrize(("size", "percent", "block", "prunings"), [(3, 90, 2048, 2), (5, 80, 2048, 1), (3, 60, 4, 2), (3, 50, 7, 0)])
+def test_join_matches_brute_force(spark, monkeypatch, size, percent, block, prunings):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "PRUNINGS", prunings)
-    monkeypatch.setattr(ngram_join, "LEAST_BITS", 64)
-    monkeypatch.setattr(ngram_join, "MOST_BITS", bits)
     rows = corpus(size * percent)
-    df = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, gram string, n int")
+    df = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, __dropped string, row int").withColumns({"id": F.lit(3), "gram": F.lit("g"), "comp": F.lit(1)})
     got = sorted(((r.id, r.n_shingles, r.component_id) for r in ngram_join.similar(df, size, percent).collect()), key=str)
     assert got == brute(rows, size, percent)
     kept = ngram_join.keep_one(df, size, percent)
@@ -109,6 +108,38 @@ def test_join_matches_brute_force(spark, monkeypatch, size, percent, block, prun
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, _, c in got if i is not None and i == c)
 
 
+def test_bit_sets_never_differ_more_than_their_grams():
+    g = np.random.default_rng(4)
+    for n in (1, 3, 500, 513, 5000):
+        common, more = g.integers(0, 2**63, n, dtype="u8"), g.integers(0, 2**63, n, dtype="u8")
+        for k in (0, 1, n // 3, n):
+            a, b = np.unique(common), np.unique(np.r_[common[k:], more[: k // 2]])
+            if not len(b):
+                continue
+            x, y = (np.unpackbits(np.frombuffer(ngram_join.bit_set(s), "u1"), bitorder="little") for s in (a, b))
+            m = min(len(x), len(y))
+            x, y = (np.bitwise_xor.reduce(s.reshape(-1, m), axis=0) for s in (x, y))
+            assert (x != y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_forest_is_a_least_spanning_forest():
+    g = np.random.default_rng(6)
+    for _ in range(30):
+        rows, edges = int(g.integers(2, 40)), int(g.integers(1, 200))
+        i, j, weight = g.integers(0, rows, edges), g.integers(0, rows, edges), g.permutation(edges).astype("u8")
+        kept, root = [], list(range(rows))
+        for e in np.argsort(weight):
+            a, b = int(i[e]), int(j[e])
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            if a != b:
+                root[a] = b
+                kept.append(int(e))
+        assert sorted(ngram_join.forest(rows, i, j, weight).tolist()) == sorted(kept)
+
+
 def test_join_ids_that_repeat_and_empty(spark):
     df = spark.createDataFrame([(5, "a b c d"), (5, "e f g h"), (3, "e f g h"), (9, "a b c d")], "doc_id long, text string")
     assert {(r.id, r.component_id) for r in ngram_join.similar(df, 3, 90).collect()} == {(5, 3), (3, 3), (9, 3)}

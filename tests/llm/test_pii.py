@@ -3,13 +3,15 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from locuskit.llm import pii
 
 
 def plain(text):
     """The contract read literally, kind by kind."""
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(re.fullmatch("0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})", p) for p in m[0].split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         digits = re.sub("[ -]", "", m[0])
         if 13 <= len(digits) <= 19 and sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(digits[::-1])) % 10 == 0:
@@ -26,6 +28,11 @@ def test_base_spans_equal_plain_regexes():
         assert pii.base_spans(text) == plain(text), text
 
 
+def test_digits_without_end():
+    for text in ("x " + "0" * 5000 + ".1.2.3", "0" * 5000 + "255.0.0.0", "9" * 5000 + ".1.2.3", "1.2.3." + "0" * 9000):
+        assert pii.base_spans(text) == plain(text)
+
+
 def test_long_runs_take_little_time():
     for text in ("a" * 300_000, "1" * 300_000, "a" * 300_000 + "@", "1." * 100_000, "+1" * 100_000, "@" * 200_000, "1 " * 150_000):
         pii.base_spans(text)
@@ -50,12 +57,13 @@ def test_patterns_find_unseen_identifiers(spark):
 
 def test_redaction(spark):
     rows = [(1, "call +1 (555) 010-2030, now", 26), (2, "clean", 5), (3, None, None), (4, "+4111111111111111 x@y.zz", 24)]
-    df = spark.createDataFrame([(*r, "k", "e") for r in rows], "doc_id long, text string, n_chars long, __kept string, extra string")
+    df = spark.createDataFrame([(*r, "k", "e") for r in rows], "doc_id long, text string, n_chars long, __key string, extra string").withColumns({"key": F.lit(7), "row": F.lit("r"), "id": F.lit(1), "__extra": F.lit("m")})
     got = {r.doc_id: r for r in pii.redact(df).collect()}
     assert got[1].text == "call [PHONE], now" and got[1].n_chars == 17
     assert got[2].text == "clean" and got[3].text is None and got[3].n_chars is None
     assert "@" not in got[4].text and "1" not in got[4].text
     assert pii.redact(df).columns == df.columns
+    assert {(r["__key"], r.extra, r.key, r.row, r.id, r["__extra"]) for r in got.values()} == {("k", "e", 7, "r", 1, "m")}
 
 
 def test_query(spark):
