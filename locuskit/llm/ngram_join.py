@@ -31,7 +31,7 @@ SKETCH, SLICE = 1 << 22, 1 << 15
 #: Longest extension of a prefix, and the cost of a verification in postings read.
 LONGEST, VERIFY_COST = 8, 20.0
 #: Words whose hashes a task remembers.
-WORDS = 250_000
+WORDS = 100_000
 #: Members of a posting list compared with each other in one go; longer lists are split into pairs of blocks.
 BLOCK = 1024
 #: Passes that drop postings without a possible partner in their list.
@@ -39,7 +39,7 @@ PRUNINGS = 2
 #: A document's bit set has as many bits as it has grams, rounded up to a power of two within these bounds.
 LEAST_BITS, MOST_BITS = 512, 4096
 #: Pairs, and 64-bit words of their bit sets, that a task compares at a time.
-PAIRS, MATRIX = 1 << 18, 1 << 20
+PAIRS, MATRIX = 1 << 17, 1 << 18
 
 
 @functools.lru_cache(maxsize=1)
@@ -104,7 +104,7 @@ def _summaries(batches: Iterator, size: int) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    codec, counts, held, waiting = pa.Codec("zstd"), np.zeros(SKETCH, dtype="u4"), [], 0
+    codec, counts = pa.Codec("zstd"), np.zeros(SKETCH, dtype="u4")
     names = ["id", "n", "digest", "slice", "counts"]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
     rows = lambda columns: pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=names)
@@ -113,13 +113,8 @@ def _summaries(batches: Iterator, size: int) -> Iterator:
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         none = [None] * len(ids)
         yield rows([ids, [len(s) for s in sets], digests, none, none])
-        held += [(s & np.uint64(SKETCH - 1)).astype("i8") for s in sets]
-        waiting += sum(map(len, sets))
-        if waiting > SKETCH // 4:
-            counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype("u4")
-            held, waiting = [], 0
-    if held:
-        counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype("u4")
+        for s in sets:
+            np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype("i8"), np.uint32(1))
     for i in range(0, SKETCH, SLICE):
         if (part := counts[i : i + SLICE]).any():
             yield rows([[None], [None], [None], [i // SLICE], [codec.compress(part.tobytes(), asbytes=True)]])

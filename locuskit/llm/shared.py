@@ -72,9 +72,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Python operators work on about this many characters of text at a time.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 
 
 def text_batches(batches, chars: int = BATCH_CHARS):
