@@ -428,3 +428,77 @@ def junction_summary_flags(status: Column, fraction: Column, full_chain: Column)
     flags = tags((direct & full_chain, "model_level_full_intron_chain_supported"), (some, "model_level_partial_junction_support"))
     risks = tags((direct & ~full_chain & (fraction == 0), "model_level_no_junction_support"), (some, "model_level_partial_junction_support"), (status.isin("missing_for_current_model", "not_available_for_de_novo_model"), status))
     return flags, risks
+
+
+def exclusion(fatal: Column, validation: Column, eligible: Column) -> Column:
+    """Why a model takes no part in a decision; null if it does."""
+    status = F.coalesce(F.nullif(fatal, F.lit("")), F.nullif(validation, F.lit("")), F.lit("not_assessed"))
+    return F.when(status == "fail", "fatal_qc_fail").when(~F.coalesce(eligible, F.lit(False)), "pre_ai_eligibility_fail")
+
+
+def supported_model(junctions: Column, validation: Column, proteins: Column) -> Column:
+    return (validation != "fail") & (junctions.isin("full_junction_support", "partial_junction_support") | (proteins > 0))
+
+
+def review_flags(call: Column, group: Column, decision: Column, readiness: Column, blocking: Column, novel: Column, deletion: Column, unsupported: Column) -> Column:
+    return tags(
+        (novel, "manual_review_novel_gene_candidate"), (deletion, "manual_review_deletion_candidate"), (unsupported, "manual_review_unsupported_locus"), (call.contains("manual_review") | group.contains("manual_review"), "manual_review_required"),
+        ((call == "keep_current_flagged") | (decision == "risk_flagged"), "risk_flagged"), (group.contains("blocked") | blocking, "blocking_reason_present"),
+        (readiness == "manual_review_required_before_export", "manual_review_required_before_export"), (call.startswith("delete") | deletion, "deletion_not_applied_by_proposal_exporter"),
+    )
+
+
+def model_order(validation: Column, junctions: Column, proteins: Column, source: Column, ident: Column) -> Column:
+    """What models of a card sort by: coding, junctions, proteins, source rank, identifier."""
+    at = lambda c, words, rest: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, words)), c), F.lit(0)) - 1, F.lit(rest))
+    return F.struct(
+        at(validation, ("pass", "warning", "not_assessed", "missing", "fail"), 5).alias("v"), at(junctions, ("full_junction_support", "partial_junction_support", "conflicting_junction", "none_observed", "not_assessable"), 5).alias("j"),
+        F.when(proteins > 0, 0).otherwise(1).alias("p"), source.alias("s"), ident.alias("i"),
+    )
+
+
+def similarity(same_context: Column, left: Column, right: Column, same_structure: Column, introns_a: Column, introns_b: Column, splice: Column, coding: Column) -> Column:
+    """Whether two models of a locus are one component: `left` and `right` are the shares of either span that both cover,
+    `splice` and `coding` similarities of introns, and the greater one of exons and coding parts."""
+    none = (F.size(introns_a) == 0) & (F.size(introns_b) == 0)
+    both = lambda x: (left >= x) & (right >= x)
+    return (
+        F.when(~same_context, "different_context").when(~both(0.55), "separate_or_split_merge_component").when(same_structure, "exact_same_structure").when((F.size(introns_a) > 0) & (introns_a == introns_b), "same_intron_chain_boundary_variant")
+        .when(none & both(0.70), "single_exon_overlap_component").when((splice >= 0.67) & both(0.65), "mostly_same_splice_component").when((coding >= 0.60) & both(0.70), "mostly_same_coding_component").otherwise("distinct_component_or_topology_conflict")
+    )
+
+
+def to_current(a: Column, b: Column) -> tuple[Column, Column]:
+    """(tags, deltas) of a model against its closest current one; both are structs of start, end, blocks, gaps, coding.
+
+    deltas: start, end, exons, introns, coding parts, coding length."""
+    size, length = F.size, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"] + 1)
+    same_gaps = a["gaps"] == b["gaps"]
+    d0, d1 = a["start"] - b["start"], a["end"] - b["end"]
+    contains, within = (d0 <= 0) & (d1 >= 0), (d0 >= 0) & (d1 <= 0)
+    n, m = size(a["coding"]), size(b["coding"])
+    same_coding = a["coding"] == b["coding"]
+    found = tags(
+        (a["blocks"] == b["blocks"], "same_exon_chain"), (same_gaps, "same_intron_chain"), (~same_gaps, "alternative_intron_chain"), (same_coding, "same_CDS_chain"), (~same_coding & (n == m), "CDS_boundary_difference"),
+        (~same_coding & (n > m), "extra_CDS_blocks"), (~same_coding & (n < m), "fewer_CDS_blocks"), (same_gaps & ((d0 != 0) | (d1 != 0)), "terminal_boundary_difference_only"), (contains, "candidate_contains_current_span"), (~contains & within, "candidate_within_current_span"),
+    )
+    deltas = F.struct(d0.alias("start"), d1.alias("end"), (size(a["blocks"]) - size(b["blocks"])).alias("exons"), (size(a["gaps"]) - size(b["gaps"])).alias("introns"), (n - m).alias("coding_parts"), (length(a["coding"]) - length(b["coding"])).alias("coding_length"))
+    return found, deltas
+
+
+def unsupported_reasons(level: Column, sets: Column) -> Column:
+    """Why a locus counts as unsupported; `sets` is an array of evidence structs. None from a moderate level on."""
+    any_ = lambda f: F.exists(sets, f)
+    made = tags(
+        (F.lit(True), "no_listed_set_has_moderate_or_strong_biological_support"), (~any_(lambda e: e["short_read_junction"] == "full"), "no_full_short_read_junction_support"), (~any_(lambda e: e["long_read"] == "exact"), "no_exact_long_read_chain_support"),
+        (~any_(lambda e: e["short_read_junction"].isin("full", "partial") | e["long_read"].isin("exact", "partial")), "no_transcript_structure_support"), (~any_(lambda e: e["protein"].isin("supported", "partial")), "no_homolog_protein_support"),
+        (any_(lambda e: e["coding_qc"] == "fail"), "one_or_more_sets_fail_coding_qc"), (F.size(sets) == 0, "no_ai_visible_annotation_set"),
+    )
+    return F.when(level.isin("strong", "moderate"), F.array().cast(NO_TAGS)).otherwise(made)
+
+
+def review_priority(route_: Column, level: Column, sets: Column) -> Column:
+    return (
+        F.when(route_ != "tool_only_novel_gene_candidate", "not_applicable").when((level == "strong") & (sets <= 1), "high").when(level == "strong", "high_after_arbitration")
+        .when(level == "moderate", "medium").when(level == "weak", "low").otherwise("qc_review")
+    )

@@ -119,3 +119,49 @@ def id_parts(gene: Column) -> Column:
     number = F.when(after_g != "", after_g).otherwise(longest)
     prefix = F.when(after_g != "", F.regexp_extract(gene, r"^(.*[Gg])(\d+)(.*)$", 1)).otherwise(F.substr(gene, F.lit(1), F.instr(gene, number) - 1))
     return F.when(number != "", F.struct(prefix.alias("prefix"), number.cast("long").alias("number"), F.length(number).alias("width"), F.substr(gene, F.length(prefix) + F.length(number) + 1).alias("suffix")))
+
+
+def renamed_prefix(ident: Column, old: str, new: str) -> Column:
+    """An identifier with its leading `old` replaced by `new`; others stay, null is empty."""
+    x = F.coalesce(ident, F.lit(""))
+    return F.when(x.startswith(old), F.concat(F.lit(new), F.substr(x, F.lit(len(old) + 1)))).otherwise(x)
+
+
+def shown_region(seqid: Column, start: Column, end: Column, pad: int = 500) -> Column:
+    """`seqid:start-end` with a margin, for a browser; empty where anything is missing."""
+    whole = F.concat(seqid, F.lit(":"), F.greatest(F.lit(1), start - pad).cast("string"), F.lit("-"), (end + pad).cast("string"))
+    return F.coalesce(F.when(seqid != "", whole), F.lit(""))
+
+
+def listed(text: Column) -> Column:
+    """Items of a `;` list, without empty ones and dots."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), ";"), lambda x: (x != "") & (x != "."))
+
+
+def coding_signature(seqid: Column, strand: Column, blocks: Column) -> Column:
+    """Compact JSON of sequence, strand and the distinct sorted coding blocks (start, end, phase); empty without blocks."""
+    one = lambda b: F.struct(F.least(b["start"], b["end"]).alias("a"), F.greatest(b["start"], b["end"]).alias("b"), F.coalesce(b["phase"], F.lit(".")).alias("p"))
+    quoted = lambda s: F.concat(F.lit('"'), F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    shown = F.transform(F.array_sort(F.array_distinct(F.transform(blocks, one))), lambda b: F.concat(F.lit("["), b["a"].cast("string"), F.lit(","), b["b"].cast("string"), F.lit(","), quoted(b["p"]), F.lit("]")))
+    whole = F.concat(F.lit("["), quoted(F.coalesce(seqid, F.lit(""))), F.lit(","), quoted(F.coalesce(strand, F.lit("."))), F.lit(",["), F.array_join(shown, ","), F.lit("]]"))
+    return F.when(F.size(blocks) > 0, whole).otherwise("")
+
+
+def reserved_namespace(prefix: Column) -> Column:
+    """Whether identifiers with this prefix are handed out by a registry."""
+    p = F.upper(prefix)
+    return p.endswith("LOC") | p.contains("GENE-LOC")
+
+
+#: Words in review texts and the reason that each stands for, in order.
+REASONS = (
+    ("novel_candidate", ("manual_review_novel", "novel_gene_candidate")), ("unsupported_locus", ("unsupported_locus", "unsupported_junction")), ("junction_not_assessed", ("not_assessed", "not_junction_assessable")), ("partial_junction_support", ("partial_junction",)),
+    ("complex_structure", ("over_split", "fusion", "fragment", "complex_locus")), ("model_conflict", ("conflict", "disagree", "mutually_exclusive")), ("limited_evidence", ("uncertain", "weak", "low_confidence", "insufficient")),
+)
+
+
+def review_reasons(*texts: Column) -> Column:
+    """A short controlled list from free review texts; empty without text, `workflow_flag` where no word is known."""
+    blob = F.concat_ws(" ", *[F.nullif(F.lower(decoded(t)), F.lit("")) for t in texts])
+    found = F.array_compact(F.array(*[F.when(blob.rlike("|".join(words)), reason) for reason, words in REASONS]))
+    return F.when(blob == "", "").when(F.size(found) == 0, "workflow_flag").otherwise(F.array_join(found, ","))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuskit.functions import intervals
@@ -49,8 +50,10 @@ def nearby(introns: DataFrame, junctions: DataFrame, window: int = NEARBY) -> Da
 def listed_near(introns: DataFrame, junctions: DataFrame, window: int = NEARBY, most: int = 20) -> DataFrame:
     """The first `most` junctions, as text, whose first or last position is within the window of the intron's."""
     near = nearby(introns, junctions, window).filter((F.abs(F.col("start_r") - F.col("start")) <= window) | (F.abs(F.col("end_r") - F.col("end")) <= window))
-    shown = F.format_string("%s:%d-%d:%s", "seqid", "start_r", "end_r", "strand_r")
-    return near.groupBy(*introns.columns).agg(F.array_join(F.slice(F.array_sort(F.collect_set(shown)), 1, most), ";").alias("near"))
+    one = near.select(*introns.columns, F.format_string("%s:%d-%d:%s", "seqid", "start_r", "end_r", "strand_r").alias("__shown")).distinct()
+    # A row number with a limit is cut before the shuffle too, so that no list grows with a crowded place.
+    first = one.withColumn("__k", F.row_number().over(W.partitionBy(*introns.columns).orderBy("__shown"))).filter(F.col("__k") <= most)
+    return first.groupBy(*introns.columns).agg(F.array_join(F.array_sort(F.collect_list("__shown")), ";").alias("near"))
 
 
 def model_support(introns: DataFrame, junctions: DataFrame, key: list[str]) -> DataFrame:
@@ -69,11 +72,14 @@ def arbitration_status(models: DataFrame, introns: DataFrame, junctions: DataFra
     An unsupported intron conflicts if, of the `first` best nearby junctions, any is another one; it is an alternative if
     not both of its ends are within `boundary`.
     """
-    found = exactly_supported(introns, junctions)
+    # Both are read several times by the range join: once computed, they are tables.
+    junctions, _ = written(junctions.select(*JUNCTION, "reads", "samples"), "junctions")
+    found, _ = written(exactly_supported(introns, junctions), "introns")
     open_ = found.filter(~F.col("exact")).select(*introns.columns)
-    rank = F.struct((-F.col("samples_r")).alias("a"), (-F.col("reads_r")).alias("b"), F.col("start_r"), F.col("end_r"), F.col("strand_r"))
-    best = nearby(open_, junctions, window).groupBy(*introns.columns).agg(F.slice(F.array_sort(F.collect_list(rank)), 1, first).alias("best"))
-    other = best.select(key, "start", "end", F.size(F.filter("best", lambda b: ~((F.abs(b["start_r"] - F.col("start")) <= boundary) & (F.abs(b["end_r"] - F.col("end")) <= boundary)))).alias("alternatives"))
+    order = W.partitionBy(*introns.columns).orderBy(F.desc("samples_r"), F.desc("reads_r"), "start_r", "end_r", "strand_r")
+    best = nearby(open_, junctions, window).withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= first)
+    close = (F.abs(F.col("start_r") - F.col("start")) <= boundary) & (F.abs(F.col("end_r") - F.col("end")) <= boundary)
+    other = best.groupBy(*introns.columns).agg(F.count_if(~close).alias("alternatives"))
     per = other.groupBy(key).agg(F.count("*").alias("conflicting"), F.sum("alternatives").alias("alternatives"))
     counted = found.groupBy(key).agg(F.count("*").alias("introns"), F.count_if("exact").alias("exact"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -108,16 +114,12 @@ def structural_edges(models: DataFrame, key: str = "tx_id", least: float = LEAST
 
 def gene_edges(models: DataFrame, key: str = "tx_id") -> DataFrame:
     """Models of one gene and source, tied as a chain in order of their keys: the same components as all pairs, linear in size."""
-    from pyspark.sql import Window as W
-
     after = F.lead(key).over(W.partitionBy("source", "gene_id").orderBy(key))
     return models.select(F.col(key).alias("a"), after.alias("b")).filter("b is not null").withColumn("kind", F.lit("same_source_gene"))
 
 
 def protein_bridges(models: DataFrame, hits: DataFrame, key: str = "tx_id") -> DataFrame:
     """Models tied by a hit that both overlap: neighbours in order of their keys, the smallest hit of each pair."""
-    from pyspark.sql import Window as W
-
     pairs = overlap_join(models.select(key, "seqid", "strand", "start", "end"), hits.select("hit_id", "seqid", F.col("strand").alias("hs"), "start", "end"), ["seqid"]).filter(compatible(F.col("strand"), F.col("hs_r")))
     after = F.lead(key).over(W.partitionBy("hit_id_r").orderBy(key))
     tied = pairs.select(F.col(key).alias("a"), after.alias("b"), F.col("hit_id_r").alias("hit_id")).filter("b is not null")

@@ -275,7 +275,7 @@ def numeric_step(numbers: list[int]) -> int:
     return math.gcd(*[b - a for a, b in zip(numbers, numbers[1:])]) or 1
 
 
-def gene_mapping(new: DataFrame, anchors: DataFrame, current: DataFrame, reserved: DataFrame, prefix: str = "GeneArbiterG", first: int = 1, width: int = 8, strategy: str = "sequential") -> DataFrame:
+def gene_mapping(new: DataFrame, anchors: DataFrame, current: DataFrame, reserved: DataFrame, prefix: str = "NewG", first: int = 1, width: int = 8, strategy: str = "sequential") -> DataFrame:
     """Final identifiers of new genes (new_id, seqid, start, end): `gene_id`, `basis`, `status`, `collides`.
 
     In this order: inherited from `anchors` (new_id, gene_id, basis, status), by place between current genes and by source style

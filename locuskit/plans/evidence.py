@@ -165,8 +165,13 @@ st AS (SELECT tx_id, source, coalesce(introns, 0) AS introns, coalesce(exact, 0)
 """
 
 
+def _status_of(spark: SparkSession, sf_dir: str, models: DataFrame) -> DataFrame:
+    gaps = models.select("tx_id", "seqid", "strand", F.explode("gaps").alias("g")).select("tx_id", "seqid", "strand", "g.*")
+    return evidence.arbitration_status(models, gaps, supported(spark, sf_dir), "tx_id", window=20)
+
+
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.arbitration_status(transcripts(spark, sf_dir), introns(spark, sf_dir).select("tx_id", "seqid", "strand", "start", "end"), supported(spark, sf_dir), "tx_id", window=20)
+    return _status_of(spark, sf_dir, written(transcripts(spark, sf_dir).select("tx_id", "seqid", "strand", "gaps"), "models")[0])
 
 
 @query(_STATUS + "SELECT tx_id, introns, exact, conflicting, alternatives, status FROM st")
@@ -183,8 +188,8 @@ ev AS (SELECT st.*, coalesce(hits, 0) AS hits, coalesce(coding, 0) AS coding FRO
 
 def model_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each model with its junction status, protein hits, number of coding blocks and exons."""
-    t = transcripts(spark, sf_dir)
-    one = status(spark, sf_dir).join(evidence.protein_support(t, hits(spark, sf_dir), "tx_id").select("tx_id", "hits"), "tx_id", "left")
+    t, _ = written(transcripts(spark, sf_dir), "models")
+    one = _status_of(spark, sf_dir, t).join(evidence.protein_support(t, hits(spark, sf_dir), "tx_id").select("tx_id", "hits"), "tx_id", "left")
     return t.select("tx_id", "seqid", "source", "strand", "gene_id", "start", "end", "gaps", F.size("coding").alias("coding"), F.size("blocks").alias("n_exons")).join(one, "tx_id").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 
