@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from locuskit.llm.shared import table, text_batches, text_or_empty
 
 MAX_LENGTH, END_ID = 4096, 2
-#: Distinct words whose ids a task remembers in each of two generations, and the longest word that it remembers.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+#: Distinct words whose ids a task remembers in each of two generations, and the longest word that it remembers; a word is
+#: remembered when it comes again: so many marks (a byte each) tell which words came before, some of them wrongly.
+CACHE_WORDS, CACHE_CHARS, MARKS = 150_000, 48, 1 << 21
 #: Sequence ids: the bucket's bits stand above this many bits of row number.
 ROW_BITS = 58
 
@@ -48,6 +49,7 @@ class WordEncoder:
         self.ends[[i for w, i in self.whole.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.seen = bytearray(MARKS)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
@@ -81,12 +83,14 @@ class WordEncoder:
             words = self._words(list(set().union(*cuts.values())))
             known.update((w, words[p[0]] if len(p) == 1 else b"".join(map(words.__getitem__, p))) for w, p in cuts.items())
         out = [b"".join(map(known.__getitem__, c)) if q else self._packed(self.whole.encode(t, add_special_tokens=False).ids) for t, q, c in zip(texts, quick, cut, strict=True)]
+        seen = self.seen
+        for w in missing:
+            mark = hash(w) & (MARKS - 1)
+            if not seen[mark] or len(w) > CACHE_CHARS:
+                seen[mark] = 1
+                del known[w]
         if len(known) > CACHE_WORDS:
-            self.known, self.older = {}, {w: i for w, i in known.items() if len(w) <= CACHE_CHARS} if len(known) <= 2 * CACHE_WORDS else {}
-        else:
-            for w in missing:
-                if len(w) > CACHE_CHARS:
-                    del known[w]
+            self.known, self.older, self.seen = {}, known if len(known) <= 2 * CACHE_WORDS else {}, bytearray(MARKS)
         return out
 
     def encode(self, text: str) -> bytes:
