@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locuskit.functions import intervals, rules, sequence
+from locuskit.sources import readers
 
 
 def audited(models: DataFrame, seq: str = "seq") -> DataFrame:
@@ -36,6 +37,19 @@ def audited(models: DataFrame, seq: str = "seq") -> DataFrame:
     return out.withColumns({"status": F.when(F.size("hard") > 0, "fail").when(F.size("warnings") > 0, "warning").otherwise("pass"), "eligible": F.size("hard") == 0})
 
 
+def audited_on(models: DataFrame, chunks: DataFrame, key: str = "tx_id") -> DataFrame:
+    """As `audited`, for models (key, seqid, start, end, strand, blocks, coding, phases) and sequences in chunks (readers.fasta).
+
+    Each model gets the sequence of its own span only, and is judged in places counted from its start.
+    """
+    cut = readers.slices(chunks, models, key).select(key, "seq")
+    known = chunks.select("seqid").distinct().withColumn("__known", F.lit(True))
+    moved = lambda c: F.transform(c, lambda b: F.struct((b["start"] - F.col("start") + 1).alias("start"), (b["end"] - F.col("start") + 1).alias("end")))
+    # A span that isn't wholly there, on a sequence that is, reaches beyond its end.
+    near = models.select(key, "seqid", "strand", moved(F.col("blocks")).alias("blocks"), moved(F.col("coding")).alias("coding"), "phases").join(cut, key, "left").join(known, "seqid", "left")
+    return audited(near.withColumn("seq", F.coalesce("seq", F.when(F.col("__known"), F.lit(""))))).select(key, "hard", "warnings", "status", "eligible")
+
+
 def with_conflicts(audit: DataFrame, conflicts: DataFrame, key: str) -> DataFrame:
     """Neighbour conflicts (a, b, bp) added to both models' hard reasons."""
     both = conflicts.select(F.col("a").alias(key), F.col("b").alias("other"), "bp").union(conflicts.select("b", "a", "bp"))

@@ -14,9 +14,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; where it is unset (tests, one machine), a temporary folder."""
+    """`spark.checkpoint.dir`; where it is unset, a temporary folder on a single machine (tests), an error on a cluster."""
     if configured := spark.conf.get("spark.checkpoint.dir", None):
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
 
 

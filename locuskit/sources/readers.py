@@ -62,11 +62,12 @@ def gff_models(rows: DataFrame) -> DataFrame:
 
 
 def junctions(df: DataFrame, sample: Column) -> DataFrame:
-    """Observations from lines of nine numbers by an aligner: codes of strand and motif are spelt out."""
+    """Observations from lines of nine numbers by an aligner: codes of strand and motif are spelt out; reads are those that
+    map once and those that map several times."""
     c = F.split("line", "\t")
     n = lambda i: F.try_element_at(c, F.lit(i)).try_cast("int")
     spelt = lambda i, words: F.coalesce(F.try_element_at(F.array(*map(F.lit, words)), n(i) + 1), F.lit("."))
-    out = df.select(c[0].alias("seqid"), n(2).alias("start"), n(3).alias("end"), spelt(4, STRANDS).alias("strand"), spelt(5, MOTIFS).alias("motif"), sample.alias("sample"), n(7).alias("reads"), n(9).alias("hang"))
+    out = df.select(c[0].alias("seqid"), n(2).alias("start"), n(3).alias("end"), spelt(4, STRANDS).alias("strand"), spelt(5, MOTIFS).alias("motif"), sample.alias("sample"), (n(7) + F.coalesce(n(8), F.lit(0))).alias("reads"), n(9).alias("hang"))
     return out.filter("start is not null and `end` is not null and reads is not null")
 
 

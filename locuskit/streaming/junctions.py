@@ -18,8 +18,9 @@ def arriving(spark: SparkSession, path: str, schema: StructType, files_per_trigg
 
 
 def running_junctions(observed: DataFrame) -> DataFrame:
-    """Reads and overhang per junction over all samples so far, for update or complete mode."""
-    return observed.groupBy(*JUNCTION).agg(F.sum("reads").alias("reads"), F.max("hang").alias("hang"), F.approx_count_distinct("sample", 0.01).alias("samples"))
+    """Reads, overhang and the exact number of samples per junction so far, for update or complete mode. The state of a
+    junction holds the names of its samples, since thresholds of support count them."""
+    return observed.groupBy(*JUNCTION).agg(F.sum("reads").alias("reads"), F.max("hang").alias("hang"), F.size(F.collect_set("sample")).cast("long").alias("samples"))
 
 
 def windowed_counts(events: DataFrame, time: str, by: str, length: str = "1 day", late: str = "2 days") -> DataFrame:

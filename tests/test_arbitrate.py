@@ -53,3 +53,25 @@ def test_audit(spark):
     told = eligibility.with_conflicts(audit, conflicts, "tx").select("hard", "eligible").first()
     assert told.hard == ["same_source_different_gene_high_overlap:other:overlap_bp_9"] and not told.eligible
     assert eligibility.audited(audit.select(*[F.col(c.split()[0]) for c in schema.split(", ")]).limit(0)).collect() == []
+
+
+def test_run_with_sequences_and_long_reads(spark, tmp_path):
+    """A model with an inner stop can't replace the current gene; long reads lift the score of the source that has them."""
+    codon = "ATG" + "GCA" * 28 + "TAA"
+    genome = "N" * 99 + codon + "N" * 210 + "ATGTAA" + "GCA" * 27 + "TAA" + "N" * 600
+    (tmp_path / "g.fa").write_text(">chr1 first\n" + "\n".join(genome[i : i + 50] for i in range(0, len(genome), 50)) + "\n")
+    files = {"current": gff("cur1", [(100, 189)], [(100, 189)]), "ToolA": gff("a1", [(400, 489)], [(400, 489)]) + gff("a2", [(100, 189)], [(100, 189)]), "ToolB": gff("b1", [(5000, 5089)], [(5000, 5089)]), "ToolC": gff("c1", [(100, 189)], [(100, 189)])}
+    for name, rows in files.items():
+        (tmp_path / f"{name}.gff3").write_text("\n".join(rows) + "\n")
+    (tmp_path / "long/ToolA").mkdir(parents=True)
+    (tmp_path / "long/ToolA/long_read_model_support_by_model.tsv").write_text("model_id\tsupport_class\tconflicting_chain_count\trisk_tags\na2.t01\texact_chain_supported\t0\tdeep\n")
+    (tmp_path / "long/ToolA/long_read_set_support_by_locus.tsv").write_text("locus_id\tsupport_level\texact_supported_transcripts\na2\tstrong\t1\n")
+    (tmp_path / "s1.tsv").write_text("chrom\tintron_start_1based\tintron_end_1based\tstrand\tjunction_read_count\nchr1\t120\t150\t+\t7\n")
+    run = arbitrate.run_files(spark, {n: str(tmp_path / f"{n}.gff3") for n in files}, str(tmp_path / "out"), {"s1": str(tmp_path / "s1.tsv")}, None, "recommended", str(tmp_path / "g.fa"), str(tmp_path / "long"))
+    audit = {r.tx_id: (r.eligible, r.quality, tuple(r.hard)) for r in run["audit"].collect()}
+    assert audit["current:cur1:cur1.t01"] == (True, "pass", ()) and audit["ToolA:a1:a1.t01"] == (False, "fail", ("internal_stop_present",))
+    assert not audit["ToolB:b1:b1.t01"][0] and "transcript_coordinates_out_of_bounds" in audit["ToolB:b1:b1.t01"][2]
+    sets = {r.source: r for r in run["sets"].collect()}
+    assert set(sets) == {"current", "ToolA", "ToolC"} and sets["ToolA"].score > sets["ToolC"].score and sets["ToolA"]["pass"] == 1 and sets["ToolA"].exact == 1
+    assert [(r.source, r.action) for r in run["calls"].collect()] == [("ToolA", "replace_current_with_selected_set")]
+    assert run["junctions"].first().reads == 7

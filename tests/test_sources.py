@@ -5,7 +5,7 @@ import gzip
 from pyspark.sql import functions as F
 
 from locuskit.functions import text
-from locuskit.sources import readers, writers
+from locuskit.sources import evidence_tables, readers, writers
 
 GFF = """##gff-version 3
 chr1\tx\tmRNA\t100\t500\t.\t+\t.\tID=t1;Parent=g1
@@ -32,7 +32,7 @@ def test_gff_to_models(spark, tmp_path):
 def test_junction_lines(spark):
     df = spark.createDataFrame([("chr1\t201\t299\t1\t1\t0\t8\t2\t30",), ("chr1\t600\t699\t0\t0\t0\t5\t0\t9",), ("bad",)], "line string")
     got = readers.junctions(df, F.lit("s")).collect()
-    assert [tuple(r) for r in got] == [("chr1", 201, 299, "+", "GT/AG", "s", 8, 30), ("chr1", 600, 699, ".", "non-canonical", "s", 5, 9)]
+    assert [tuple(r) for r in got] == [("chr1", 201, 299, "+", "GT/AG", "s", 10, 30), ("chr1", 600, 699, ".", "non-canonical", "s", 5, 9)]
 
 
 def test_fasta_slices(spark, tmp_path):
@@ -81,3 +81,23 @@ def test_released_attributes_and_order(spark):
     rows = [("c1", "exon", 1, 9), ("c1", "CDS", 1, 5), ("c1", "five_prime_UTR", 1, 3), ("c1", "lnc_RNA", 1, 9), ("c1", "mRNA", 1, 5), ("c1", "gene", 1, 9), ("c1", "odd", 1, 1), ("c1", "stop_codon", 1, 3)]
     df = spark.createDataFrame(rows, "seqid string, feature string, start int, `end` int")
     assert [r.feature for r in writers.in_order(df).collect()] == ["gene", "mRNA", "lnc_RNA", "exon", "five_prime_UTR", "CDS", "stop_codon", "odd"]
+
+
+def test_evidence_tables(spark):
+    lines = lambda rows: spark.createDataFrame(list(enumerate(rows)), "row_idx long, line string")
+    star = evidence_tables.junction_file(lines(["chr1\t5\t9\t2\t1\t0\t4\t3\t30", "bad"]), F.lit("s")).first()
+    assert (star.seqid, star.start, star.end, star.strand, star.reads, star.hang) == ("chr1", 5, 9, "-", 7, 30)
+    assert evidence_tables.junction_file(lines([]), F.lit("s")).collect() == []
+    table = spark.createDataFrame([("c", "5", "9", "", "3", "1", "a"), ("c", "5", "9", ".", "4", "2", "b,a"), ("c", "5", "9", "", "1", "1", "z")], "chrom string, intron_start_1based string, intron_end_1based string, strand string, junction_read_count string, sample_support_count string, supporting_samples string")
+    (j,) = evidence_tables.junction_tables(table, 2, 1).collect()
+    assert (j.strand, j.reads, j.names, j.samples) == (".", 7, ["a", "b"], 2)
+    rows = [(0, "gene", "g", [], None), (1, "mRNA", "t", ["g"], None), (2, "exon", "e", ["t"], None), (3, "gene", "g", [], None), (4, "mRNA", "u", [], "h"), (5, "CDS", "c", ["u"], None), (6, "exon", "f", [], None), (7, "exon", "k", ["g"], None)]
+    blocks = evidence_tables.gene_blocks(spark.createDataFrame(rows, "row_idx long, feature string, id string, parents array<string>, gene_ref string"))
+    assert {r.row_idx: r.block for r in blocks.collect()} == {0: "g", 1: "g", 2: "g", 3: "g__duplicate_2", 4: "h", 5: "h", 7: "g"}
+    assert evidence_tables.header_value(lines(["##gff", "# current_gff: /a/b", "x"]), "current_gff") == "/a/b"
+    regions = spark.createDataFrame([("Pt", "region", "genome=Chloroplast"), ("1", "region", "genome=chromosome"), ("Pt", "gene", "")], "seqid string, feature string, attributes string")
+    assert [r.seqid for r in evidence_tables.organelles(regions).collect()] == ["Pt"]
+    manifest = spark.createDataFrame([("a", "yes"), ("b", "no"), ("c", None)], "sample_id string, include string")
+    assert sorted(r.sample_id for r in evidence_tables.included(manifest).collect()) == ["a", "c"] and evidence_tables.sample_ids(manifest).count() == 3
+    summary = spark.createDataFrame([(0, "", "m", "x"), (1, None, "m", "y"), (2, "n", "q", "z")], "row_idx long, model_id string, object_id string, v string")
+    assert {(r.key, r.v) for r in evidence_tables.summary_by_model(summary).collect()} == {("m", "y"), ("n", "z")}
