@@ -165,3 +165,10 @@ def review_reasons(*texts: Column) -> Column:
     blob = F.concat_ws(" ", *[F.nullif(F.lower(decoded(t)), F.lit("")) for t in texts])
     found = F.array_compact(F.array(*[F.when(blob.rlike("|".join(words)), reason) for reason, words in REASONS]))
     return F.when(blob == "", "").when(F.size(found) == 0, "workflow_flag").otherwise(F.array_join(found, ","))
+
+
+def swapped_id(pairs: Column, new: Column, provenance: str) -> Column:
+    """Attributes under a new ID: the old one is kept as `provenance`, and a Name that was the old ID follows. Null leaves them."""
+    old = attribute(pairs, "ID")
+    moved = F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), F.when((p["k"] == "ID") | ((p["k"] == "Name") & (p["v"] == old)), new).otherwise(p["v"]).alias("v")))
+    return F.when(new.isNull() | (new == old), pairs).otherwise(F.concat(moved, F.array(F.struct(F.lit(provenance).alias("k"), old.alias("v")))))

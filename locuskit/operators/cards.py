@@ -188,3 +188,17 @@ def long_read_sets(models: DataFrame, genes: DataFrame) -> DataFrame:
         F.when(live, F.slice(F.array_sort(F.coalesce("best", none)), 1, 20)).otherwise(none).alias("best"),
         F.when(F.col("off"), none).when(F.col("away"), F.array(F.lit("long_read_not_available_for_source"))).otherwise(F.array_sort(risks)).alias("risks"),
     )
+
+
+def component_layers(models: DataFrame) -> DataFrame:
+    """Per locus and component: the sets and models that have it, its tier, type, claim, role and uncertainty.
+
+    `models`: locus, set_id, component, introns (their number), tier; the best tier of a component's models counts.
+    """
+    tiers = ("high", "moderate", "low", "unsupported_or_not_assessed")
+    at = F.array_position(F.array(*map(F.lit, tiers)), F.col("tier"))
+    g = models.groupBy("locus", "component").agg(F.count_distinct("set_id").alias("sets"), F.count("*").alias("models"), F.bool_and(F.col("introns") == 0).alias("mono"), F.min(F.when(at > 0, at).otherwise(len(tiers))).alias("k"))
+    total = models.groupBy("locus").agg(F.count_distinct("set_id").alias("all_sets"))
+    made = g.join(total, "locus").withColumn("tier", F.get(F.array(*map(F.lit, tiers)), F.col("k").cast("int") - 1))
+    words = rules.component_words(F.col("mono"), F.col("sets"), F.col("all_sets"), F.col("tier"))
+    return made.select("locus", "component", "sets", "all_sets", "models", "tier", *[v.alias(k) for k, v in words.items()])

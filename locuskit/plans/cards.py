@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuskit.functions import rules
+from locuskit.functions import rules, text
 from locuskit.operators import cards
 from locuskit.plans.decisions import _COUNTS, _SCORE, _sets
 from locuskit.plans.registry import query
 from locuskit.plans.views import SOURCES, table
+from locuskit.sources import writers
 
 _N = _SCORE[: _SCORE.index(",\np AS (")]
 _K = """ s AS (SELECT *, l_orderkey AS locus, 'S0' || l_linenumber AS set_id, ['current', 'ToolA', 'ToolB', 'ToolC'][1 + l_suppkey % 4] AS source, l_partkey % 2 AS k1, CASE WHEN l_partkey // 2 % 5 = 0 THEN 1 ELSE 0 END AS k3, l_suppkey % 2 AS k2, CASE WHEN l_suppkey % 11 = 0 THEN 1 ELSE 0 END AS k4,
@@ -312,3 +313,35 @@ def a05_long_read_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id")
     g = spark.range(0, 50, 3).select(F.lit("R").alias("source"), F.concat(F.lit("g"), i.cast("string")).alias("gene_id"), F.when(i % 4 == 0, "mono_exon_not_assessable").otherwise("some").alias("level"), (i % 3).alias("exact"), (i % 2).alias("partial"), (i % 5).alias("unsupported"), (i % 2).alias("conflicts"), F.array(F.concat(F.lit("bg"), i.cast("string"))).alias("best"), F.array(F.lit("deep")).alias("risks"))
     return cards.long_read_sets(m, g).withColumns({"best": rules.joined(F.col("best")), "risks": rules.joined(F.col("risks"))})
+
+
+@query("""WITH m AS (SELECT l_orderkey AS locus, l_linenumber % 3 AS set_id, 'C' || l_suppkey % 3 AS component, l_partkey % 4 AS introns, CASE WHEN l_quantity > 40 THEN 1 WHEN l_quantity > 25 THEN 2 WHEN l_quantity > 10 THEN 3 ELSE 4 END AS t FROM lineitem),
+g AS (SELECT locus, component, count(DISTINCT set_id) AS sets, count(*) AS models, bool_and(introns = 0) AS mono, min(t) AS t FROM m GROUP BY ALL), a AS (SELECT *, mono AND sets < all_sets AS x FROM g JOIN (SELECT locus, count(DISTINCT set_id) AS all_sets FROM m GROUP BY locus) USING (locus))
+SELECT locus, component, sets, all_sets, models, ['high', 'moderate', 'low', 'unsupported_or_not_assessed'][t] AS tier, CASE WHEN x THEN 'possible_extra_or_mono_exon_component' WHEN mono THEN 'mono_exon_protein_coding_component' ELSE 'protein_coding_transcript_component' END AS component_type,
+  CASE WHEN x THEN 'possible extra mono-exon gene or candidate-specific coding unit' WHEN sets = all_sets THEN 'shared supported protein-coding transcript component' WHEN sets > 1 THEN 'supported coding component shared by a subset of candidate sets' ELSE 'candidate-specific protein-coding component' END AS claim,
+  CASE WHEN x THEN 'uncertain_extra_component' WHEN sets = all_sets THEN 'shared_core_component' WHEN t = 1 THEN 'strong_component' ELSE 'candidate_specific_component' END AS role, CASE WHEN x THEN 'mono_exon_or_extra_gene_status' WHEN sets = all_sets THEN 'terminal_boundary_or_transcript_span' ELSE 'split_merge_or_component_presence' END AS uncertainty FROM a""", views=False)
+def a21_component_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each component of a locus is, from the sets and models that have it."""
+    q = F.col("l_quantity")
+    tier = F.when(q > 40, "high").when(q > 25, "moderate").when(q > 10, "low").otherwise("unsupported_or_not_assessed")
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("locus"), (F.col("l_linenumber") % 3).alias("set_id"), F.concat(F.lit("C"), (F.col("l_suppkey") % 3).cast("string")).alias("component"), (F.col("l_partkey") % 4).alias("introns"), tier.alias("tier"))
+    return cards.component_layers(m)
+
+
+@query(_N + "," + _K + _C.rstrip().rstrip(",") + """ SELECT locus, '# locus ' || locus || chr(10) || chr(10) || 'Region: chr1:1-570' || chr(10) || chr(10) || 'Question: which' || chr(10) || chr(10) || '| set | sources | interpretation | coding_qc | short_read_junction | long_read | protein |' || chr(10) || '|-|-|-|-|-|-|-|' || chr(10)
+  || string_agg('| ' || concat_ws(' | ', set_id, replace(sources, ',', ', '), interpretation, coding_qc, short_read_junction, long_read, protein) || ' |', chr(10) ORDER BY set_id) || chr(10) AS card FROM c GROUP BY locus""", views=False)
+def k15_review_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Markdown card of each locus."""
+    g = _collapsed(spark, sf_dir).groupBy("locus").agg(F.collect_list(F.struct("set_id", "sources", "interpretation", "evidence")).alias("sets"))
+    region = text.shown_region(F.lit("chr1"), F.lit(60), F.lit(70))
+    return g.select("locus", writers.review_card(F.concat(F.lit("locus "), F.col("locus").cast("string")), region, F.lit("which"), F.col("sets")).alias("card"))
+
+
+@query("""SELECT o_orderkey AS row_idx, 'ID=' || CASE WHEN o_orderkey % 3 = 0 THEN 'F' ELSE 'o' END || o_orderkey || ';Name=' || CASE WHEN o_orderkey % 2 = 1 THEN 'n' WHEN o_orderkey % 3 = 0 THEN 'F' || o_orderkey ELSE 'o' || o_orderkey END || ';Parent=' || CASE WHEN o_custkey % 3 = 0 THEN 'F' ELSE 'o' END || o_custkey || ',x'
+  || CASE WHEN o_orderkey % 3 = 0 THEN ';original_id=o' || o_orderkey ELSE '' END AS attributes FROM orders""", views=False)
+def k07_renamed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows under final identifiers, with where they came from."""
+    o, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_idx"), F.concat(F.lit("ID=o"), o, F.lit(";Name="), F.when(F.col("o_orderkey") % 2 == 1, "n").otherwise(F.concat(F.lit("o"), o)), F.lit(";Parent=o"), c, F.lit(",x")).alias("attributes"))
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n")).union(table(spark, sf_dir, "orders").select("o_custkey")).distinct().filter("n % 3 = 0")
+    return writers.renamed(rows, ids.select(F.concat(F.lit("o"), F.col("n").cast("string")).alias("old_id"), F.concat(F.lit("F"), F.col("n").cast("string")).alias("final_id")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locuskit.functions import text
+from locuskit.functions.rules import EVIDENCE
 
 #: Transcript features in lower case; attributes that a released feature keeps, in their order; the rank of
 #: features at one place.
@@ -67,12 +68,43 @@ def write_lines(df: DataFrame, line: Column, path: str, header: str | None = Non
     (out.coalesce(1) if one_file else out).write.mode("errorifexists").text(path)
 
 
-def write_table(df: DataFrame, path: str, fields: list[str], one_file: bool = False) -> None:
-    """Tab-separated with a header and just these columns; missing ones are empty, nulls too."""
+def write_table(df: DataFrame, path: str, fields: list[str], one_file: bool = False, compressed: bool = False) -> None:
+    """Tab-separated with a header and just these columns; missing ones are empty, nulls too. `compressed` files are gzip without
+    a time in them, so that equal rows in equal parts are equal bytes."""
     out = df.select(*[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) if f in df.columns else F.lit("").alias(f) for f in fields])
-    (out.coalesce(1) if one_file else out).write.mode("errorifexists").csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="")
+    (out.coalesce(1) if one_file else out).write.mode("errorifexists").csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="", compression="gzip" if compressed else "none")
 
 
 def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     """JSON lines with sorted keys."""
     df.select(*sorted(df.columns)).write.mode("append" if append else "errorifexists").json(path)
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """file, bytes and sha256 of each file of an output."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def renamed(rows: DataFrame, mapping: DataFrame, provenance: str = "original_id") -> DataFrame:
+    """Rows (row_idx, attributes, ...) with their ID and parents under final names, from a mapping (old_id, final_id).
+
+    Both are joins on identifiers; a row's parents keep their order, and what the mapping doesn't name stays.
+    """
+    pairs = text.attribute_pairs(F.col("attributes"))
+    at = rows.withColumns({"__id": text.attribute(pairs, "ID"), "__parents": F.split(F.coalesce(text.attribute(pairs, "Parent"), F.lit("")), ",")})
+    own = mapping.select(F.col("old_id").alias("__id"), F.col("final_id").alias("__new"))
+    up = at.select("row_idx", F.posexplode("__parents").alias("pos", "old_id")).filter("old_id <> ''").join(mapping, "old_id", "left")
+    up = up.groupBy("row_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("final_id", "old_id").alias("p")))), lambda x: x["p"]), ",").alias("__up"))
+    both = at.join(own, "__id", "left").join(up, "row_idx", "left")
+    swapped = F.transform(text.swapped_id(pairs, F.col("__new"), provenance), lambda p: F.struct(p["k"].alias("k"), F.when((p["k"] == "Parent") & F.col("__up").isNotNull(), F.col("__up")).otherwise(p["v"]).alias("v")))
+    return both.withColumn("attributes", text.attribute_text(swapped)).select(rows.columns)
+
+
+def review_card(locus: Column, region: Column, question: Column, sets: Column) -> Column:
+    """A card as Markdown: a heading, where it is, what it turns on, and a table of its sets (array of set_id, sources,
+    interpretation, evidence)."""
+    cell = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("/"))
+    row = lambda x: F.concat(F.lit("| "), F.concat_ws(" | ", cell(x["set_id"]), cell(F.array_join(x["sources"], ", ")), cell(x["interpretation"]), *[cell(x["evidence"][f]) for f in EVIDENCE]), F.lit(" |"))
+    head = "| set | sources | interpretation | " + " | ".join(EVIDENCE) + " |\n|" + "-|" * (3 + len(EVIDENCE)) + "\n"
+    return F.concat(F.lit("# "), locus, F.lit("\n\nRegion: "), region, F.lit("\n\nQuestion: "), question, F.lit("\n\n" + head), F.array_join(F.transform(F.array_sort(sets), row), "\n"), F.lit("\n"))

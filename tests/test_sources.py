@@ -101,3 +101,11 @@ def test_evidence_tables(spark):
     assert sorted(r.sample_id for r in evidence_tables.included(manifest).collect()) == ["a", "c"] and evidence_tables.sample_ids(manifest).count() == 3
     summary = spark.createDataFrame([(0, "", "m", "x"), (1, None, "m", "y"), (2, "n", "q", "z")], "row_idx long, model_id string, object_id string, v string")
     assert {(r.key, r.v) for r in evidence_tables.summary_by_model(summary).collect()} == {("m", "y"), ("n", "z")}
+
+
+def test_compressed_tables_and_their_digests(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "id int, v string").coalesce(1)
+    for name in ("a", "b"):
+        writers.write_table(df, str(tmp_path / name), ["id", "v"], compressed=True)
+    a, b = ([(r.bytes, r.sha256) for r in writers.digests(spark, str(tmp_path / n)).collect()] for n in ("a", "b"))
+    assert a == b and len(a) == 1 and readers.table(spark, str(tmp_path / "a")).count() == 2
