@@ -19,7 +19,7 @@ from locuskit.llm.shared import table, text_batches, text_or_empty
 MAX_LENGTH, END_ID = 4096, 2
 #: Distinct words whose ids a task remembers in each of two generations, and the longest word that it remembers; a word is
 #: remembered when it comes again: so many marks (a byte each) tell which words came before, some of them wrongly.
-CACHE_WORDS, CACHE_CHARS, MARKS = 150_000, 48, 1 << 21
+CACHE_WORDS, CACHE_CHARS, MARKS = 400_000, 48, 1 << 21
 #: Sequence ids: the bucket's bits stand above this many bits of row number.
 ROW_BITS = 58
 
@@ -36,7 +36,7 @@ class WordEncoder:
     Merges never cross a word, so each distinct word is encoded once while it is remembered.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = CACHE_WORDS):
         import numpy as np
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -47,6 +47,7 @@ class WordEncoder:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.whole.get_vocab_size(), dtype=bool)
         self.ends[[i for w, i in self.whole.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]] = True
+        self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.seen = bytearray(MARKS)
@@ -89,17 +90,17 @@ class WordEncoder:
             if not seen[mark] or len(w) > CACHE_CHARS:
                 seen[mark] = 1
                 del known[w]
-        if len(known) > CACHE_WORDS:
-            self.known, self.older, self.seen = {}, known if len(known) <= 2 * CACHE_WORDS else {}, bytearray(MARKS)
+        if len(known) > self.remembered:
+            self.known, self.older, self.seen = {}, known if len(known) <= 2 * self.remembered else {}, bytearray(MARKS)
         return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, remembered: int = CACHE_WORDS) -> WordEncoder:
+    return WordEncoder(path, remembered)
 
 
 def lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -108,12 +109,13 @@ def lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_LENGTH, end_id: int = END_ID) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_LENGTH, end_id: int = END_ID, remembered: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: `id`, `start`, `length`, `bucket` (log2 of length), `doc_tokens`, `ids` (little-endian unsigned
     32-bit), `sequence_id`, `offset` (0).
 
     A null or empty text is the end id alone; rows that repeat an id, or have none, are packed like any other. Sequence ids
-    are unique and ordered by bucket; an empty table gives an empty result. `longest` must be a power of two.
+    are unique and ordered by bucket; an empty table gives an empty result. `longest` must be a power of two. A task remembers
+    up to twice `remembered` words: fewer need less memory and more time, and give the same result.
     """
     import pyarrow as pa
 
@@ -123,7 +125,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator) -> Iterator:
-        words = encoder(tokenizer)
+        words = encoder(tokenizer, remembered)
         for ids, texts in text_batches(batches):
             out = []
             for i, coded in zip(ids, words.encode_batch(texts), strict=True):
