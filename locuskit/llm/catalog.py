@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locuskit.llm import chat, edit_counts, exact_dedup, ngram_join, packing, pieces, pii, quality, url_filter, vector_dedup
+from locuskit.llm import byte_pairs, chat, edit_counts, exact_dedup, filter_audit, hard_negatives, ngram_join, packing, pieces, pii, quality, url_filter, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -19,10 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_pii": pii.op9_pii,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_byte_bpe": byte_pairs.op11_byte_bpe,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op2_url_filter": url_filter.ORACLE,
     "op8_chat_formatting": chat.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
