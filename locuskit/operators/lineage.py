@@ -1,12 +1,10 @@
-"""One-to-one lineage between current and proposed genes of a locus, and allocation of new identifiers.
+"""One-to-one lineage between current and proposed genes of a locus, and transcript identifiers; `allocation` has gene numbers.
 
-Spark groups by locus, gap or namespace; the sequential rule inside one of these small groups is a few lines of Python.
+Spark groups by locus; the assignment inside one of these small groups is a few lines of Python.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,12 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuskit.functions import text
-from locuskit.operators import islands
-from locuskit.session import written
+from locuskit.operators.allocation import gap_numbers, gene_mapping, namespaces, nearest_free, parsed, positional_ids, style_ids  # noqa: F401
 
-#: Least share of rising neighbours for numbers to follow places, widest gap of numbers, step without neighbours,
-#: what is added to a taken number behind the last gene; least share and number of genes for a style to be used.
-RISING, WIDEST, STEP, SKIP, DOMINANT, SEVERAL = 0.98, 1_000_000, 100, 10, 0.80, 10
 #: What a pair scores that no row has: other sequence or strand.
 APART = (0, 0, 0, 0, -(10**18))
 
@@ -114,202 +108,6 @@ def anchor_status(relation: Column, cds_bp: Column, span: Column) -> tuple[Colum
     return basis, status
 
 
-def nearest_free(target: float, low: int, high: int, taken: set[int]) -> int | None:
-    """The free number between low and high (both excluded) nearest to a place: a multiple of 10 if any is free, else of 5, else
-    any; of two as near the smaller."""
-    for step in (10, 5, 1):
-        down = int(target // step) * step
-        up = down + step
-        while down in taken or down >= high:
-            down -= step
-        while up in taken or up <= low:
-            up += step
-        free = [n for n in (down, up) if low < n < high]
-        if free:
-            return min(free, key=lambda n: (abs(n - target), n))
-    return None
-
-
-def gap_numbers(gap: dict, count: int, taken: set[int]) -> list[int] | None:
-    """Numbers for `count` genes between two current ones, before the first or after the last; null where there is no room.
-
-    `gap` has low and high (null beyond the ends), width, and the usual step of its sequence.
-    """
-    low, high = gap["low"], gap["high"]
-    out: list[int] = []
-    if high is None:
-        at = low
-        for _ in range(count):
-            at += gap["step"]
-            while at in taken and at < 10 ** gap["width"]:
-                at += SKIP
-            if at >= 10 ** gap["width"]:
-                return None
-            out.append(at)
-        return out
-    if low is not None and not low < high <= low + WIDEST:
-        return None
-    low, used = low or 0, set(taken)
-    for i in range(1, count + 1):
-        n = nearest_free(low + (high - low) * i / (count + 1), low, high, used)
-        if n is None:
-            return None
-        used.add(n)
-        out.append(n)
-    return out
-
-
-def namespaces(current: DataFrame) -> DataFrame:
-    """Per sequence, prefix and suffix of its genes' identifiers: adjacent pairs by place, how many of them rise, and the upper
-    median of the steps between neighbouring numbers (STEP if there is none)."""
-    keys = ["seqid", "prefix", "suffix"]
-    before = W.partitionBy(*keys).orderBy("start", "number")
-    near = current.withColumn("risen", F.col("number") > F.lag("number").over(before)).groupBy(*keys).agg(F.count("risen").alias("adjacent"), F.count_if("risen").alias("rising"))
-    steps = current.withColumn("d", F.col("number") - F.lag("number").over(W.partitionBy(*keys).orderBy("number"))).filter("d > 0")
-    placed = steps.withColumns({"k": F.row_number().over(W.partitionBy(*keys).orderBy("d")), "n": F.count("*").over(W.partitionBy(*keys))}).filter("k = n div 2 + 1")
-    return near.join(placed.select(*keys, F.col("d").alias("step")), keys, "left").withColumn("step", F.coalesce("step", F.lit(STEP)).cast("long"))
-
-
-def parsed(genes: DataFrame) -> DataFrame:
-    """Genes (gene_id, ...) with the parts of their identifier; those without a number are left out."""
-    return genes.withColumn("__p", text.id_parts(F.col("gene_id"))).filter("__p is not null").select(*genes.columns, "__p.*")
-
-
-def positional_ids(new: DataFrame, current: DataFrame, reserved: DataFrame, strict: bool = False) -> DataFrame:
-    """`new_id` and `gene_id` in the current style for new genes (new_id, seqid, start, end) that fit between current ones (seqid,
-    start, gene_id); `reserved` are all identifiers (gene_id) that exist.
-
-    A gap gives no identifiers where its ends belong to different name spaces, numbers don't rise (unless `strict`, in at least
-    RISING of the neighbours on the sequence), or room is short. Neighbours are found by two as-of lookups. The numbers of one
-    name space are dealt in order of sequence and place, since each takes what others may not: the new genes and known
-    numbers of one prefix and suffix, thus of one annotation, meet in one task.
-    """
-    c = parsed(current)
-    anchor = F.struct("start", "number", "prefix", "gene_id", "width", "suffix")
-    at = lambda f: c.groupBy("seqid", "start").agg(f(anchor).alias("a"))
-    left = islands.as_of(new, at(F.max), ["seqid"], "start", "a").withColumnRenamed("last_value", "l")
-    both = islands.as_of(left, at(F.min), ["seqid"], "start", "a", after=True).withColumnRenamed("next_value", "r").filter("l is not null or r is not null")
-    one = both.select("new_id", "seqid", "start", "end", "l", "r", F.coalesce("l.prefix", "r.prefix").alias("prefix"), F.coalesce("l.suffix", "r.suffix").alias("suffix"), F.coalesce("l.width", "r.width").alias("width"))
-    one = one.join(namespaces(c), ["seqid", "prefix", "suffix"])
-    fits = F.expr("(l is null or (l.prefix = prefix and l.suffix = suffix)) and (r is null or (r.prefix = prefix and r.suffix = suffix))")
-    one = one.filter(fits if strict else fits & F.expr(f"adjacent >= 2 and rising >= {RISING} * adjacent"))
-    gaps = one.groupBy("prefix", "suffix", "seqid", "l", "r").agg(F.first("width").alias("width"), F.first("step").alias("step"), F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "new_id"))), lambda x: x["new_id"]).alias("ids"))
-    gaps = gaps.select("prefix", "suffix", "seqid", F.coalesce("l.start", F.lit(-1)).alias("at"), F.coalesce("l.number", F.lit(-1)).alias("k"), F.col("l.number").alias("low"), F.col("r.number").alias("high"), "width", "step", "ids")
-    taken = parsed(reserved.select("gene_id")).select("prefix", "suffix", "number").distinct()
-
-    def run(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        prefix, suffix = key
-        used, out = set(known["number"].tolist()), []
-        whole = lambda x: None if pd.isna(x) else int(x)
-        for r in rows.sort_values(["seqid", "at", "k"]).itertuples(index=False):
-            numbers = gap_numbers({"low": whole(r.low), "high": whole(r.high), "width": int(r.width), "step": int(r.step)}, len(r.ids), used)
-            if numbers is not None:
-                used.update(numbers)
-                out += [(i, f"{prefix}{n:0{int(r.width)}d}{suffix}") for i, n in zip(r.ids, numbers, strict=True)]
-        return pd.DataFrame(out, columns=["new_id", "gene_id"])
-
-    return gaps.groupBy("prefix", "suffix").cogroup(taken.groupBy("prefix", "suffix")).applyInPandas(run, "new_id string, gene_id string")
-
-
-def style_ids(new: DataFrame, current: DataFrame, reserved: DataFrame) -> DataFrame:
-    """`new_id`, `gene_id`, `basis` in a style learnt from current genes (seqid, gene_id), for new genes (new_id, seqid, start).
-
-    The commonest style of the sequence is used; else one that contains the sequence's name, if SEVERAL genes have it; else
-    the one that DOMINANT of all genes share. Names that a registry hands out (LOC) are never made up. Styles are counted in
-    aggregations; what one style hands out, in order of sequence and place, meets in one task.
-    """
-    c = parsed(current)
-    schema = ["prefix", "width", "suffix"]
-    best = lambda df, on: df.groupBy(*on, *schema).agg(F.count("*").alias("n")).groupBy(*on).agg(F.max_by(F.struct(*schema), F.struct("n", *[F.col(x) for x in schema])).alias("s"), F.max("n").alias("n"), F.sum("n").alias("all"))
-    local = best(c, ["seqid"]).select("seqid", F.col("s").alias("local"))
-    static = best(c, []).filter(F.col("n") >= DOMINANT * F.col("all")).select(F.col("s").alias("static"))
-    inside = F.when(F.contains("prefix", "seqid"), F.struct(_replaced(F.col("prefix"), F.col("seqid")).alias("prefix"), "width", F.col("suffix"))).when(
-        F.contains("suffix", "seqid"), F.struct(F.col("prefix"), F.col("width"), _replaced(F.col("suffix"), F.col("seqid")).alias("suffix"))
-    )
-    named = c.filter("seqid <> ''").withColumn("d", inside).filter("d is not null")
-    numbers = named.groupBy("d").agg(F.count("*").alias("n"), F.min("number").alias("from"), F.sort_array(F.collect_set("number")).alias("numbers"))
-    dynamic = numbers.filter(F.col("n") >= SEVERAL).agg(F.max_by(F.struct("d", "from", "numbers"), F.struct("n", "d")).alias("dynamic"))
-    filled = lambda x: F.replace(x, F.lit("{seqid}"), F.col("seqid"))
-    chosen = new.join(local, "seqid", "left").join(F.broadcast(static), how="left").join(F.broadcast(dynamic), how="left").select(
-        "new_id", "seqid", "start",
-        F.coalesce("local", F.when(F.col("dynamic").isNotNull(), F.struct(filled(F.col("dynamic.d.prefix")).alias("prefix"), F.col("dynamic.d.width").alias("width"), filled(F.col("dynamic.d.suffix")).alias("suffix"))), "static").alias("s"),
-        F.when(F.col("local").isNotNull(), "inferred_local_source_id_style").when(F.col("dynamic").isNotNull(), "inferred_seqid_source_id_style").otherwise("inferred_dominant_source_id_style").alias("basis"), F.col("dynamic.from").alias("from"), F.col("dynamic.numbers").alias("spread"),
-    )
-    chosen = chosen.filter("s is not null").select("*", "s.*").drop("s").filter(~F.upper("prefix").endswith("LOC") & ~F.contains(F.upper("prefix"), F.lit("GENE-LOC")))
-    known = c.select(*schema, "number", F.lit(True).alias("current")).union(parsed(reserved.select("gene_id")).select(*schema, "number", F.lit(False)))
-
-    def run(key: tuple, rows: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        prefix, width, suffix = key
-        used, own, out = set(have["number"].tolist()), sorted(set(have["number"][have["current"]].tolist())), []
-        for basis, part in rows.groupby("basis", sort=True):
-            spread = [] if part["spread"].iloc[0] is None else list(part["spread"].iloc[0])
-            if own:
-                step = numeric_step(own)
-                at = own[-1] + step
-            elif basis == "inferred_seqid_source_id_style":
-                step, at = numeric_step(spread), int(part["from"].iloc[0])
-            else:
-                step, at = 1, 1
-            for i in part.sort_values(["seqid", "start", "new_id"])["new_id"]:
-                while at in used and at < 10**width:
-                    at += step
-                if at >= 10**width:
-                    break
-                used.add(at)
-                out.append((i, f"{prefix}{at:0{width}d}{suffix}", basis))
-                at += step
-        return pd.DataFrame(out, columns=["new_id", "gene_id", "basis"])
-
-    return chosen.groupBy(*schema).cogroup(known.groupBy(*schema)).applyInPandas(run, "new_id string, gene_id string, basis string")
-
-
-def _replaced(text_: Column, name: Column) -> Column:
-    """The first occurrence of a name replaced by a mark."""
-    at = F.call_function("instr", text_, name)
-    return F.concat(F.substr(text_, F.lit(1), at - 1), F.lit("{seqid}"), F.substr(text_, at + F.length(name)))
-
-
-def numeric_step(numbers: list[int]) -> int:
-    """Greatest common divisor of the differences between neighbours, at least 1."""
-    numbers = sorted(set(numbers))
-    return math.gcd(*[b - a for a, b in zip(numbers, numbers[1:])]) or 1
-
-
-def gene_mapping(new: DataFrame, anchors: DataFrame, current: DataFrame, reserved: DataFrame, prefix: str = "NewG", first: int = 1, width: int = 8, strategy: str = "sequential") -> DataFrame:
-    """Final identifiers of new genes (new_id, seqid, start, end): `gene_id`, `basis`, `status`, `collides`.
-
-    In this order: inherited from `anchors` (new_id, gene_id, basis, status), by place between current genes and by source style
-    (strategy "current_style_or_sequential"; "current_style_positional": by place only), else numbered in a new name space,
-    where existing identifiers are passed over. `collides` marks an identifier that two genes got, or a new one that exists.
-    """
-    left = new.join(anchors.select("new_id"), "new_id", "left_anti")
-    made = anchors.select("new_id", "gene_id", "basis", "status", F.lit(True).alias("reused"))
-    every = reserved.select("gene_id").union(current.select("gene_id")).distinct()
-    fixed = lambda df, basis, status: df.select("new_id", "gene_id", basis.alias("basis"), F.lit(status).alias("status"), F.lit(False).alias("reused"))
-    if strategy in ("current_style_positional", "current_style_or_sequential"):
-        placed, _ = written(positional_ids(left, current, every, strict=strategy == "current_style_positional"), "placed")
-        made = made.union(fixed(placed, F.lit("current_namespace_genomic_gap"), "deterministic_new_position_id"))
-        left = left.join(placed, "new_id", "left_anti")
-        if strategy == "current_style_or_sequential":
-            styled, _ = written(style_ids(left, current, every.union(placed.select("gene_id"))), "styled")
-            made = made.union(fixed(styled, F.col("basis"), "deterministic_new_source_style_id"))
-            left, every = left.join(styled, "new_id", "left_anti"), every.union(styled.select("gene_id"))
-        every = every.union(placed.select("gene_id"))
-    # Taken numbers of the new name space, in order: the k-th free number is k plus the taken ones below it.
-    digits = F.regexp_extract("gene_id", f"^{re.escape(prefix)}([0-9]{{{width},}})$", 1)
-    number = digits.try_cast("long")
-    taken = every.filter((digits != "") & (number >= first) & (text.numbered_id(prefix, number, width) == F.col("gene_id"))).select(number.alias("number")).distinct()
-    rank = islands.numbered(taken, ["number"], "k", [F.floor(F.col("number") / islands.BIN)]).select((F.col("number") - first - F.col("k") + 2).alias("at"), "k")
-    before = rank.groupBy("at").agg(F.max("k").alias("skip")).withColumn("key", F.lit(0))
-    order = islands.numbered(left, ["seqid", "start", "end", "new_id"], "at", ["seqid", F.floor(F.col("start") / islands.BIN)]).withColumn("key", F.lit(0))
-    free = islands.as_of(order, before, ["key"], "at", "skip")
-    fresh = free.select("new_id", text.numbered_id(prefix, F.col("at") - 1 + first + F.coalesce("last_value", F.lit(0)), width).alias("gene_id"), F.lit("sequential_new_namespace").alias("basis"), F.lit("deterministic_new_namespace_id").alias("status"), F.lit(False).alias("reused"))
-    whole, _ = written(made.union(fresh), "mapping")
-    twice = whole.groupBy("gene_id").agg((F.count("*") > 1).alias("twice"))
-    known = reserved.select("gene_id").union(current.select("gene_id")).distinct().withColumn("exists", F.lit(True))
-    return whole.join(twice, "gene_id").join(known, "gene_id", "left").select("new_id", "gene_id", "basis", "status", (F.col("twice") | (~F.col("reused") & F.coalesce("exists", F.lit(False)))).alias("collides"))
-
-
 def transcript_mapping(rows: DataFrame, existing: DataFrame, current_style: bool = False, template: tuple[str, int] = (".t", 2)) -> DataFrame:
     """Final transcript identifiers for rows (gene_id, tx_id, start): `final_id` numbers a gene's transcripts by start, then id.
 

@@ -64,11 +64,12 @@ def self_overlaps(df: DataFrame, on: list[str], key: str, widen: int = 0) -> Dat
 def back_one_only(pairs: DataFrame, index: DataFrame, on: list[str], key: str) -> DataFrame:
     """Of pairs (query left, index right), those that a probe finds which looks back one row only from the first index start
     not below the query's start. For comparison with such indexes; a full overlap join is the default everywhere."""
-    from pyspark.sql import Window as W
-
-    ranked = index.select(*on, F.col(key).alias(f"{key}_r"), (F.row_number().over(W.partitionBy(*on).orderBy("start", "end", key)) - 1).alias("__rank"))
-    starts = index.select(*on, F.col("start").alias("__at"), F.lit(0).alias("__query")).union(pairs.select(*on, "start", F.lit(1)).distinct())
-    below = starts.withColumn("__below", F.sum(1 - F.col("__query")).over(W.partitionBy(*on).orderBy("__at", F.col("__query").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)))
-    below = below.filter("__query = 1").select(*on, F.col("__at").alias("start"), "__below")
-    seen = pairs.join(ranked, [*on, f"{key}_r"]).join(below, [*on, "start"]).filter(F.col("__rank") >= F.greatest(F.col("__below") - 1, F.lit(0)))
+    from locuskit.operators import islands
+
+    place = [*on, F.floor(F.col("start") / islands.BIN)]
+    numbered = islands.numbered(index.select(*on, "start", "end", key), [*on, "start", "end", key], "__at", place)
+    last = numbered.groupBy(*on, "start").agg(F.max("__at").alias("__last")).withColumn("start", F.col("start") + 1)  # those that start before a place
+    asked = islands.as_of(pairs.select(*on, "start").distinct(), last, on, "start", "__last").select(*on, "start", F.col("last_value").alias("__from"))
+    ranked = numbered.select(*on, F.col(key).alias(f"{key}_r"), "__at")
+    seen = pairs.join(ranked, [*on, f"{key}_r"]).join(asked, [*on, "start"]).filter("__from is null or __at >= __from")
     return seen.select(*pairs.columns)

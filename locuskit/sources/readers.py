@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuskit.functions import text
+from locuskit.operators import islands
 
 #: Features that become models and their parts, and the codes of aligned junctions.
 MODELS, HITS, PARTS = ("mrna", "transcript", "rna"), ("mRNA", "match", "protein_match", "cDNA_match"), ("CDS", "match_part", "HSP")
@@ -86,18 +86,18 @@ def last_of_key(df: DataFrame, key: str, order: str = "row_idx") -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("r")).select(key, "r.*")
 
 
-def fasta(df: DataFrame) -> DataFrame:
+def fasta(df: DataFrame, width: int = islands.BIN) -> DataFrame:
     """seqid, chunk_no, start, seq: the lines of each sequence as chunks, upper-cased, with their place.
 
-    The header is carried forward within a file, so that files are the unit of parallel work; a sequence is never one value.
+    Headers are carried forward, and lengths summed up, in bins of lines that hand on to the next ones: a huge file, and a huge
+    sequence, are the work of many tasks, and a sequence is never one value. Lines before the first header, blank lines and
+    sequences without a line give no row.
     """
-    order = W.partitionBy("file").orderBy("row_idx")
     head = F.when(F.col("line").startswith(">"), F.regexp_extract("line", r"^>\s*(\S*)", 1))
-    named = df.withColumn("seqid", F.last(head, ignorenulls=True).over(order)).filter("not startswith(line, '>') and trim(line) <> '' and seqid is not null")
-    seq = F.upper(F.trim("line"))
-    by = W.partitionBy("file", "seqid").orderBy("row_idx")
-    before = F.coalesce(F.sum(F.length(seq)).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return named.select("seqid", F.row_number().over(by).alias("chunk_no"), (before + 1).cast("long").alias("start"), seq.alias("seq"))
+    named = islands.forward_fill(df.withColumn("seqid", head), ["file"], "row_idx", "seqid", width).filter("not startswith(line, '>') and trim(line) <> '' and seqid is not null")
+    chunks = named.select("file", "seqid", "row_idx", F.upper(F.trim("line")).alias("seq"))
+    placed = islands.running(chunks, ["file", "seqid"], "row_idx", {"before": F.length("seq"), "k": F.lit(1)}, width)
+    return placed.select("seqid", (F.col("k") + 1).cast("int").alias("chunk_no"), (F.col("before") + 1).alias("start"), "seq")
 
 
 def slices(chunks: DataFrame, places: DataFrame, key: str) -> DataFrame:
@@ -112,16 +112,17 @@ def slices(chunks: DataFrame, places: DataFrame, key: str) -> DataFrame:
     return p.groupBy(key, "start", "end").agg(whole.alias("seq")).withColumn("seq", F.when(F.length("seq") == F.col("end") - F.col("start") + 1, F.col("seq")))
 
 
-def protein_hits(rows: DataFrame, label: str) -> DataFrame:
+def protein_hits(rows: DataFrame, label: str, width: int = islands.BIN) -> DataFrame:
     """Hits with the span of their parts: hit_id (label|ID), seqid, strand, start, end, parts.
 
-    A part belongs to its Parent; one without Parent to the hit before it in the file.
+    A part belongs to its Parent; one without Parent to the hit before it on the sequence in the file, which bins of lines
+    hand on.
     """
     pairs = text.attribute_pairs(F.col("attributes"))
     at = rows.withColumns({"id": text.attribute(pairs, "ID"), "parent": text.attribute(pairs, "Parent")})
-    order = W.partitionBy(*[c for c in ("file",) if c in rows.columns], "seqid").orderBy("row_idx")
-    current = F.last(F.when(F.col("feature").isin(*HITS), F.col("id")), ignorenulls=True).over(order)
-    owner = at.withColumn("hit", F.when(F.col("feature").isin(*HITS), F.col("id")).otherwise(F.coalesce("parent", current))).filter(F.col("feature").isin(*HITS, *PARTS) & F.col("hit").isNotNull())
+    hit = F.col("feature").isin(*HITS)
+    held = islands.forward_fill(at.withColumn("hit", F.when(hit, F.col("id"))), [*[c for c in ("file",) if c in rows.columns], "seqid"], "row_idx", "hit", width)
+    owner = held.withColumn("hit", F.when(hit, F.col("id")).otherwise(F.coalesce("parent", "hit"))).filter(F.col("feature").isin(*HITS, *PARTS) & F.col("hit").isNotNull())
     return owner.groupBy(F.concat(F.lit(f"{label}|"), "hit").alias("hit_id")).agg(
         F.min_by("seqid", "row_idx").alias("seqid"), F.min_by("strand", "row_idx").alias("strand"), F.min("start").alias("start"), F.max("end").alias("end"), F.count_if(F.col("feature").isin(*PARTS)).alias("parts"),
     )
