@@ -69,6 +69,41 @@ def test_large_bucket_is_split(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got} == {(99, 0)}
 
 
+def test_vectors_are_fetched_only_for_near_sketches(spark, monkeypatch):
+    """Rows without a near copy share buckets with others, but no vector of theirs is read again; ids may repeat."""
+    kept = {}
+
+    def watched(df, label, write=vector_dedup.stash_at):
+        out = write(df, label)
+        kept[label] = out[0]
+        return out
+
+    monkeypatch.setattr(vector_dedup, "stash_at", watched)
+    monkeypatch.setattr(vector_dedup, "discard", lambda *_: None)
+    g = np.random.default_rng(8)
+    far = [(i, [float(x) for x in g.standard_normal(32)], 1) for i in range(600)]
+    near = [(1000, far[7][1], 1), (1001, [1.01 * x + 0.01 for x in far[9][1]], 1), (9, [1.02 * x - 0.01 for x in far[9][1]], 1), (5, far[3][1][::-1], 1)]
+    got = vector_dedup.near_duplicates(spark.createDataFrame(far + near, "vec_id long, embedding array<float>, label int")).collect()
+    linked = {(r.id, r.n_links, r.component_id) for r in got if r.n_links}
+    assert linked == {(7, 1, 7), (1000, 1, 7), (9, 2, 9), (1001, 2, 9)} and sum(r.id == 9 for r in got) == 2
+    spread = kept["hashed"].selectExpr("explode(codes)").count()
+    assert 3 <= kept["members"].select("class").distinct().count() < 60 and kept["members"].count() < spread / 20
+    assert "vec" not in kept["members"].columns
+
+
+def test_sketches_of_linked_pairs_are_near():
+    g = np.random.default_rng(2)
+    planes, limit = g.standard_normal((48, vector_dedup.SKETCH)), vector_dedup.sketch_limit(0.93)
+    x, y = g.standard_normal((2, 200_000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = 0.93 * x + np.sqrt(1 - 0.93**2) * y
+    apart = ((x @ planes > 0) != (near @ planes > 0)).sum(axis=1)
+    assert apart.max() <= limit < vector_dedup.SKETCH / 2 - 10
+    assert vector_dedup.sketch_limit(-1) >= vector_dedup.SKETCH
+
+
 def brute(rows, size, percent):
     def grams(text):
         words = (text or "").encode().lower().split()
