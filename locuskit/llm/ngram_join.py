@@ -369,17 +369,27 @@ def _candidates(batches: Iterator, percent: int, spanning: bool) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
+    def named(lists: _Lists, i, j, needed) -> pa.RecordBatch:
+        a, b = np.minimum(lists.id[i], lists.id[j]), np.maximum(lists.id[i], lists.id[j])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(needed.astype("i8"))], names=["a", "b", "needed"])
+
     for batch, new in _lists(batches, ["gram", "block_a", "block_b"]):
         lists = _Lists(batch, new, percent)
-        found = [x for x in lists.pairs() if len(x[0])]
-        if not found:
-            continue
-        i, j, needed, weight = (np.concatenate(x) for x in zip(*found, strict=True))
-        if spanning:
-            keep = forest(lists.rows, i, j, weight)
-            i, j, needed = i[keep], j[keep], needed[keep]
-        a, b = np.minimum(lists.id[i], lists.id[j]), np.maximum(lists.id[i], lists.id[j])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(needed.astype("i8"))], names=["a", "b", "needed"])
+        held: tuple | None = None
+        for pairs in lists.pairs():
+            if not len(pairs[0]):
+                continue
+            if not spanning:
+                yield named(lists, *pairs[:3])
+                continue
+            # The forest of all pairs is that of the forest so far and the next strip of pairs: one strip is held at a time.
+            held = pairs if held is None else tuple(np.concatenate(x) for x in zip(held, pairs, strict=True))
+            if len(held[0]) >= PAIRS:
+                keep = forest(lists.rows, held[0], held[1], held[3])
+                held = tuple(x[keep] for x in held)
+        if held is not None:
+            keep = forest(lists.rows, held[0], held[1], held[3])
+            yield named(lists, *(x[keep] for x in held[:3]))
 
 
 def _verified(batches: Iterator, size: int, percent: int) -> Iterator:
