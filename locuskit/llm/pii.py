@@ -9,6 +9,7 @@ introduce, if these have a shape that the kind allows.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -107,8 +108,9 @@ def loose(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     if not _ANY.search(text):
         return out
     taken = sorted((s, e) for _, s, e in base)
+    reached = list(itertools.accumulate((e for _, e in taken), max))  # the largest end of all spans that start so far
     for s, e in _loose_places(text):
-        if e - s >= 5 and (kinds := _kinds(text[s:e])) and ((i := bisect.bisect_left(taken, (e,))) == 0 or max(b for _, b in taken[max(0, i - 4) : i]) <= s):
+        if e - s >= 5 and (kinds := _kinds(text[s:e])) and ((i := bisect.bisect_left(taken, (e,))) == 0 or reached[i - 1] <= s):
             out.append({"kinds": kinds, "kind": None, "start": s, "end": e, "context": context(text, s), "value": text[s:e].lower()})
     return out
 

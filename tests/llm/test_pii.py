@@ -80,3 +80,66 @@ def test_query(spark):
         assert [g.n_email, g.n_ip, g.n_card, g.n_phone] == [sum(k == i for k, _, _ in want) for i in range(4)]
         assert g.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(filter(None, joined.split(","))) <= set(g.spans.split(","))
+
+
+def plain_learned(near):
+    """The scoring of patterns and values in plain loops; occurrences as in `pii.learned`."""
+    edges = {}
+    for x in near:
+        if x["context"]:
+            w, k = edges.get((x["context"], x["value"]), (0, None))
+            edges[x["context"], x["value"]] = w + 1, max((y for y in (k, x["kind"]) if y is not None), default=None)
+    kinds = range(len(pii.KINDS))
+    seed = {}
+    for (_, v), (_, k) in edges.items():
+        seed[v] = max((y for y in (seed.get(v), k) if y is not None), default=None)
+    score = {v: [float(seed[v] == k) for k in kinds] for v in seed}
+    for r in range(pii.ROUNDS):
+        pattern = {}
+        for c in {c for c, _ in edges}:
+            own = [(v, w) for (d, v), (w, _) in edges.items() if d == c]
+            total = sum(w for _, w in own) + pii.PRIOR
+            pattern[c] = [sum(w * score[v][k] for v, w in own) / total for k in kinds], [sum(seed[v] == k for v, _ in own) for k in kinds]
+        for v in seed if r < pii.ROUNDS - 1 else ():
+            own = [(c, w) for (c, u), (w, _) in edges.items() if u == v]
+            if seed[v] is None:
+                score[v] = [sum(w * pattern[c][0][k] for c, w in own) / sum(w for _, w in own) for k in kinds]
+    out = {}
+    for x in near:
+        if x["kind"] is None and x["context"] in pattern:
+            p, n = pattern[x["context"]]
+            fit = [(p[k], k) for k in x["kinds"] if p[k] >= pii.LEAST_SCORE and n[k] >= pii.LEAST_SEEDS]
+            if fit:
+                at = x["key"], x["start"], x["end"]
+                out[at] = max(out.get(at, (-1.0, -1)), max(fit))
+    return {(*at, k) for at, (_, k) in out.items()}
+
+
+def test_learned_patterns_equal_plain_loops(spark):
+    r, accepted = random.Random(11), 0
+    for case in range(4):
+        near = []
+        for i in range(500):
+            context = r.choice(["call me", "mail to", "card no", "at host", "the number", "", f"odd {i % 9}"])
+            home = {"call me": 3, "mail to": 0, "card no": 2, "at host": 1}.get(context, r.randrange(4))
+            kind = r.choice([home, home, None]) if r.random() < 0.9 else r.randrange(4)
+            near.append({"key": f"d{i}", "kind": kind, "kinds": None if kind is not None else sorted({home, r.randrange(4)}), "start": i, "end": i + 9, "context": context, "value": f"v{r.randrange(30 + 400 * (case % 2))}{kind or ''}"})
+        schema = "key string, kind int, kinds array<int>, start int, `end` int, context string, value string"
+        got = pii.learned(spark.createDataFrame([tuple(x[c] for c in ("key", "kind", "kinds", "start", "end", "context", "value")) for x in near], schema))
+        want = plain_learned(near)
+        assert {(x.key, x.start, x.end, x.kind) for x in got.collect()} == want
+        accepted += len(want)
+    assert accepted
+
+
+def test_no_candidate_inside_a_base_span():
+    """An email whose local part holds five addresses of hosts: all of them start after it and end within it."""
+    text = "user 1.1.1.1.2.2.2.2.3.3.3.3.4.4.4.4.5.5.5.5@1234567.com end"
+    base = pii.base_spans(text)
+    assert (0, 5, 56) in base and len(base) == 6
+    assert [x for x in pii.loose(text, base) if x["kind"] is None] == []
+    r = random.Random(1)
+    for _ in range(3000):
+        text = "".join(r.choices(["1.1.1.1", ".2.2.2.2", "@1234567.com", " ", "12 345 678", "a", "+1 555 0100 22", "(at)", "4111111111111111"], k=r.randint(1, 12)))
+        base = pii.base_spans(text)
+        assert not any(s < x["end"] and x["start"] < e for x in pii.loose(text, base) if x["kind"] is None for _, s, e in base), text
