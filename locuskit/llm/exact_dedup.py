@@ -19,8 +19,9 @@ from locuskit.llm.shared import row_of, small, stash, table
 SPACE = r"[\x20\x09-\x0D]+"
 #: Characters of the text in a splitter; longer common prefixes are told apart by the text's hash.
 PREFIX = 64
-#: Ranges per shuffle partition, and sampled keys per range.
-RANGES, SAMPLES = 8, 12
+#: Ranges per shuffle partition, sampled keys per range, and the most ranges: 16,384 splitters and 200,000 sampled keys are a
+#: few tens of MB at any size of the corpus; beyond that the ranges grow, and each is sorted externally.
+RANGES, SAMPLES, MOST_RANGES = 8, 12, 1 << 14
 #: Place of a null id in the order.
 LAST_ID = 2**63 - 1
 _KEYS = "array<struct<p:string,h:bigint,d:bigint>>"
@@ -63,7 +64,7 @@ def _sorted_runs(df: DataFrame, id_col: str, text_col: str, carry: bool) -> tupl
     # The text crosses the network once: with the row, where rows are asked for.
     rows = df.select(F.col(id_col).cast("long").alias("id"), row_of(df if carry else df.select(text_col)))
     text = F.col("row")[text_col].cast("string")
-    ranges = max(2, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(2, min(MOST_RANGES, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     found = _splitters(rows.select("id", text.alias("text")), ranges)
     keys = F.from_json(F.lit(json.dumps(found)), _KEYS)
 

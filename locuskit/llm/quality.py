@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuskit.llm.shared import bounded_batches, table, text_batches, text_or_empty
+from locuskit.llm.shared import BATCH_CHARS, bounded_batches, table, text_batches, text_or_empty
 
 #: At most this many labelled rows (those of the smallest hash) fit the trees.
 FIT_ROWS = 60_000
@@ -197,7 +197,7 @@ def keep_good(df: DataFrame, trees: Trees, threshold: float = 0.5, text_col: str
             texts, keep, i = batch.column(at), [], 0
             while i < batch.num_rows:
                 part, held = [], 0
-                while i < batch.num_rows and held < 2_000_000:
+                while i < batch.num_rows and held < BATCH_CHARS:
                     part.append(texts[i].as_py() or "")
                     held += len(part[-1])
                     i += 1
