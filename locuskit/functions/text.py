@@ -50,6 +50,11 @@ def released_value(text: Column) -> Column:
     """A value as a release writes it: decoded (up to three times), then percent-encoded but for letters, digits and `_.-~:|,`."""
     for _ in range(3):
         text = decoded(text)
+    return quoted(text)
+
+
+def quoted(text: Column) -> Column:
+    """Percent-encoded but for letters, digits and `_.-~:|,`."""
     out = F.url_encode(text)
     for c, code in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%3A", ":"), ("%7C", "|"), ("%2C", ",")):
         out = F.replace(out, F.lit(c), F.lit(code))
