@@ -8,9 +8,13 @@ nothing is found twice, and no bin ever holds two crowds of short intervals at a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locuskit.session import shared_dir
+
 #: Width of the smallest bins, and the factor from level to level. The last level's bins are 2^10 * 8^7, over any sequence.
 LEAST, FACTOR, LEVELS = 1024, 8, 8
 
@@ -56,6 +60,45 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], widen: int =
     return met(own_l, own_r).union(met(up_l, own_r)).union(met(own_l, up_r))
 
 
+class IntervalIndex:
+    """Intervals listed by bins in a table that is bucketed by the join's keys, to be probed again and again.
+
+    An interval is listed at its own level and, once or twice each, at all higher ones, so that any probe finds it whatever
+    its length. A probe is shuffled to the buckets of the index; the index itself is read where it lies, without an exchange.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, on: list[str]):
+        self.rows, self.on = spark.table(name), on
+        self.levels = [r[0] for r in self.rows.filter("not __up").select("__level").distinct().collect()]  # LEVELS at most
+
+    @classmethod
+    def build(cls, df: DataFrame, on: list[str], name: str, buckets: int | None = None) -> IntervalIndex:
+        """Writes the table `name` under the shared folder. Rows with a null key or bound are left out."""
+        spark = df.sparkSession
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        r = df.select(*on, *[F.col(c).alias(f"{c}_r") for c in df.columns if c not in on]).dropna(subset=[*on, "start_r", "end_r"])
+        at = lambda up: F.array(*[F.lit(k) for k in range(LEVELS)]) if up else F.array(F.col("__own"))
+        leveled = r.withColumn("__own", level_of(F.col("end_r") - F.col("start_r") + 1))
+        own = _binned(leveled.withColumn("__level", F.explode(at(False))), F.col("start_r"), F.col("end_r")).withColumn("__up", F.lit(False))
+        up = _binned(leveled.withColumn("__level", F.explode(at(True))).filter("__level > __own"), F.col("start_r"), F.col("end_r")).withColumn("__up", F.lit(True))
+        keys = [*on, "__level", "__bin"]
+        listed = own.unionByName(up).drop("__own").repartition(buckets, *keys)
+        listed.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}").saveAsTable(name)
+        return cls(spark, name, on)
+
+    def probe(self, left: DataFrame, widen: int = 0) -> DataFrame:
+        """As `overlap_join` with the indexed rows on the right; `widen` is the flank within which an interval counts."""
+        left = left.filter("start is not null and `end` is not null")
+        l0, l1, r0, r1 = F.greatest(F.col("start") - widen, F.lit(0)), F.col("end") + widen, F.col("start_r"), F.col("end_r")
+        leveled = left.withColumn("__own", level_of(l1 - l0 + 1))
+        own = _binned(leveled.withColumn("__level", F.col("__own")), l0, l1).withColumn("__high", F.lit(False))
+        raised = leveled.withColumn("__level", F.explode(F.array(*map(F.lit, self.levels)).cast("array<int>"))).filter("__level > __own")
+        up = _binned(raised, l0, l1).withColumn("__high", F.lit(True))
+        first = F.col("__bin") == (F.greatest(l0, r0) / _width(F.col("__level"))).cast("long")
+        met = own.unionByName(up).join(self.rows, [*self.on, "__level", "__bin"]).filter(~(F.col("__up") & F.col("__high")) & (l0 <= r1) & (r0 <= l1) & first)
+        return met.select(*left.columns, *[c for c in self.rows.columns if c not in (*self.on, "__level", "__bin", "__up")])
+
+
 def self_overlaps(df: DataFrame, on: list[str], key: str, widen: int = 0) -> DataFrame:
     """Each overlapping pair of different rows once, the smaller key left."""
     return overlap_join(df, df, on, widen).filter(F.col(key) < F.col(f"{key}_r"))

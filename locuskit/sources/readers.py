@@ -135,6 +135,11 @@ def decisions(spark: SparkSession, path: str | list[str], schema: str) -> DataFr
     return df.groupBy("card_id").agg(F.max_by(F.struct(*[c for c in df.columns if c not in ("card_id", "row_idx")]), rank).alias("d")).select("card_id", "d.*")
 
 
+def records_of(spark: SparkSession, path: str | list[str], schema: str, keys: DataFrame, key: str) -> DataFrame:
+    """JSON lines whose key is among `keys`; only the columns of the schema are parsed. Lines that are no JSON are an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path).join(keys.select(key).distinct(), key, "left_semi")
+
+
 def evidence_kind(columns: list[str]) -> str | None:
     """What a table holds, by its header."""
     have = set(columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -29,15 +29,43 @@ def windowed_counts(events: DataFrame, time: str, by: str, length: str = "1 day"
     return at.groupBy(F.window("__t", length), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
-def decided(cards: DataFrame, decide: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "card_id") -> StreamingQuery:
-    """One decision for each card, appended once: a batch leaves out the cards that the sink already has, so that a restart or
-    a card that comes again changes nothing."""
+#: Partitions of a log by hash of the key.
+BUCKETS = 256
+
+
+def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def logged(spark: SparkSession, path: str, touched: list[int]) -> DataFrame | None:
+    """The rows of a log in the partitions touched, or None where there is no log yet: other partitions aren't read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+
+
+def best_records(records: DataFrame, key: str, valid: Column, order: str) -> DataFrame:
+    """One record for each key: the last valid one, or the last if none is valid."""
+    rank = F.struct(F.coalesce(valid, F.lit(False)), F.col(order))
+    return records.groupBy(key).agg(F.max_by(F.struct(*[c for c in records.columns if c != key]), rank).alias("r")).select(key, "r.*")
+
+
+def decided(cards: DataFrame, decide: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "card_id", buckets: int = BUCKETS, valid: str | None = None) -> StreamingQuery:
+    """Decisions of cards, appended to a log that is partitioned by hash of the key (`bucket`), with the number of their `batch`.
+
+    A batch leaves out the cards that the log already has, so that a restart, or a card that comes again, changes nothing; with
+    `valid`, a condition on decisions, only valid ones count as had, and the others are decided again. It reads the keys of
+    those partitions alone that its own cards fall into, which are as many as the batch has cards at most.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        new = df.dropDuplicates([key])
-        if spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
-            new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-        decide(new).write.mode("append").parquet(path)
+        new = df.dropDuplicates([key]).withColumn("__bucket", bucket_of(F.col(key), buckets))
+        touched = [r[0] for r in new.select("__bucket").distinct().collect()]  # at most `buckets` numbers
+        had = logged(df.sparkSession, path, touched) if touched else None
+        if had is not None:
+            new = new.join((had.filter(valid) if valid else had).select(key).distinct(), key, "left_anti")
+        if touched:
+            decide(new.drop("__bucket")).withColumns({"batch": F.lit(number).cast("long"), "bucket": bucket_of(F.col(key), buckets)}).write.mode("append").partitionBy("bucket").parquet(path)
 
     return cards.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
