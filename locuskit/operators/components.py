@@ -1,4 +1,4 @@
-"""Connected components by least labels with pointer jumping."""
+"""Connected components by star contractions, and descendants level by level."""
 
 from __future__ import annotations
 
@@ -8,28 +8,43 @@ from pyspark.sql import functions as F
 from locuskit.session import removed, written
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """One round over edges from a larger node (a) to a smaller one (b).
+
+    First every larger neighbour of a node is tied to the least node around it, then every node and its smaller neighbours to
+    the least of them. Both keep what is connected, and the edges become stars. Each step is a least value by key, combined
+    before the shuffle, and an equi join whose large keys Spark splits.
+    """
+    around = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    large = around.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    low = large.groupBy("a").agg(F.min("b").alias("m"))
+    small = large.join(low, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return small.union(low.select("a", F.col("m").alias("b"))).distinct()
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """`node`, `root` (the smallest node reachable) for every node; edges have columns a and b, each once or twice.
 
-    A round takes the least label around each node and then that label's own label; labels are written after each round, and
-    the rounds end when none changed. Aggregations combine before the shuffle, so a node of many edges is no hot group.
+    Rounds of contraction, written each time, until the edges stay as they are: the longest path halves with every round, and
+    what is already a star isn't joined with labels of all nodes again and again.
     """
     spark = nodes.sparkSession
-    both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
-    both, both_path = written(both, "edges")
-    labels, path = written(nodes.select("node", F.col("node").alias("root")).distinct(), "labels")
+    one = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
+    now, path = written(one, "edges")
+    before = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        least = labels.join(near, "node", "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("least"))
-        jump = least.select(F.col("node").alias("least"), F.col("least").alias("further"))
-        step = least.join(jump, "least", "left").select("node", F.coalesce("further", "least").alias("new"), "root")
-        step, new_path = written(step, "labels")
-        moved = step.filter("new <> root").limit(1).count()
+        step, next_path = written(_contracted(now), "edges")
         removed(spark, path)
-        labels, path = step.select("node", F.col("new").alias("root")), new_path
-        if not moved:
-            removed(spark, both_path)
-            return labels
+        now, path = step, next_path
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state == before or not state[0]:
+            break
+        before = state
+    roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out, _ = written(nodes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "labels")
+    removed(spark, path)
+    return out
 
 
 def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:

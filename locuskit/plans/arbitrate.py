@@ -12,6 +12,8 @@ from locuskit.session import written
 from locuskit.sources import evidence_tables, readers, writers
 
 JUNCTION_SCHEMA = "seqid string, start int, `end` int, strand string, sample string, reads int, hang int"
+#: Kinds of edges that alone don't make a long locus one place.
+WEAK = ("span_overlap", "protein_bridge", "RNA_junction_bridge")
 HIT_SCHEMA = "hit_id string, seqid string, strand string, start int, `end` int"
 
 
@@ -29,20 +31,27 @@ def candidates(spark: SparkSession, gffs: dict[str, str]) -> DataFrame:
 
 
 def arbitrate(
-    models: DataFrame, observed: DataFrame, hits: DataFrame, priority: list[str], rule: str = "first_listed", chunks: DataFrame | None = None, long_models: DataFrame | None = None, long_genes: DataFrame | None = None, active: frozenset[str] = frozenset({"short_read", "protein"})
+    models: DataFrame, observed: DataFrame, hits: DataFrame, priority: list[str], rule: str = "first_listed", chunks: DataFrame | None = None, long_models: DataFrame | None = None, long_genes: DataFrame | None = None, active: frozenset[str] = frozenset({"short_read", "protein"}), validation: DataFrame | None = None
 ) -> dict[str, DataFrame]:
-    """Tables of a run: junctions, audit, status, edges, loci, sets, calls, proposals.
+    """Tables of a run: junctions, audit, status, edges, loci, windows, sets, calls, proposals.
 
     `rule` chooses a set of each locus: "first_listed" takes the source of highest priority, "recommended" the best score
     (ties by priority). Sources that `priority` doesn't name come last, by name. With `chunks` (sequences), models are audited
-    first, and those that fail take no part; without, none is assessed. `long_models` (source, transcript, support, conflicts,
+    first, and those that fail take no part, nor do models of different genes of one source that share nine tenths of either;
+    without, a summary made elsewhere counts as the audit (`validation`: tx_id, quality, eligible; models it doesn't name stay),
+    else none is assessed. `windows` has the size of each locus and its risks. `long_models` (source, transcript, support, conflicts,
     risks) and `long_genes` (see cards.long_read_sets) are support by long reads. `active` are the kinds of evidence of the run.
     """
     spark = models.sparkSession
     every = models
     audit = models.select("tx_id", F.lit("not_assessed").alias("quality"), F.lit(True).alias("eligible"))
     if chunks is not None:
-        audit, _ = written(eligibility.audited_on(models, chunks).withColumnRenamed("status", "quality"), "audit")
+        judged = eligibility.with_conflicts(eligibility.audited_on(models, chunks), evidence.neighbour_conflicts(models), "tx_id")
+        audit, _ = written(judged.withColumnRenamed("status", "quality"), "audit")
+    elif validation is not None:
+        told = validation.select("tx_id", F.col("quality").alias("q"), F.col("eligible").alias("e"))
+        audit, _ = written(models.select("tx_id").join(told, "tx_id", "left").select("tx_id", F.coalesce("q", F.lit("not_assessed")).alias("quality"), F.coalesce("e", F.lit(True)).alias("eligible")), "audit")
+    if chunks is not None or validation is not None:
         models, _ = written(models.join(audit.filter("eligible").select("tx_id"), "tx_id", "left_semi"), "eligible")
     ok = evidence.supported(evidence.merged_junctions(observed))
     introns = models.select("tx_id", "seqid", "strand", F.explode("gaps").alias("g")).select("tx_id", "seqid", "strand", "g.*")
@@ -54,6 +63,12 @@ def arbitrate(
     first = placed.groupBy("root").agg(F.min(F.struct("seqid", "start", "end", "tx_id")).alias("first")).select("root", "first.seqid", "first")
     loci, _ = written(islands.numbered(first, ["first"], "k", ["seqid", F.floor(F.col("first.start") / islands.BIN)]).select("root", text.numbered_id("locus_", F.col("k"), 8).alias("locus_id")), "loci")
 
+    homes = placed.join(loci, "root").select("tx_id", "locus_id", "source", "gene_id", "start", "end")
+    tied = edges.select(F.col("a").alias("tx_id"), F.col("kind").isin(*WEAK).alias("weak")).join(homes.select("tx_id", "locus_id"), "tx_id").groupBy("locus_id").agg(F.bool_and("weak").alias("weak"))
+    sizes = homes.groupBy("locus_id").agg((F.max("end") - F.min("start") + 1).alias("span"), F.count("*").alias("models"), F.count_distinct("source").alias("sources"), F.count_distinct(F.when(F.col("source") == "current", F.col("gene_id"))).alias("current_genes"))
+    risks = rules.window_risks(F.col("span"), F.col("current_genes"), F.col("models"), F.col("sources"), F.coalesce("weak", F.lit(False)))
+    windows, _ = written(sizes.join(tied, "locus_id", "left").withColumn("window_risks", risks).drop("weak"), "windows")
+
     rank = F.array_position(F.array(*map(F.lit, priority)), F.col("source"))
     m = placed.join(loci, "root").join(status, "tx_id").join(audit.select("tx_id", "quality"), "tx_id").withColumn("hits", F.coalesce("hits", F.lit(0)))
     flags, risks, _ = rules.model_evidence(F.col("status"), F.col("introns"), F.col("alternatives"), F.col("hits"), F.size("coding"), F.size("blocks"), F.col("source"))
@@ -92,7 +107,7 @@ def arbitrate(
     action = rules.proposal_action(F.col("final_call"), F.col("models"), F.col("source") == "current", F.size("current_genes"))
     calls, _ = written(calls.withColumn("action", action).withColumn("relation", rules.relation(F.col("action"), F.size("current_genes"), F.size("genes"))), "calls")
     proposals = calls.filter("action in ('replace_current_with_selected_set', 'add_novel_selected_set')").select("locus_id", "action", F.explode("ids").alias("tx_id")).join(models, "tx_id")
-    return {"junctions": ok, "audit": audit, "models": every, "status": status, "edges": edges, "loci": placed.join(loci, "root").select("tx_id", "locus_id"), "sets": sets, "calls": calls, "proposals": proposals}
+    return {"junctions": ok, "audit": audit, "models": every, "status": status, "edges": edges, "loci": placed.join(loci, "root").select("tx_id", "locus_id"), "windows": windows, "sets": sets, "calls": calls, "proposals": proposals}
 
 
 def merged(models: DataFrame, run: dict[str, DataFrame]) -> DataFrame:

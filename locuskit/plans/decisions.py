@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuskit.functions import rules, text
+from locuskit.operators import tables
 from locuskit.plans.registry import query
 from locuskit.plans.views import table
+from locuskit.streaming.junctions import best_records
 
 #: Counts of a set, from a line's keys: column, SQL.
 _COUNTS = {
@@ -151,28 +153,28 @@ def r35_review_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(k.alias("card"), made["bucket"].alias("bucket"), made["rank"].alias("rank"))
 
 
-@query("WITH a AS (SELECT o_orderkey AS card, o_orderpriority AS p FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT l_orderkey AS card, count(*) AS n FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL), c AS (SELECT event_id AS card, event_type AS t FROM events WHERE event_id % 5 = 0) SELECT coalesce(a.card, b.card, c.card) AS card, coalesce(p, t, 'none') AS chosen, coalesce(n, 0) AS n FROM a FULL JOIN b ON a.card = b.card FULL JOIN c ON c.card = coalesce(a.card, b.card)", views=False)
+@query("WITH a AS (SELECT o_orderkey AS card, o_orderpriority AS p FROM orders), b AS (SELECT l_orderkey AS card, count(*) AS n FROM lineitem GROUP BY ALL), c AS (SELECT event_id * 3 AS card, event_type AS t FROM events) SELECT coalesce(a.card, b.card, c.card) AS card, coalesce(p, t, 'none') AS chosen, coalesce(n, 0) AS n FROM a FULL JOIN b ON a.card = b.card FULL JOIN c ON c.card = coalesce(a.card, b.card)", views=False)
 def j13_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of three tables by card, the first source preferred."""
-    a = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("card"), F.col("o_orderpriority").alias("p"))
-    b = table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("card")).agg(F.count("*").alias("n"))
-    c = table(spark, sf_dir, "events").filter("event_id % 5 = 0").select(F.col("event_id").alias("card"), F.col("event_type").alias("t"))
-    return a.join(b, "card", "full_outer").join(c, "card", "full_outer").select("card", F.coalesce("p", "t", F.lit("none")).alias("chosen"), F.coalesce("n", F.lit(0)).alias("n"))
+    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("card"), F.col("o_orderpriority").alias("chosen"))
+    b = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("card")).agg(F.count("*").alias("n"))
+    c = table(spark, sf_dir, "events").select((F.col("event_id") * 3).alias("card"), F.col("event_type").alias("chosen"))
+    return tables.preferred([a, b, c], "card").select("card", F.coalesce("chosen", F.lit("none")).alias("chosen"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT user_id AS card, max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) = 1 AS fast, max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) = 1 AS careful, count(DISTINCT event_type) AS n FROM events GROUP BY user_id", views=False)
 def a19_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One column group per profile, and the number of distinct answers."""
     e = table(spark, sf_dir, "events").withColumn("profile", F.when(F.col("event_type") == "click", "fast").when(F.col("event_type") == "view", "careful").otherwise("other"))
-    wide = e.groupBy("user_id").pivot("profile", ["fast", "careful"]).agg(F.count("event_id").alias("n"))
-    n = e.groupBy("user_id").agg(F.count_distinct("event_type").alias("n"))
-    return wide.join(n, "user_id").select(F.col("user_id").alias("card"), (F.coalesce("fast", F.lit(0)) > 0).alias("fast"), (F.coalesce("careful", F.lit(0)) > 0).alias("careful"), "n")
+    wide = tables.agreement(e, ["user_id"], "profile", ["fast", "careful"], "event_type")
+    return wide.select(F.col("user_id").alias("card"), (F.col("fast") > 0).alias("fast"), (F.col("careful") > 0).alias("careful"), "n")
 
 
 @query("SELECT user_id AS card, max_by(event_id, {'ok': value > 50, 'i': event_id}) AS kept FROM events GROUP BY user_id", views=False)
 def r29_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a card's records the last valid one, or the last."""
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("card")).agg(F.max_by("event_id", F.struct((F.col("value") > 50).alias("ok"), F.col("event_id"))).alias("kept"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("card"), "event_id", "value")
+    return best_records(e, "card", F.col("value") > 50, "event_id").select("card", F.col("event_id").alias("kept"))
 
 
 @query("SELECT event_id, array_to_string(list_filter([CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'unknown_decision' END, CASE WHEN k IS NULL THEN 'missing_selection' END, CASE WHEN k % 10 = 3 THEN 'selection_not_listed' END, CASE WHEN event_type = 'view' AND k % 2 = 0 THEN 'risk_not_allowed' END], lambda x: x IS NOT NULL), ';') AS errors FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events)", views=False)
@@ -182,23 +184,20 @@ def r28_decision_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = [
         (~F.col("event_type").isin("click", "view", "purchase"), "unknown_decision"), (F.col("k").isNull(), "missing_selection"), (F.col("k") % 10 == 3, "selection_not_listed"), ((F.col("event_type") == "view") & (F.col("k") % 2 == 0), "risk_not_allowed"),
     ]
-    return e.select("event_id", F.array_join(F.array_compact(F.array(*[F.when(c, w) for c, w in checks])), ";").alias("errors"))
+    return e.select("event_id", tables.broken_rules(*checks).alias("errors"))
 
 
 @query("SELECT l_orderkey AS locus, count(DISTINCT l_returnflag) > 1 AS flag_differs, count(DISTINCT l_linestatus) > 1 AS status_differs, count(DISTINCT l_quantity) > 1 AS quantity_differs, CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'evidence' WHEN count(DISTINCT l_quantity) > 1 THEN 'structure' ELSE 'none' END AS focus FROM lineitem GROUP BY l_orderkey", views=False)
 def a22_set_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which fields tell the sets of a locus apart, and what the decision turns on."""
-    n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[(F.count_distinct(c) > 1).alias(a) for c, a in (("l_returnflag", "flag_differs"), ("l_linestatus", "status_differs"), ("l_quantity", "quantity_differs"))])
+    n = tables.differing(table(spark, sf_dir, "lineitem"), ["l_orderkey"], {"flag_differs": "l_returnflag", "status_differs": "l_linestatus", "quantity_differs": "l_quantity"})
     return n.select(F.col("l_orderkey").alias("locus"), "flag_differs", "status_differs", "quantity_differs", F.when(F.col("flag_differs"), "evidence").when(F.col("quantity_differs"), "structure").otherwise("none").alias("focus"))
 
 
 @query("SELECT l_orderkey AS locus, CASE min(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 WHEN 'N' THEN 3 ELSE 4 END) WHEN 1 THEN 'R' WHEN 2 THEN 'A' WHEN 3 THEN 'N' END AS best FROM lineitem GROUP BY l_orderkey", views=False)
 def a24_best_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of ordered states; unknown ones come last."""
-    order = F.array(F.lit("R"), F.lit("A"), F.lit("N"))
-    at = F.nullif(F.array_position(order, F.col("l_returnflag")), F.lit(0))
-    best = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.coalesce(F.min(at), F.lit(4)).cast("int").alias("k"))
-    return best.select(F.col("l_orderkey").alias("locus"), F.get(order, F.col("k") - 1).alias("best"))
+    return tables.best_state(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_returnflag", ("R", "A", "N"), "best").select(F.col("l_orderkey").alias("locus"), "best")
 
 
 @query("SELECT l_orderkey AS locus, CASE WHEN sets = 1 THEN 'A' WHEN sets > 1 AND NOT conflict AND sources >= 3 AND top * 2 > n THEN 'B' ELSE 'decide' END AS gate FROM (SELECT l_orderkey, count(*) AS sets, sum(c)::BIGINT AS n, max(c) AS top, bool_or(f) AS conflict, sum(c)::BIGINT AS sources FROM (SELECT l_orderkey, l_returnflag, count(*) AS c, bool_or(l_discount > 0.09) AS f FROM lineitem GROUP BY ALL) GROUP BY l_orderkey)", views=False)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuskit.functions import intervals, text
-from locuskit.operators import components, islands, lineage
+from locuskit.operators import allocation, blocks, components, islands, lineage, tables
 from locuskit.plans.registry import query
 from locuskit.plans.views import exons, table, transcripts
 from locuskit.sources import readers, writers
@@ -96,52 +96,47 @@ def f14_subtree_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j24_parent_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children against their parents: missing ones and ones that disagree."""
     parents = table(spark, sf_dir, "customer").filter("c_custkey % 7 > 0").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    status = F.when(F.col("c_nationkey").isNull(), "missing_parent").when(F.col("c_nationkey") % 2 != F.col("o_orderkey") % 2, "other_strand").otherwise("ok")
-    return table(spark, sf_dir, "orders").join(parents, "o_custkey", "left").select("o_orderkey", status.alias("status"))
+    found = tables.parent_status(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), parents, "o_custkey", F.col("c_nationkey_p") % 2 != F.col("o_orderkey") % 2)
+    return found.select("o_orderkey", "status")
 
 
 @query("SELECT gene_id, source FROM (SELECT gene_id, source, count(DISTINCT l) AS n FROM (SELECT gene_id, source, e - s + 1 AS l FROM cds ) GROUP BY ALL) JOIN (SELECT gene_id, count(DISTINCT e - s + 1) AS total FROM cds GROUP BY ALL) USING (gene_id) WHERE n = total")
 def a17_supporting_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that have every coding length of a gene: relational division by two counts."""
     c = transcripts(spark, sf_dir).select("gene_id", "source", F.explode("coding").alias("b")).select("gene_id", "source", (F.col("b.end") - F.col("b.start") + 1).alias("l"))
-    n = c.groupBy("gene_id", "source").agg(F.count_distinct("l").alias("n"))
-    total = c.groupBy("gene_id").agg(F.count_distinct("l").alias("total"))
-    return n.join(total, "gene_id").filter("n = total").select("gene_id", "source")
+    item = c.select("gene_id", "source", F.concat_ws(":", "gene_id", F.col("l").cast("string")).alias("item"))
+    return blocks.supported_by_all(item, item, ["item"], "gene_id")
 
 
 @query("SELECT l_suppkey, gcd_step AS step FROM (SELECT l_suppkey, list_reduce(list_prepend(0::BIGINT, list(d)), lambda a, b: gcd(a, b)) AS gcd_step FROM (SELECT l_suppkey, k - lag(k) OVER (PARTITION BY l_suppkey ORDER BY k) AS d FROM (SELECT DISTINCT l_suppkey, l_partkey * 5 AS k FROM lineitem)) WHERE d IS NOT NULL GROUP BY l_suppkey)", views=False)
 def a26_numeric_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greatest common divisor of neighbouring differences, by Euclid's rule inside a fold."""
-    k = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_partkey") * 5).alias("k")).distinct()
-    d = k.select("l_suppkey", (F.col("k") - F.lag("k").over(W.partitionBy("l_suppkey").orderBy("k"))).alias("d")).filter("d is not null")
-    step = lambda p: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), F.coalesce(F.try_mod(p["a"], p["b"]), F.lit(0)).cast("long").alias("b")))
-    euclid = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), lambda p, _: step(p))["a"]
-    # The set of distinct differences is small; its fold needs no order.
-    return d.groupBy("l_suppkey").agg(F.aggregate(F.collect_set("d"), F.lit(0).cast("long"), lambda g, x: euclid(x, g)).alias("step"))
+    """Greatest common divisor of the differences between a key's numbers."""
+    k = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_partkey") * 5).alias("k"))
+    return islands.numeric_steps(k, ["l_suppkey"], "k")
 
 
-@query("SELECT c_nationkey, (max({'n': n, 's': -s})).s * -1 AS style, (max({'n': n, 's': -s})).n >= 0.3 * sum(n) AS dominant FROM (SELECT c_nationkey, c_custkey % 5 AS s, count(*) AS n FROM customer GROUP BY ALL) GROUP BY c_nationkey", views=False)
+@query("WITH n AS (SELECT c_nationkey, c_custkey % 100 >= 85 AS s, count(*) AS n, min(c_custkey) AS f FROM customer GROUP BY ALL) SELECT c_nationkey, s AS style, n AS genes, n >= 0.80 * t AND n >= 10 AS dominant FROM (SELECT *, sum(n) OVER (PARTITION BY c_nationkey) AS t, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, f) AS k FROM n) WHERE k = 1", views=False)
 def a28_dominant_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The commonest identifier style of a source and whether it dominates; ties go to the smallest."""
-    n = table(spark, sf_dir, "customer").groupBy("c_nationkey", (F.col("c_custkey") % 5).alias("s")).agg(F.count("*").alias("n"))
-    return n.groupBy("c_nationkey").agg(F.max(F.struct("n", (-F.col("s")).alias("s"))).alias("m"), F.sum("n").alias("t")).select("c_nationkey", (-F.col("m.s")).alias("style"), (F.col("m.n") >= 0.3 * F.col("t")).alias("dominant"))
+    """The commonest identifier style of a source, and whether it dominates: four fifths of the genes, and ten; of equals the first met."""
+    c = table(spark, sf_dir, "customer").withColumn("s", F.col("c_custkey") % 100 >= 85)
+    n = allocation.style_counts(c, ["c_nationkey"], ["s"], "c_custkey")
+    return n.select("c_nationkey", F.col("style.s").alias("style"), F.col("n").alias("genes"), ((F.col("n") >= allocation.DOMINANT * F.col("all")) & (F.col("n") >= allocation.SEVERAL)).alias("dominant"))
 
 
 @query("SELECT o_custkey AS locus, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS names, count(DISTINCT o_orderstatus) AS relations, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END) - count(DISTINCT CASE WHEN o_orderstatus = 'F' AND k > 0 THEN o_orderpriority END) AS retired FROM (SELECT *, max(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey, o_orderpriority) AS k FROM orders) GROUP BY o_custkey", views=False)
 def a16_locus_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old and new names of a locus and how many old ones are gone."""
-    g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
-        F.array_sort(F.collect_set("o_orderpriority")).alias("names"), F.count_distinct("o_orderstatus").alias("relations"),
-        F.collect_set(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))).alias("old"), F.collect_set(F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority"))).alias("new"),
-    )
-    return g.select(F.col("o_custkey").alias("locus"), F.array_join("names", ",").alias("names"), "relations", F.size(F.array_except("old", "new")).cast("long").alias("retired"))
+    o = table(spark, sf_dir, "orders")
+    g = tables.name_mapping(o, ["o_custkey"], "o_orderpriority", F.col("o_orderstatus") == "F").join(o.groupBy("o_custkey").agg(F.count_distinct("o_orderstatus").alias("relations")), "o_custkey")
+    return g.select(F.col("o_custkey").alias("locus"), F.array_join("names", ",").alias("names"), "relations", "retired")
 
 
 @query("SELECT p_brand AS key, p_partkey AS kept FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size > 25 THEN 0 ELSE 1 END, p_partkey DESC) AS k FROM part) WHERE k = 1", views=False)
 def u10_manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the new manifest over those of the old one, by key."""
-    p = table(spark, sf_dir, "part")
-    return p.groupBy(F.col("p_brand").alias("key")).agg(F.max_by("p_partkey", F.struct((F.col("p_size") > 25).alias("new"), F.col("p_partkey"))).alias("kept"))
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("key"), F.col("p_partkey").alias("kept"), F.col("p_size"))
+    last = lambda df: tables.first_of_key(df, ["key"], -F.col("kept")).select("key", "kept")
+    return tables.upserted(last(p.filter("p_size <= 25")), last(p.filter("p_size > 25")), ["key"])
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'GeneG' || lpad((k + (SELECT max(c_custkey) FROM customer))::VARCHAR, 8, '0') ELSE 'GeneG' || lpad(c_custkey::VARCHAR, 8, '0') END AS gene FROM (SELECT *, row_number() OVER (PARTITION BY c_acctbal < 0 ORDER BY c_custkey) AS k FROM customer)", views=False)

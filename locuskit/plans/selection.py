@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuskit.functions import intervals, rules, text
-from locuskit.operators import contracts, hierarchy, lineage
+from locuskit.operators import contracts, hierarchy, lineage, tables
 from locuskit.plans.cards import _K, _N, _card_sets
 from locuskit.plans.registry import query
 from locuskit.plans.views import table, transcripts
@@ -35,8 +35,8 @@ def f16_untouched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genes with a supported member of which no row names a removed id."""
     li = table(spark, sf_dir, "lineitem")
     names = F.array(F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")))
-    removed = F.array(F.lit("p1"), F.lit("p2"))
-    return li.groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag").isin("A", "R")).alias("ok"), F.bool_or(F.arrays_overlap(names, removed)).alias("hit")).filter("ok and not hit").select("l_orderkey")
+    removed = spark.createDataFrame([("p1",), ("p2",)], "name string")
+    return tables.without_named(li, ["l_orderkey"], names, removed, "name").groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag").isin("A", "R")).alias("ok")).filter("ok").select("l_orderkey")
 
 
 @query("SELECT p_partkey, p_brand, k FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 5, p_partkey % 5, CASE WHEN p_size % 3 = 0 THEN 0 ELSE 1 END, p_size % 4, p_partkey) AS k FROM part)", views=False)
@@ -51,8 +51,8 @@ def o05_model_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT gene_id, min(s) AS start, max(e) AS \"end\", count(*) AS models, string_agg(tx_id::VARCHAR, ',' ORDER BY s, tx_id) AS txs FROM tx GROUP BY gene_id")
 def a13_gene_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of proposed genes with their transcripts in order."""
-    t = transcripts(spark, sf_dir)
-    return t.groupBy("gene_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("models"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "tx_id"))), lambda x: x["tx_id"].cast("string")), ",").alias("txs"))
+    s = tables.spans(transcripts(spark, sf_dir))
+    return s.select("gene_id", "start", "end", "models", F.array_join(F.col("ids").cast("array<string>"), ",").alias("txs"))
 
 
 @query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN p_size % 4 = 0 THEN unnest(['none']) WHEN p_size % 4 = 1 THEN unnest(['internal_stop_present']) ELSE unnest(['phase_inconsistent', 'no_CDS_features']) END AS reason FROM part) GROUP BY reason".replace("CASE WHEN p_size % 4 = 0 THEN unnest(['none']) WHEN p_size % 4 = 1 THEN unnest(['internal_stop_present']) ELSE unnest(['phase_inconsistent', 'no_CDS_features']) END", "unnest(CASE WHEN p_size % 4 = 0 THEN ['none'] WHEN p_size % 4 = 1 THEN ['internal_stop_present'] ELSE ['phase_inconsistent', 'no_CDS_features'] END)"), views=False)

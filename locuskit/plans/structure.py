@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuskit.functions import intervals, sequence, text
-from locuskit.operators import islands
+from locuskit.operators import islands, tables
 from locuskit.plans.registry import query
 from locuskit.plans.views import exons, hits, introns, table, transcripts
 
@@ -205,8 +205,8 @@ def w04_exon_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT gene_id, max_by(tx_id, (e - s + 1) * 1000000 - tx_id) AS tx_id, max(e - s + 1) AS span FROM tx GROUP BY gene_id")
 def w05_longest_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    span = F.col("end") - F.col("start") + 1
-    return transcripts(spark, sf_dir).groupBy("gene_id").agg(F.max_by("tx_id", F.struct(span, -F.col("tx_id"))).alias("tx_id"), F.max(span).alias("span"))
+    t = transcripts(spark, sf_dir).select("gene_id", "tx_id", (F.col("end") - F.col("start") + 1).alias("span"))
+    return tables.first_of_key(t, ["gene_id"], -F.col("span"), F.col("tx_id"))
 
 
 @query("SELECT tx_id, CASE WHEN k = 1 THEN gene_id ELSE gene_id || '.dup' || lpad(k::VARCHAR, 2, '0') END AS unique_id FROM (SELECT tx_id, gene_id, row_number() OVER (PARTITION BY gene_id ORDER BY tx_id) AS k FROM tx)")
@@ -230,7 +230,7 @@ def w10_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT gene_id, d[len(d) // 2 + 1] AS step FROM (SELECT gene_id, list_sort(list(d)) AS d FROM (SELECT gene_id, s - lag(s) OVER (PARTITION BY gene_id ORDER BY s, tx_id) AS d FROM tx) WHERE d IS NOT NULL GROUP BY gene_id)")
 def w12_median_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = transcripts(spark, sf_dir).select("gene_id", (F.col("start") - F.lag("start").over(W.partitionBy("gene_id").orderBy("start", "tx_id"))).alias("d")).filter("d is not null")
-    return d.groupBy("gene_id").agg(F.array_sort(F.collect_list("d")).alias("d")).select("gene_id", F.element_at("d", (F.size("d") / 2).cast("int") + 1).alias("step"))
+    return islands.upper_median(d, ["gene_id"], "d", "step")
 
 
 @query("SELECT n_name, row_number() OVER (ORDER BY n_nationkey % 12, n_nationkey) AS place FROM nation", views=False)
@@ -242,16 +242,13 @@ def o01_natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT tx_id, CASE source WHEN 'ToolB' THEN 1 WHEN 'current' THEN 2 ELSE 3 END AS rank FROM tx")
 def o06_source_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = F.array(F.lit("ToolB"), F.lit("current"))
-    at = F.array_position(order, F.col("source"))
-    return exons(spark, sf_dir).select("tx_id", "source").distinct().select("tx_id", F.when(at > 0, at).otherwise(F.size(order) + 1).cast("int").alias("rank"))
+    return exons(spark, sf_dir).select("tx_id", "source").distinct().select("tx_id", tables.rank_in(F.col("source"), ("ToolB", "current")).alias("rank"))
 
 
 @query("SELECT gene_id, tx_id, k FROM (SELECT gene_id, tx_id, row_number() OVER (PARTITION BY gene_id ORDER BY n DESC, tx_id) AS k FROM tx) WHERE k <= 3")
 def o08_top_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.row_number().over(W.partitionBy("gene_id").orderBy(F.desc("n"), "tx_id"))
     t = exons(spark, sf_dir).groupBy("gene_id", "tx_id").agg(F.count("*").alias("n"))
-    return t.withColumn("k", k.cast("long")).filter("k <= 3").select("gene_id", "tx_id", "k")
+    return tables.top_of_key(t, ["gene_id"], 3, "k", F.desc("n"), F.col("tx_id")).select("gene_id", "tx_id", "k")
 
 
 @query("SELECT tx_id, row_number() OVER (ORDER BY seqid, s, e, tx_id) AS number FROM tx")

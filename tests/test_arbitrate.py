@@ -75,3 +75,33 @@ def test_run_with_sequences_and_long_reads(spark, tmp_path):
     assert set(sets) == {"current", "ToolA", "ToolC"} and sets["ToolA"].score > sets["ToolC"].score and sets["ToolA"]["pass"] == 1 and sets["ToolA"].exact == 1
     assert [(r.source, r.action) for r in run["calls"].collect()] == [("ToolA", "replace_current_with_selected_set")]
     assert run["junctions"].first().reads == 7
+
+
+def test_neighbours_of_one_source_take_no_part(spark, tmp_path):
+    """Two genes of one tool share nearly all of their place: neither is eligible; a summary made elsewhere does the same."""
+    codon = "ATG" + "GCA" * 28 + "TAA"
+    (tmp_path / "g.fa").write_text(">chr1\n" + "N" * 99 + codon + "N" * 70_000 + "\n")
+    files = {"current": gff("cur1", [(100, 189)], [(100, 189)]), "ToolA": gff("a1", [(100, 189)], [(100, 189)]) + gff("a2", [(103, 189)], [(103, 189)]), "ToolB": gff("b1", [(100, 189)], [(100, 189)])}
+    for name, rows in files.items():
+        (tmp_path / f"{name}.gff3").write_text("\n".join(rows) + "\n")
+    run = arbitrate.run_files(spark, {n: str(tmp_path / f"{n}.gff3") for n in files}, str(tmp_path / "out"), None, None, "recommended", str(tmp_path / "g.fa"))
+    audit = {r.tx_id.split(":")[1]: r for r in run["audit"].collect()}
+    assert [audit[k].eligible for k in ("cur1", "a1", "a2", "b1")] == [True, False, False, True]
+    assert "same_source_different_gene_high_overlap:ToolA:a2:a2.t01:overlap_bp_87" in audit["a1"].hard
+    assert {r.source for r in run["sets"].collect()} == {"current", "ToolB"}
+    (w,) = run["windows"].collect()
+    assert (w.span, w.models, w.sources, w.current_genes, w.window_risks) == (90, 2, 2, 1, [])
+    models = arbitrate.candidates(spark, {n: str(tmp_path / f"{n}.gff3") for n in files})
+    told = spark.createDataFrame([("ToolA:a1:a1.t01", "fail", False), ("ToolB:b1:b1.t01", "warning", True)], "tx_id string, quality string, eligible boolean")
+    run = arbitrate.arbitrate(models, spark.createDataFrame([], arbitrate.JUNCTION_SCHEMA), spark.createDataFrame([], arbitrate.HIT_SCHEMA), ["current"], validation=told)
+    assert {r.tx_id.split(":")[1]: r.quality for r in run["audit"].collect()} == {"cur1": "not_assessed", "a1": "fail", "a2": "not_assessed", "b1": "warning"}
+    assert "a1" not in {r.tx_id.split(":")[1] for r in run["models"].join(run["loci"], "tx_id").collect()}
+
+
+def test_long_locus_with_weak_edges_is_a_risk(spark, tmp_path):
+    (tmp_path / "current.gff3").write_text("\n".join(gff("c1", [(1, 100), (60_000, 120_000)], [])) + "\n")
+    (tmp_path / "ToolA.gff3").write_text("\n".join(gff("a1", [(200, 300), (50_000, 50_100)], [])) + "\n")
+    models = arbitrate.candidates(spark, {n: str(tmp_path / f"{n}.gff3") for n in ("current", "ToolA")})
+    run = arbitrate.arbitrate(models, spark.createDataFrame([], arbitrate.JUNCTION_SCHEMA), spark.createDataFrame([], arbitrate.HIT_SCHEMA), ["current"])
+    (w,) = run["windows"].collect()
+    assert w.window_risks == ["long_window_weak_bridge_only_for_AI", "window_span_above_hard_limit_for_AI"]
