@@ -42,7 +42,7 @@ def plain_gap(low, high, width, step, count, used):
 
 def plain_positions(new, current, reserved):
     """One gap after the other; identifiers are a letter and digits."""
-    part = lambda g: (g[:2], int(g[2:]), len(g) - 2)
+    part = lambda g: (p := g.rstrip("0123456789"), int(g[len(p) :]), len(g) - len(p))
     used = {}
     for g in [*reserved, *(g for _, _, g in current)]:
         used.setdefault(part(g)[0], set()).add(part(g)[1])
@@ -90,6 +90,19 @@ def test_positions(spark, monkeypatch, seed):
     assert got == want and len(set(got.values())) == len(got)
 
 
+def test_query_equals_plain_loop(spark):
+    """g09 over whole tables: one name space holds five sequences, so heads and tails of one lie among the numbers of others."""
+    from locuskit.catalog import QUERIES
+    from locuskit.plans.views import transcripts
+
+    sf = "/root/testdata/sf0.001"
+    t = transcripts(spark, sf).select("tx_id", "seqid", "source", "start", "end").collect()
+    current = [(x.seqid, x.start, f"GeneG{10 * x.tx_id:09d}") for x in t if x.source == "current"]
+    new = [(str(x.tx_id), x.seqid, x.start, x.end) for x in t if x.source == "ToolA"]
+    want = plain_positions(new, current, [])
+    assert len(want) > 300 and {x.new_id: x.gene_id for x in QUERIES["g09_positional_ids"](spark, sf).collect()} == want
+
+
 def test_known_runs_say_enough():
     """A gap that knows runs in narrow windows gives the numbers of one that knows all, or asks for more."""
     r, asked = random.Random(8), 0
