@@ -41,3 +41,12 @@ def test_planted_conversation(spark):
     got = {r.conv_id: r for r in chat.op8_chat_formatting(spark, "/root/testdata/sf0.001").collect()}
     said = "</s>[INST] ok [/INST]"
     assert got[-7].n_turns == 2 and got[-7].loss_chars == len(said) and got[-7].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_very_long_text(spark):
+    """A text of a megabyte full of control strings reads back, beside one without any; columns may be named like helpers."""
+    long = "</s>[INST] ok [/INST]\\-|" * 40_000
+    df = spark.createDataFrame([(1, 0, "user", "short", 0), (1, 1, "assistant", long, 1), (2, 0, "assistant", "y" * 1_000_000, 2)], "conv_id long, turn long, role string, text string, level int")
+    d = {r.conv_id: r for r in chat.digest(chat.format_chats(df)).collect()}
+    assert d[1].loss_chars == len(long) and d[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest() and d[1].n_turns == 2
+    assert d[2].loss_chars == 1_000_000 and d[2].loss_sha256 == hashlib.sha256(b"y" * 1_000_000).hexdigest()

@@ -52,8 +52,38 @@ def test_stages(spark):
 
 
 def test_run(spark):
+    """What each stage leaves of all that the one before left, by plain code, down to the tokens of every document."""
+    from tokenizers import Tokenizer
+
     got = corpus_pipeline.run(spark, SF)
-    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 0
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    docs = table(spark, SF, "documents")
+    trees = quality.train(docs, table(spark, SF, "labels"))
+    left = {r.doc_id: r.text for r in docs.collect() if trees.scores(quality.statistics([r.text or ""]))[0] >= 0.5}
+    first = {}
+    for i in sorted(left):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", left[i] or ""), i)
+    left = {i: left[i] for i in first.values()}
+    left = {i: left[i] for i, _, c in brute(list(left.items()), 5, 80) if i == c}
+    clean = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame([(i, t, len(t or "")) for i, t in left.items()], "doc_id long, text string, n_chars long")).collect()}
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces, held = {}, {}
+    for x in got.collect():
+        pieces.setdefault(x.doc_id, []).append((x.start, x.length, x.doc_tokens))
+        held.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    assert set(pieces) == set(clean) and len(clean) > 20
+    for i, t in clean.items():
+        n, at = len(whole.encode(t or "", add_special_tokens=False).ids) + 1, 0
+        for start, length, tokens in sorted(pieces[i]):
+            assert start == at and tokens == n
+            at += length
+        assert at == n
+    for parts in held.values():
+        ends = [0]
+        for offset, length in sorted(parts):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 4096
 
 
 def test_odd_tables(spark):

@@ -1,5 +1,7 @@
 """Rules, and propagation over a small link graph against plain Python."""
 
+from pyspark.sql import functions as F
+
 from locuskit.llm import url_filter
 
 
@@ -52,3 +54,12 @@ def test_many_trusted_hosts_dont_outweigh_few_blocked_ones(spark):
     pages = [(i, f"http://t{i}.org/", link("far.net")) for i in range(50)] + [(100, "http://x.com/de/", ""), (101, "http://farm.net/", link("x.com")), (102, "http://far.net/", "")]
     got = {r.id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got[101] == "block" and got[102] == "allow"
+
+
+def test_very_long_page_and_clashing_columns(spark):
+    """A page of thirty thousand links counts each; columns may be called like the operator's own."""
+    page = link("good.net") * 15_000 + link("x.com") * 15_000 + "<p>" + "z" * 1_000_000
+    pages = [(1, "https://long.net/", page, 1, "n", False), (2, "https://a.org/", link("long.net"), 2, None, True), (3, "http://x.com/de/", "", 3, "m", None), (4, "http://" + "h" * 100_000 + ".net/", None, 4, "", True)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, id int, links string, by_rule boolean").withColumnsRenamed({"id": "host"}).withColumn("rule", F.lit("r"))
+    got = {r.id: (r.verdict, r.rule) for r in url_filter.judge(df).collect()}
+    assert got[2] == ("allow", "org/") and got[3] == ("block", "com/de/") and got[1][1] is None and got[4] == ("allow", None)
