@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locuskit.functions import intervals, rules
-from locuskit.operators import components, evidence, islands, range_join
+from locuskit.operators import components, eligibility, evidence, islands, range_join
 from locuskit.plans.registry import query
 from locuskit.plans.views import exons, hits, introns, observed, transcripts
 from locuskit.session import written
@@ -136,6 +136,23 @@ def j19_neighbour_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.neighbour_conflicts(t)
 
 
+_ELIGIBLE = """, t AS (SELECT tx_id, CASE source WHEN 'current' THEN 'current' ELSE 'Tool' END AS src, seqid, gene_id, s, e, strand FROM tx),
+p AS (SELECT a.tx_id, b.tx_id AS other, least(a.e, b.e) - greatest(a.s, b.s) + 1 AS bp FROM t a JOIN t b ON a.src = b.src AND a.seqid = b.seqid AND a.strand = b.strand AND a.gene_id <> b.gene_id AND a.tx_id <> b.tx_id AND a.s <= b.e AND b.s <= a.e
+  WHERE (least(a.e, b.e) - greatest(a.s, b.s) + 1) / (a.e - a.s + 1) >= 0.9 OR (least(a.e, b.e) - greatest(a.s, b.s) + 1) / (b.e - b.s + 1) >= 0.9),
+h AS (SELECT tx_id, list('same_source_different_gene_high_overlap:' || other || ':overlap_bp_' || bp) AS l FROM p GROUP BY tx_id)
+SELECT t.tx_id, array_to_string(list_sort(list_concat(coalesce(l, []), CASE WHEN t.tx_id % 9 = 0 THEN ['no_CDS_features'] ELSE [] END)), ';') AS hard, l IS NULL AND t.tx_id % 9 > 0 AS eligible, CASE WHEN l IS NULL AND t.tx_id % 9 > 0 THEN 'pass' ELSE 'fail' END AS status FROM t LEFT JOIN h ON h.tx_id = t.tx_id"""
+
+
+@query(_ELIGIBLE)
+def r04_eligible_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of one source that share nearly all of their place, added to the hard reasons of an audit."""
+    t = transcripts(spark, sf_dir).withColumn("source", F.when(F.col("source") == "current", "current").otherwise("Tool"))
+    hard = F.when(F.col("tx_id") % 9 == 0, F.array(F.lit("no_CDS_features"))).otherwise(F.array().cast("array<string>"))
+    audit = t.select("tx_id", hard.alias("hard")).select("*", F.when(F.size("hard") > 0, "fail").otherwise("pass").alias("status"), (F.size("hard") == 0).alias("eligible"))
+    told = eligibility.with_conflicts(audit, evidence.neighbour_conflicts(t), "tx_id")
+    return told.select("tx_id", F.array_join("hard", ";").alias("hard"), "eligible", "status")
+
+
 @query(", c AS (SELECT seqid, s, max(tx_id) AS i FROM tx WHERE source = 'current' GROUP BY ALL) SELECT tx_id, (SELECT max_by(i, c.s) FROM c WHERE c.seqid = t.seqid AND c.s <= t.s) AS before, (SELECT min_by(i, c.s) FROM c WHERE c.seqid = t.seqid AND c.s > t.s) AS after FROM tx t WHERE source = 'ToolA'")
 def j22_as_of_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current models before and after each tool model: one sort each, no join."""

@@ -29,6 +29,25 @@ def s01_gff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row_idx", "seqid", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "strand", text.attribute(text.attribute_pairs(F.col("attributes")), "Parent").alias("parent"))
 
 
+@query("SELECT 't' || tx_id AS seqid, exon_no::INTEGER AS chunk_no, (1 + coalesce(sum(4 * (reads % 7 + 1)) OVER (PARTITION BY tx_id ORDER BY exon_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, repeat('ACGT', (reads % 7 + 1)::INTEGER) AS seq FROM exon")
+def s15_fasta_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of FASTA files as chunks with their sequence, number and place; headers are carried from bin to bin."""
+    x = exons(spark, sf_dir).select("tx_id", "exon_no", "reads", F.concat(F.lit("f"), (F.col("tx_id") % 3).cast("string")).alias("file"))
+    head = x.select("file", "tx_id").distinct().select("file", (F.col("tx_id") * 100).alias("row_idx"), F.concat(F.lit(">t"), F.col("tx_id").cast("string"), F.lit(" a sequence")).alias("line"))
+    body = x.select("file", (F.col("tx_id") * 100 + F.col("exon_no")).alias("row_idx"), F.repeat(F.lit("acgt"), (F.col("reads") % 7 + 1).cast("int")).alias("line"))
+    return readers.fasta(head.union(body), 4096)
+
+
+@query("SELECT 'lab|t' || tx_id AS hit_id, seqid, min(strand) AS strand, min(s) AS start, max(e) AS \"end\", count(*) AS parts FROM exon GROUP BY tx_id, seqid")
+def s16_protein_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of alignments with their hit: by Parent, or the hit before them on the sequence."""
+    x = exons(spark, sf_dir).select("tx_id", "exon_no", "seqid", "strand", "start", "end")
+    name = F.concat(F.lit("t"), F.col("tx_id").cast("string"))
+    hit = x.groupBy("tx_id", "seqid", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end")).select((F.col("tx_id") * 100).alias("row_idx"), "seqid", "strand", "start", "end", F.lit("match").alias("feature"), F.concat(F.lit("ID="), name).alias("attributes"))
+    part = x.select((F.col("tx_id") * 100 + F.col("exon_no")).alias("row_idx"), "seqid", "strand", "start", "end", F.lit("match_part").alias("feature"), F.when(F.col("tx_id") % 3 == 0, F.concat(F.lit("Parent="), name)).otherwise("Target=x").alias("attributes"))
+    return readers.protein_hits(hit.unionByName(part), "lab", 4096)
+
+
 @query("SELECT CASE WHEN reads = 49 THEN 'bounds' WHEN reads = 48 AND e > s THEN 'order' ELSE 'none' END AS reject, count(*) AS n FROM exon WHERE reads < 50 GROUP BY ALL")
 def s03_gff_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strict reader's counts of what it rejects."""
