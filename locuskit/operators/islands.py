@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locuskit.session import written
 
 #: Width of the bins into which a long key is cut, in units of the ordering column.
 BIN = 1 << 20
@@ -56,6 +57,7 @@ def merge_intervals(df: DataFrame, on: list[str], gap: int = 1, width: int = BIN
     null bound are left out.
     """
     ends = df.filter("start is not null and `end` is not null").groupBy(*on, F.col("start").cast("long").alias("start")).agg(F.max(F.col("end").cast("long")).alias("end"), F.count("*").alias("n"))
+    ends, _ = written(ends, "intervals")  # read twice for each of the two values that bins hand on
     binned = ends.withColumns({"__bin": F.floor(F.col("start") / width), "__kind": F.lit(1)})
     bins = binned.groupBy(*on, "__bin").agg(F.max("end").alias("end"))
     carried = bins.withColumn("end", F.max("end").over(W.partitionBy(*on).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1))).filter("`end` is not null").withColumn("__kind", F.lit(0))
