@@ -23,10 +23,42 @@ def running_junctions(observed: DataFrame) -> DataFrame:
     return observed.groupBy(*JUNCTION).agg(F.sum("reads").alias("reads"), F.max("hang").alias("hang"), F.size(F.collect_set("sample")).cast("long").alias("samples"))
 
 
-def windowed_counts(events: DataFrame, time: str, by: str, length: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Counts per tumbling window; rows later than the watermark are left out (an extension: the batch steps know no time)."""
+def windowed_counts(events: DataFrame, time: str, by: str, length: str = "1 day", late: str = "2 days", slide: str | None = None) -> DataFrame:
+    """Counts per window, which tumbles, or slides by `slide`; rows later than the watermark are left out (an extension: the
+    batch steps know no time)."""
     at = events.withColumn("__t", F.col(time).cast("timestamp")).withWatermark("__t", late)
-    return at.groupBy(F.window("__t", length), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
+    return at.groupBy(F.window("__t", length, slide), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
+
+
+def sessions(events: DataFrame, time: str, by: str, gap: str = "30 minutes", late: str = "2 days") -> DataFrame:
+    """Runs of a key's events with less than `gap` between neighbours: by, start, the last event's time and their number (an
+    extension). For complete or append mode; Spark doesn't update sessions that merge."""
+    at = events.withColumn("__t", F.col(time).cast("timestamp")).withWatermark("__t", late)
+    return at.groupBy(F.session_window("__t", gap), by).agg(F.count("*").alias("n"), F.max("__t").alias("last")).select(by, F.col("session_window.start").alias("start"), "last", "n")
+
+
+def accumulated(totals: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """A running aggregation as a folder of batches (`batch=0` and on): in update mode each holds the keys that it changed, in
+    complete mode the whole result. A batch that is run again after a failure replaces itself."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return totals.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str, schema: StructType, key: list[str]) -> DataFrame:
+    """The present state of what `accumulated` wrote in update mode: of each key the row of its last batch."""
+    held = spark.read.schema(StructType(schema.fields).add("batch", "long")).parquet(path)
+    return held.groupBy(*key).agg(F.max_by(F.struct(*[c for c in schema.names if c not in key]), "batch").alias("__r")).select(*key, "__r.*")
+
+
+def latest_whole(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The last batch of what `accumulated` wrote in complete mode. The number of batches is read from the folder's names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    last = max(int(f.getPath().getName().split("=")[1]) for f in found if f.getPath().getName().startswith("batch="))
+    return spark.read.schema(schema).parquet(f"{path}/batch={last}")
 
 
 #: Partitions of a log by hash of the key.
