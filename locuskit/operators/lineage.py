@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locuskit.functions import text
+from locuskit.functions import intervals, text
 from locuskit.operators.allocation import gap_numbers, gene_mapping, namespaces, nearest_free, parsed, positional_ids, style_ids  # noqa: F401
 
 #: What a pair scores that no row has: other sequence or strand.
@@ -81,6 +81,21 @@ def best_pairs(scores: dict[tuple[str, str], tuple], places: dict[tuple[str, str
     return sorted((y, x) if few is news else (x, y) for x, y in chosen)
 
 
+def structural_scores(old: DataFrame, new: DataFrame, by: str) -> DataFrame:
+    """Each old model (by, id, start, end, coding) of a locus against each new one: old_id, new_id, old_at, new_at and the vector
+    cds_bp, exact, ppm, span, near. Coding positions in common, equal coding blocks, the jaccard index of coding positions by the
+    million, positions of the spans in common, and the distance of their middles as a negative number."""
+    side = lambda df, s: df.select(by, *[F.col(c).alias(f"{s}_{c}") for c in ("id", "start", "end", "coding")])
+    p = side(old, "old").join(side(new, "new"), by)
+    bp = intervals.set_overlap(F.col("old_coding"), F.col("new_coding"))
+    union = intervals.length(F.col("old_coding")) + intervals.length(F.col("new_coding")) - bp
+    middle = lambda s: F.floor((F.col(f"{s}_start") + F.col(f"{s}_end")) / 2)
+    return p.select(
+        by, "old_id", "new_id", F.col("old_start").alias("old_at"), F.col("new_start").alias("new_at"), bp.alias("cds_bp"), F.size(F.array_intersect("old_coding", "new_coding")).cast("long").alias("exact"),
+        F.coalesce(F.floor(bp * 1_000_000 / F.nullif(union, F.lit(0))), F.lit(0)).cast("long").alias("ppm"), intervals.overlap(F.col("old_start"), F.col("old_end"), F.col("new_start"), F.col("new_end")).alias("span"), (-F.abs(middle("old") - middle("new"))).cast("long").alias("near"),
+    )
+
+
 def assign(scores: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """Assigned pairs (`by`, old_id, new_id) from rows (`by`, old_id, new_id, old_at, new_at, score columns).
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locuskit.functions import intervals, text
+from locuskit.functions import text
 from locuskit.operators import allocation, blocks, components, islands, lineage, tables
 from locuskit.plans.registry import query
 from locuskit.plans.views import exons, table, transcripts
+from locuskit.session import written
 from locuskit.sources import readers, writers
 
 
@@ -171,15 +172,8 @@ def w11_sequential_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """locus, old_id, new_id and the score vector of current against tool models of a window."""
     t = transcripts(spark, sf_dir).withColumn("locus", F.floor(F.col("tx_id") / 4))
-    side = lambda k, s: t.filter(k).select("locus", F.col("tx_id").cast("string").alias(f"{s}_id"), F.col("start").alias(f"{s}_s"), F.col("end").alias(f"{s}_e"), F.col("coding").alias(f"{s}_c"))
-    p = side("tx_id % 4 < 2", "old").join(side("tx_id % 4 >= 2", "new"), "locus")
-    bp = intervals.set_overlap(F.col("old_c"), F.col("new_c"))
-    union = intervals.length(F.col("old_c")) + intervals.length(F.col("new_c")) - bp
-    middle = lambda s: F.floor((F.col(f"{s}_s") + F.col(f"{s}_e")) / 2)
-    return p.select(
-        "locus", "old_id", "new_id", F.col("old_s").alias("old_at"), F.col("new_s").alias("new_at"), bp.alias("cds_bp"), F.size(F.array_intersect("old_c", "new_c")).cast("long").alias("exact"), F.coalesce(F.floor(bp * 1_000_000 / F.nullif(union, F.lit(0))), F.lit(0)).cast("long").alias("ppm"),
-        intervals.overlap(F.col("old_s"), F.col("old_e"), F.col("new_s"), F.col("new_e")).alias("span"), (-F.abs(middle("old") - middle("new"))).cast("long").alias("near"),
-    )
+    side = lambda k: t.filter(k).select("locus", F.col("tx_id").cast("string").alias("id"), "start", "end", "coding")
+    return lineage.structural_scores(side("tx_id % 4 < 2"), side("tx_id % 4 >= 2"), "locus")
 
 
 # Windows hold two models of either side at most, so the assignments of the smaller side are the shifts of the larger one.
@@ -197,6 +191,25 @@ w AS (SELECT locus, shift, row_number() OVER (PARTITION BY locus ORDER BY x1 DES
 SELECT o.locus, o.old_id::VARCHAR AS old_id, o.new_id::VARCHAR AS new_id FROM o JOIN w ON o.locus = w.locus AND o.shift = w.shift AND k = 1"""
 
 
+@query(_ASSIGNED[: _ASSIGNED.index("z AS (")].rstrip().rstrip(",") + " SELECT locus, old_id::VARCHAR AS old_id, new_id::VARCHAR AS new_id, bp AS cds_bp, exact, ppm::BIGINT AS ppm, span, near FROM q")
+def g07_lineage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What current and tool models of a place have in common: the vector by which lineage is assigned."""
+    return lineage_scores(spark, sf_dir).drop("old_at", "new_at")
+
+
+@query(_ASSIGNED.replace("SELECT o.locus, o.old_id::VARCHAR AS old_id, o.new_id::VARCHAR AS new_id FROM o", """SELECT o.locus, o.old_id::VARCHAR AS old_id, o.new_id::VARCHAR AS new_id,
+  CASE WHEN olds = 1 AND news = 1 THEN 'one_to_one_lineage' ELSE CASE WHEN news > 1 AND olds = 1 THEN 'split' WHEN olds > 1 AND news = 1 THEN 'merge' ELSE 'complex' END || CASE WHEN bp > 0 THEN '_maximum_cds_contribution' WHEN span > 0 THEN '_maximum_span_fallback' ELSE '_genomic_order_fallback' END END AS basis,
+  CASE WHEN olds = 1 AND news = 1 THEN 'deterministic_one_to_one_inheritance' WHEN bp > 0 THEN 'deterministic_cds_anchor' WHEN span > 0 THEN 'deterministic_span_fallback' ELSE 'deterministic_order_fallback' END AS status FROM o"""))
+def g08_anchor_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On what each inherited identifier rests: the locus' relation, then coding, span, or order."""
+    scores, _ = written(lineage_scores(spark, sf_dir), "lineage-scores")
+    sides = scores.groupBy("locus").agg(F.count_distinct("old_id").alias("olds"), F.count_distinct("new_id").alias("news"))
+    got = lineage.assign(scores, "locus", ["cds_bp", "exact", "ppm", "span", "near"]).join(sides, "locus").join(scores, ["locus", "old_id", "new_id"])
+    relation = F.when((F.col("olds") == 1) & (F.col("news") == 1), "one_to_one_replacement").when(F.col("olds") == 1, "split_replacement").when(F.col("news") == 1, "merge_replacement").otherwise("complex_replacement")
+    basis, status = lineage.anchor_status(relation, F.col("cds_bp"), F.col("span"))
+    return got.select("locus", "old_id", "new_id", basis.alias("basis"), status.alias("status"))
+
+
 @query(_ASSIGNED)
 def g06_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one lineage per locus by the greatest score vector (G06 to G08); tests weigh all assignments of larger loci."""

@@ -47,14 +47,27 @@ def junction_tables(df: DataFrame, reads: int, samples: int) -> DataFrame:
     return named.groupBy("seqid", "start", "end", "strand").agg(F.sum("reads").alias("reads"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names")).withColumn("samples", F.size("names"))
 
 
+def sources_with(spark: SparkSession, folder: str, name: str) -> list[str]:
+    """The folders below `folder` that hold a table `name`, a file or the parts of one, in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    below = [f.getPath() for f in fs.listStatus(at) if f.isDirectory()]
+    return sorted(p.getName() for p in below if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, name)))
+
+
 def long_read_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(models, genes) of a folder with a folder for each source. models: source, transcript, support, conflicts, risks; genes:
     source, gene_id, level, exact, partial, unsupported, conflicts, best, risks. The last row of a key counts."""
 
     def read(name: str) -> DataFrame:
-        raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).csv(folder, sep="\t", header=True, inferSchema=False)
-        own = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-        return raw.withColumn("__own", own).withColumn("row_idx", F.monotonically_increasing_id())
+        # A folder for each source, as many as a run has: columns are met by name, since their order may differ between sources.
+        parts = [spark.read.csv(f"{folder.rstrip('/')}/{own}/{name}", sep="\t", header=True, inferSchema=False).withColumn("__own", F.lit(own)) for own in sources_with(spark, folder, name)]
+        if not parts:
+            raise FileNotFoundError(f"no {name} in the folders of {folder}")
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.unionByName(part, allowMissingColumns=True)
+        return whole.withColumn("row_idx", F.monotonically_increasing_id())
 
     def pick(df: DataFrame, c: str) -> Column:
         return F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
