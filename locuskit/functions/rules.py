@@ -200,6 +200,25 @@ def change_class(relations: Column, action: Column, call: Column, fallback: Colu
     )
 
 
+#: What a change of a locus means, in the words of its summary.
+WITHOUT_CURRENT = ("no_current_arbitration_selection", "No base/current GFF was used; final IDs trace selected source models but do not replace current IDs.")
+CHANGES = {
+    "keep_current": "Current gene model is retained.",
+    "one_to_one_replacement": "One current gene is replaced by one proposal gene; current gene ID may be reused according to policy.",
+    "split_replacement": "One current gene is split into multiple final proposal genes.",
+    "merge_replacement": "Multiple current genes are merged into one final proposal gene.",
+    "complex_replacement": "Many-to-many or complex current/proposal replacement.",
+    "novel_gene": "Selected proposal is a novel/tool-only gene candidate with no current gene replacement.",
+}
+OTHER_CHANGE = "See mapping/proposal records for detailed provenance."
+
+
+def change_meaning(change: Column) -> Column:
+    """The sentence of a change class."""
+    words = F.create_map(*[F.lit(x) for k, v in (*CHANGES.items(), WITHOUT_CURRENT) for x in (k, v)])
+    return F.coalesce(F.try_element_at(words, change), F.lit(OTHER_CHANGE))
+
+
 def support_profile(n: dict[str, Column], active: frozenset[str] = frozenset({"short_read", "long_read", "protein"}), shared: Column | None = None, flags: Column | None = None) -> dict[str, Column]:
     """The words of a set's support, from the counts that `score` takes; `long_status` replaces `long_known` if it is given.
 

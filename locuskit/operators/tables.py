@@ -95,3 +95,14 @@ def without_named(df: DataFrame, on: list[str], names: Column, removed: DataFram
     """Rows whose key has no row that names (an array) anything in `removed` (name): exploded names meet it in a join."""
     hit = df.select(*on, F.explode(names).alias(name)).join(removed.select(name).distinct(), name, "left_semi").select(*on).distinct()
     return df.join(hit, on, "left_anti")
+
+
+def joined_fields(items: DataFrame, on: list[str], fields: Sequence[str], by: str = ";") -> DataFrame:
+    """One row for each key with a column per field: the field's distinct values in order of their first place, joined.
+
+    `items` has the key, field, place (anything that sorts) and value; blank values don't count. A value that comes often is
+    combined before the shuffle.
+    """
+    firsts = items.withColumn("value", F.trim("value")).filter("value <> ''").groupBy(*on, "field", "value").agg(F.min("place").alias("place"))
+    held = {f: F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("place", "value")))) for f in fields}
+    return firsts.groupBy(*on).agg(*[F.array_join(F.transform(x, lambda i: i["value"]), by).alias(f) for f, x in held.items()])

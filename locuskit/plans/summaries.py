@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuskit.operators import summaries
+from locuskit.operators import identifier_summary, summaries
 from locuskit.plans.registry import query
 from locuskit.plans.views import table, transcripts
 
@@ -65,3 +65,46 @@ def k17_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts and counters of a run as one JSON row."""
     metrics = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("orders:"), "o_orderstatus").alias("metric")).agg(F.count("*").alias("value"))
     return summaries.manifest({"run": "x", "mode": "SJ"}, metrics)
+
+
+_CHANGED = """WITH call AS (SELECT 'L' || c_custkey AS locus, c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'keep_current' WHEN 1 THEN 'replace' WHEN 2 THEN 'keep_current_flagged' ELSE '' END AS final_call, CASE c_nationkey % 3 WHEN 0 THEN 'novel' WHEN 1 THEN '' ELSE 'same' END AS relation,
+  CASE WHEN c_custkey % 3 = 0 THEN ['C:g9:t' || c_custkey] ELSE ['A:g' || c_nationkey || ':t1', 'B:g2', 'A:g' || c_nationkey || ':t1'] END AS ids, c_mktsegment AS seg, c_nationkey FROM customer),
+o AS (SELECT 'L' || o_custkey AS locus, * FROM orders),
+item AS (
+  SELECT locus, 'current' AS f, 0 AS a, o_orderkey AS b, unnest(CASE WHEN o_orderkey % 4 = 0 THEN ['r' || o_orderkey % 3] ELSE ['c' || o_orderkey % 6, 'c' || o_orderkey % 5] END) AS v, unnest(CASE WHEN o_orderkey % 4 = 0 THEN [0] ELSE [0, 1] END) AS c FROM o
+  UNION ALL SELECT locus, 'actions', 0, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'keep_current' WHEN 'O' THEN 'add_novel_selected_set' ELSE '' END, 0 FROM o
+  UNION ALL SELECT locus, 'pgenes', 1, o_orderkey, 'Proposal_' || o_orderkey % 7, 0 FROM o UNION ALL SELECT locus, 'pgenes', 0, o_orderkey, 'Proposal_g' || o_orderkey % 2, 0 FROM o WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT locus, 'flags', 0, o_orderkey, o_orderpriority, 0 FROM o UNION ALL SELECT locus, 'risks', 1, o_orderkey, left(o_orderpriority, 1), 0 FROM o UNION ALL SELECT locus, 'risks', 0, 0, seg, 0 FROM call
+  UNION ALL SELECT locus, 'final', 0, o_orderkey, 'G' || o_orderkey % 8, 0 FROM o WHERE o_orderkey % 5 = 0 UNION ALL SELECT locus, 'reuse', 0, o_orderkey, 'G' || o_orderkey % 8, 0 FROM o WHERE o_orderkey % 10 = 0
+  UNION ALL SELECT locus, 'relations', 0, o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'split_replacement' ELSE '' END, 0 FROM o WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT locus, 'tx', 0, o_orderkey, 'T' || o_orderkey % 9, 0 FROM o WHERE o_orderkey % 5 = 1
+  UNION ALL SELECT locus, 'models', 0, 0, unnest(ids), unnest(range(len(ids))) FROM call
+  UNION ALL SELECT locus, 'sources', 0, 0, CASE WHEN x LIKE 'A:%' AND c_custkey % 2 = 0 THEN 'toolA' ELSE split_part(x, ':', 1) END, c FROM (SELECT locus, c_custkey, unnest(ids) AS x, unnest(range(len(ids))) AS c FROM call)
+  UNION ALL SELECT locus, 'genes', 0, 0, split_part(x, ':', 2), c FROM (SELECT locus, unnest(ids) AS x, unnest(range(len(ids))) AS c FROM call)),
+firsts AS (SELECT locus, f, v, min({'a': a::BIGINT, 'b': b::BIGINT, 'c': c::BIGINT}) AS p FROM item WHERE v <> '' GROUP BY ALL), j AS (SELECT locus, f, string_agg(v, ';' ORDER BY p) AS s FROM firsts GROUP BY ALL),
+w AS (SELECT locus, @ FROM j GROUP BY locus),
+k AS (SELECT call.locus AS locus_id, CASE WHEN relations <> '' THEN relations WHEN actions = 'add_novel_selected_set' THEN 'novel_gene' WHEN actions <> '' THEN actions WHEN final_call LIKE 'keep_current%' THEN 'keep_current' WHEN relation <> '' THEN relation WHEN final_call <> '' THEN final_call ELSE 'unknown' END AS change_class, w.* EXCLUDE (locus) FROM call JOIN w ON w.locus = call.locus)
+SELECT locus_id, change_class, current AS current_gene_ids, reuse AS reuse_current_gene_ids, CASE WHEN final = '' AND change_class = 'keep_current' THEN current ELSE final END AS final_gene_ids, tx AS final_transcript_ids, pgenes AS proposal_gene_ids, models AS selected_model_ids, sources AS source_sources, genes AS source_gene_ids,
+  CASE change_class WHEN 'keep_current' THEN 'Current gene model is retained.' WHEN 'split_replacement' THEN 'One current gene is split into multiple final proposal genes.' WHEN 'novel_gene' THEN 'Selected proposal is a novel/tool-only gene candidate with no current gene replacement.' ELSE 'See mapping/proposal records for detailed provenance.' END AS replacement_interpretation,
+  flags AS review_flags, risks AS risk_tags FROM k""".replace("@", ", ".join(f"coalesce(max(s) FILTER (f = '{x}'), '') AS {x}" for x in ("current", "actions", "pgenes", "flags", "risks", "final", "reuse", "relations", "tx", "models", "sources", "genes")))
+
+
+@query(_CHANGED, views=False)
+def j16_identifier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each locus from its call, proposal records and both mappings."""
+    s = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    c, o, n, k = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), F.col("c_custkey"), F.col("o_orderkey")
+    calls = c.select(
+        s("L", n).alias("locus_id"), F.when(n % 4 == 0, "keep_current").when(n % 4 == 1, "replace").when(n % 4 == 2, "keep_current_flagged").alias("final_call"), F.when(F.col("c_nationkey") % 3 == 0, "novel").when(F.col("c_nationkey") % 3 == 2, "same").otherwise("").alias("relation_to_current"),
+        F.when(n % 3 > 0, s("A:g", F.col("c_nationkey"), ":t1, B:g2;A:g", F.col("c_nationkey"), ":t1")).alias("selected_real_model_ids"), s("C:g9:t", n).alias("selected_model_id"), F.col("c_mktsegment").alias("risk_tags"),
+    )
+    models = c.filter(n % 2 == 0).select(s("L", n).alias("locus_id"), s("A:g", F.col("c_nationkey"), ":t1").alias("model_id"), F.lit("toolA").alias("source"), F.lit("").alias("gene_id"))
+    row = o.withColumns({"locus_id": s("L", F.col("o_custkey")), "row_idx": k})
+    proposals = row.select(
+        "locus_id", "row_idx", F.when(F.col("o_orderstatus") == "F", "keep_current").when(F.col("o_orderstatus") == "O", "add_novel_selected_set").alias("proposal_action"), F.when(k % 4 > 0, s("c", k % 6, ",c", k % 5)).alias("current_gene_ids"), s("r", k % 3).alias("removed_current_gene_ids"),
+        s("V2PROP_", k % 7).alias("export_gene_id"), F.col("o_orderpriority").alias("review_flags"), F.left("o_orderpriority", F.lit(1)).alias("risk_tags"),
+    )
+    genes = row.filter(k % 5 == 0).select("locus_id", "row_idx", s("G", k % 8).alias("final_gene_id"), F.when(k % 2 == 0, "true").otherwise("false").alias("reuse_current_gene_id"), F.when(F.col("o_custkey") % 2 == 0, "split_replacement").otherwise("").alias("final_relation"), s("V2PROP_g", k % 2).alias("proposal_gene_id"))
+    tx = row.filter(k % 5 == 1).select("locus_id", "row_idx", s("T", k % 9).alias("final_transcript_id"))
+    got = identifier_summary.identifier_summary(calls, models, proposals, genes, tx)
+    return got.select("locus_id", "change_class", "current_gene_ids", "reuse_current_gene_ids", "final_gene_ids", "final_transcript_ids", "proposal_gene_ids", "selected_model_ids", "source_sources", "source_gene_ids", "replacement_interpretation", "review_flags", "risk_tags")

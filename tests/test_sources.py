@@ -109,3 +109,19 @@ def test_compressed_tables_and_their_digests(spark, tmp_path):
         writers.write_table(df, str(tmp_path / name), ["id", "v"], compressed=True)
     a, b = ([(r.bytes, r.sha256) for r in writers.digests(spark, str(tmp_path / n)).collect()] for n in ("a", "b"))
     assert a == b and len(a) == 1 and readers.table(spark, str(tmp_path / "a")).count() == 2
+
+
+def test_long_read_folders_whose_columns_differ(spark, tmp_path):
+    """Columns are met by name in each source; a folder without a table is passed over, and none at all is an error."""
+    import pytest
+
+    for own, text_ in (("a", "model_id\tsupport_class\tconflicting_chain_count\nt1\texact\t2\nt1\tpartial\t3\n"), ("b", "conflicting_chain_count\tmodel_id\trisk_tags\n1\tt2\tx;y\n"), ("c", "")):
+        (tmp_path / own).mkdir()
+        if text_:
+            (tmp_path / own / evidence_tables.BY_MODEL).write_text(text_)
+    with pytest.raises(FileNotFoundError):
+        evidence_tables.long_read_tables(spark, str(tmp_path))
+    (tmp_path / "a" / evidence_tables.BY_SET).write_text("locus_id\tsupport_level\ng\texact\n")
+    models, genes = evidence_tables.long_read_tables(spark, str(tmp_path))
+    assert sorted((r.source, r.transcript, r.support, r.conflicts, r.risks) for r in models.collect()) == [("a", "t1", "partial", 3, []), ("b", "t2", "", 1, ["x", "y"])]
+    assert [(r.source, r.gene_id, r.level) for r in genes.collect()] == [("a", "g", "exact")]

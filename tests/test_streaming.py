@@ -32,3 +32,25 @@ def test_windowed_counts(spark, tmp_path):
     q = stream.windowed_counts(stream.arriving(spark, str(tmp_path / "e"), df.schema), "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("windows").agg(F.sum("n")).first()[0] == df.count()
+
+
+def test_running_totals_go_on_after_a_restart(spark, tmp_path):
+    """New files after a stream has ended change only their own keys; a batch holds what it changed."""
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    schema = "seqid string, start long, `end` long, strand string, sample string, reads long, hang long"
+    for rows in ([("c", 1, 9, "+", "a", 2, 5), ("c", 20, 30, "-", "a", 1, 1)], [("c", 1, 9, "+", "b", 3, 7)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source, mode="append")
+        totals = stream.running_junctions(stream.arriving(spark, source, spark.read.parquet(source).schema, 1))
+        stream.accumulated(totals, out, check).awaitTermination(120)
+    assert [r.reads for r in spark.read.parquet(f"{out}/batch=1").collect()] == [5]
+    got = {r.start: (r.reads, r.hang, r.samples) for r in stream.latest(spark, out, totals.schema, ["seqid", "start", "end", "strand"]).collect()}
+    assert got == {1: (5, 7, 2), 20: (1, 1, 1)}
+
+
+def test_sessions_merge_across_batches(spark, tmp_path):
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    for times in (["2024-01-01 00:00:00", "2024-01-01 00:50:00"], ["2024-01-01 00:25:00", "2024-01-01 03:00:00"]):
+        spark.createDataFrame([(1, t) for t in times], "u long, t string").coalesce(1).write.parquet(source, mode="append")
+        found = stream.sessions(stream.arriving(spark, source, spark.read.parquet(source).schema, 1), "t", "u", "30 minutes")
+        stream.accumulated(found, out, check, "complete").awaitTermination(120)
+    assert sorted((str(r.start), str(r.last), r.n) for r in stream.latest_whole(spark, out, found.schema).collect()) == [("2024-01-01 00:00:00", "2024-01-01 00:50:00", 3), ("2024-01-01 03:00:00", "2024-01-01 03:00:00", 1)]
