@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from locuskit.plans import cards, decisions, evidence, export, inputs, public, release, selection, streams, structure, summaries  # noqa: F401
+from locuskit.plans import audits, cards, decisions, evidence, export, inputs, public, release, selection, streams, structure, summaries  # noqa: F401
 from locuskit.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "a07_model_junction_support"

@@ -61,6 +61,29 @@ def confidence(decision: Column, discriminator: Column) -> Column:
     return F.when(decision == "risk_flagged", "low").when(discriminator == "clear", "high").when(discriminator == "weak", "medium").otherwise("low")
 
 
+#: Words of a decision by rule.
+UNSETTLED, FLAGGED, LISTED = "unresolved_mutually_exclusive_candidate_sets", "risk_flagged_by_card_comparison", "selected_listed_annotation_set"
+
+
+def local_decisions(cards: DataFrame) -> DataFrame:
+    """Decisions without a question to anyone, one a card: card_id, decision, selected_set_id, confidence, reason_tags, risk_tags,
+    requires_validation.
+
+    Cards have card_id, `sets` (array of set_id, interpretation, component_fit, risks, in their order) and their comparison:
+    recommended_set_id, recommended_default, discriminator_status, main_conflict. A recommended set that the card doesn't list
+    gives way to its first one; a card without sets selects none.
+    """
+    listed = F.filter("sets", lambda x: x["set_id"] == F.col("recommended_set_id"))
+    chosen = cards.withColumn("__s", F.coalesce(F.get(listed, F.lit(0)), F.get("sets", F.lit(0))))
+    is_ = lambda c, v: shown(F.col(c)) == v
+    risky = is_("recommended_default", "risk_if_unresolved_conflict") & is_("discriminator_status", "conflicting") & ~is_("main_conflict", "none")
+    decision = F.when(risky, "risk_flagged").otherwise("select_annotation_set")
+    why = F.array(F.coalesce(F.nullif(F.col("__s.interpretation"), F.lit("")), F.lit(LISTED)), F.nullif(F.col("__s.component_fit"), F.lit("")))
+    reasons = F.when(risky, F.array(F.lit(UNSETTLED))).otherwise(F.array_sort(F.array_distinct(F.array_compact(why))))
+    risks = F.when(risky, F.array(F.lit(FLAGGED))).otherwise(F.coalesce("__s.risks", F.array().cast("array<string>")))
+    return chosen.select("card_id", decision.alias("decision"), shown(F.col("__s.set_id")).alias("selected_set_id"), confidence(decision, F.col("discriminator_status")).alias("confidence"), reasons.alias("reason_tags"), risks.alias("risk_tags"), F.lit(True).alias("requires_validation"))
+
+
 def decision_summary(records: DataFrame) -> DataFrame:
     """Rows of decisions (card_id, api_status, errors, decision, selected_set_id, tags, discriminator_status) as a table shows them."""
     errors = F.coalesce("errors", F.array().cast("array<string>"))

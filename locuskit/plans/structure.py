@@ -117,20 +117,20 @@ def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
 
 
-_GENOME = "WITH g AS (SELECT doc_id, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents)\n"
+GENOME = "WITH g AS (SELECT doc_id, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents)\n"
 
 
-@query(_GENOME + "SELECT doc_id, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS digest FROM g", views=False)
+@query(GENOME + "SELECT doc_id, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS digest FROM g", views=False)
 def x06_reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genome(spark, sf_dir).select("doc_id", F.md5(sequence.reverse_complement(F.col("seq"))).alias("digest"))
 
 
-@query(_GENOME + "SELECT doc_id, CASE WHEN length(seq) >= 60 THEN substr(seq, 11, 50) ELSE '' END AS part FROM g", views=False)
+@query(GENOME + "SELECT doc_id, CASE WHEN length(seq) >= 60 THEN substr(seq, 11, 50) ELSE '' END AS part FROM g", views=False)
 def x07_bounded_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genome(spark, sf_dir).select("doc_id", sequence.cut(F.col("seq"), F.lit(11), F.lit(60)).alias("part"))
 
 
-@query(_GENOME + """SELECT doc_id, length(cds)::BIGINT AS n, regexp_matches(left(cds, 3 * greatest((length(cds) // 3)::BIGINT - 1, 0)), '^(...)*?(TAA|TAG|TGA)') AS inner_stop,
+@query(GENOME + """SELECT doc_id, length(cds)::BIGINT AS n, regexp_matches(left(cds, 3 * greatest((length(cds) // 3)::BIGINT - 1, 0)), '^(...)*?(TAA|TAG|TGA)') AS inner_stop,
   right(cds, 3) IN ('TAA', 'TAG', 'TGA') AS stop, left(cds, 3) = 'ATG' AS start, (length(cds) % 3)::BIGINT AS rest FROM (SELECT doc_id, seq AS cds FROM g)""", views=False)
 def x09_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
     cds = F.col("seq")
@@ -139,7 +139,7 @@ def x09_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(_GENOME + """SELECT doc_id, CASE WHEN length(seq) >= 90 THEN x || '-' || y END AS motif, CASE WHEN length(seq) >= 90 THEN x || '-' || y IN ('GT-AG', 'GC-AG', 'AT-AC') END AS canonical
+@query(GENOME + """SELECT doc_id, CASE WHEN length(seq) >= 90 THEN x || '-' || y END AS motif, CASE WHEN length(seq) >= 90 THEN x || '-' || y IN ('GT-AG', 'GC-AG', 'AT-AC') END AS canonical
   FROM (SELECT doc_id, seq, left(i, 2) AS x, right(i, 2) AS y FROM (SELECT doc_id, seq, CASE doc_id % 2 WHEN 0 THEN substr(seq, 21, 70) ELSE reverse(translate(substr(seq, 21, 70), 'ACGT', 'TGCA')) END AS i FROM g))""", views=False)
 def x12_splice_motif(spark: SparkSession, sf_dir: str) -> DataFrame:
     strand = F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-")
