@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locuskit.functions import intervals
+from locuskit.functions import intervals, numbers
 from locuskit.functions.rules import compatible, junction_status
 from locuskit.operators.range_join import overlap_join, self_overlaps
 from locuskit.session import written
 
 #: Positions within which a boundary agrees, and within which a junction is near.
 BOUNDARY, NEARBY, LEAST_READS, LEAST_SAMPLES, LEAST_SHARE = 30, 500, 3, 1, 0.2
+#: Edges that are no strong sign of one place.
+MODERATE = ("span_overlap", "shared_splice_site", "terminal_boundary_difference_only")
 JUNCTION = ["seqid", "start", "end", "strand"]
 
 
@@ -94,49 +96,101 @@ def protein_support(models: DataFrame, hits: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.count("*").alias("hits"), F.min(F.struct((-bp).alias("bp"), F.col("hit_id_r"))).alias("b")).select(key, "hits", F.col("b.hit_id_r").alias("best_hit"), (-F.col("b.bp")).alias("best_bp"))
 
 
-def structural_edges(models: DataFrame, key: str = "tx_id", least: float = LEAST_SHARE) -> DataFrame:
-    """Typed edges a < b between overlapping models of compatible strands: one range join, then one row per kind that holds."""
+def _structural(models: DataFrame, key: str, least: float, told: bool) -> DataFrame:
+    """Edges a < b between overlapping models of compatible strands: kind, and where `told` strength and detail too, which are
+    not worked out otherwise."""
     # Both sides of a self-join read one written table.
     side, _ = written(models.select(key, "seqid", "strand", "start", "end", "blocks", "coding", "gaps"), "models")
     p = self_overlaps(side, ["seqid"], key).filter(compatible(F.col("strand"), F.col("strand_r")))
     bp = intervals.overlap(F.col("start"), F.col("end"), F.col("start_r"), F.col("end_r"))
-    share = F.greatest(bp / (F.col("end") - F.col("start") + 1), bp / (F.col("end_r") - F.col("start_r") + 1))
+    part = lambda end, start: bp / (F.col(end) - F.col(start) + 1)
+    mine, other = part("end", "start"), part("end_r", "start_r")
     a, b = F.col("gaps"), F.col("gaps_r")
     some = (F.size(a) > 0) & (F.size(b) > 0)
     same = some & (a == b)
-    kinds = [
-        (share >= least, "span_overlap"), (intervals.set_overlap(F.col("blocks"), F.col("blocks_r")) > 0, "exon_overlap"), (intervals.set_overlap(F.col("coding"), F.col("coding_r")) > 0, "CDS_overlap"),
-        (same, "identical_intron_chain"), (some & ~same & F.arrays_overlap(a, b), "shared_introns"), (some & ~same & F.arrays_overlap(intervals.sites(a), intervals.sites(b)), "shared_splice_site"),
-        (same & ((F.col("start") != F.col("start_r")) | (F.col("end") != F.col("end_r"))), "terminal_boundary_difference_only"),
-    ]
-    return p.select(F.col(key).alias("a"), F.col(f"{key}_r").alias("b"), F.explode(F.array_compact(F.array(*[F.when(c, k) for c, k in kinds]))).alias("kind"))
+    exon, cds = intervals.set_overlap(F.col("blocks"), F.col("blocks_r")), intervals.set_overlap(F.col("coding"), F.col("coding_r"))
+    sites, sites_r = intervals.sites(a), intervals.sites(b)
+    holds = {
+        "span_overlap": F.greatest(mine, other) >= least, "exon_overlap": exon > 0, "CDS_overlap": cds > 0, "identical_intron_chain": same, "shared_introns": some & ~same & F.arrays_overlap(a, b), "shared_splice_site": some & ~same & F.arrays_overlap(sites, sites_r),
+        "terminal_boundary_difference_only": same & ((F.col("start") != F.col("start_r")) | (F.col("end") != F.col("end_r"))),
+    }
+    if not told:
+        return p.select(F.col(key).alias("a"), F.col(f"{key}_r").alias("b"), F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in holds.items()]))).alias("kind"))
+    say = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    detail = {
+        "span_overlap": say("overlap_bp=", bp, ";frac_a=", numbers.fixed_text(mine, 4), ";frac_b=", numbers.fixed_text(other, 4)), "exon_overlap": say("overlap_bp=", exon), "CDS_overlap": say("overlap_bp=", cds), "identical_intron_chain": say("intron_count=", F.size(a)),
+        "shared_introns": say("shared_intron_count=", F.size(F.array_intersect(a, b))), "shared_splice_site": say("shared_site_count=", F.size(F.array_intersect(sites, sites_r))), "terminal_boundary_difference_only": F.lit("same_intron_chain_with_different_span"),
+    }
+    row = lambda k: F.struct(F.lit(k).alias("kind"), F.lit("moderate" if k in MODERATE else "strong").alias("strength"), detail[k].alias("detail"))
+    return p.select(F.col(key).alias("a"), F.col(f"{key}_r").alias("b"), F.explode(F.array_compact(F.array(*[F.when(c, row(k)) for k, c in holds.items()]))).alias("e")).select("a", "b", "e.*")
+
+
+def structural_edges(models: DataFrame, key: str = "tx_id", least: float = LEAST_SHARE) -> DataFrame:
+    """Typed edges a < b between overlapping models of compatible strands: one range join, then one row per kind that holds."""
+    return _structural(models, key, least, False)
 
 
 def gene_edges(models: DataFrame, key: str = "tx_id") -> DataFrame:
-    """Models of one gene and source, tied as a chain in order of their keys: the same components as all pairs, linear in size."""
+    """Models of one gene and source, tied as a chain in order of their keys: the same components as all pairs, linear in size.
+    Models without a gene or source are tied to none."""
     after = F.lead(key).over(W.partitionBy("source", "gene_id").orderBy(key))
-    return models.select(F.col(key).alias("a"), after.alias("b")).filter("b is not null").withColumn("kind", F.lit("same_source_gene"))
+    named = models.filter("source <> '' and gene_id <> ''")
+    return named.select(F.col(key).alias("a"), after.alias("b")).filter("b is not null").withColumn("kind", F.lit("same_source_gene"))
 
 
-def protein_bridges(models: DataFrame, hits: DataFrame, key: str = "tx_id") -> DataFrame:
-    """Models tied by a hit that both overlap: neighbours in order of their keys, the smallest hit of each pair."""
-    pairs = overlap_join(models.select(key, "seqid", "strand", "start", "end"), hits.select("hit_id", "seqid", F.col("strand").alias("hs"), "start", "end"), ["seqid"]).filter(compatible(F.col("strand"), F.col("hs_r")))
-    after = F.lead(key).over(W.partitionBy("hit_id_r").orderBy(key))
-    tied = pairs.select(F.col(key).alias("a"), after.alias("b"), F.col("hit_id_r").alias("hit_id")).filter("b is not null")
-    return tied.groupBy("a", "b").agg(F.min("hit_id").alias("hit_id")).withColumn("kind", F.lit("protein_bridge"))
+def protein_bridges(models: DataFrame, hits: DataFrame, key: str = "tx_id", flank: int = 0) -> DataFrame:
+    """Models of compatible strands tied by a hit that both overlap, whatever its strand, or come within `flank` of: a < b, the
+    smallest hit of each pair.
+
+    For each hit, models of one strand are tied as a chain in order of their keys, and the first of each strand to the first
+    that has none: the components of all compatible pairs, in linear size.
+    """
+    met = overlap_join(models.select(key, "seqid", "strand", "start", "end"), hits.select("hit_id", "seqid", "start", "end"), ["seqid"], widen=flank)
+    pairs, _ = written(met.select(F.col(key).alias("a"), "strand", F.col("hit_id_r").alias("hit_id")), "hit-models")
+    chain = pairs.withColumn("b", F.lead("a").over(W.partitionBy("hit_id", "strand").orderBy("a"))).filter("b is not null").select("a", "b", "hit_id")
+    firsts = pairs.groupBy("hit_id", "strand").agg(F.min("a").alias("k"))
+    free = firsts.filter("strand = '.'").select("hit_id", F.col("k").alias("free"))
+    across = firsts.filter("strand <> '.'").join(free, "hit_id").select(F.least("k", "free").alias("a"), F.greatest("k", "free").alias("b"), "hit_id")
+    return chain.union(across).groupBy("a", "b").agg(F.min("hit_id").alias("hit_id")).withColumn("kind", F.lit("protein_bridge"))
 
 
 def junction_bridges(models: DataFrame, junctions: DataFrame, key: str = "tx_id", window: int = NEARBY, boundary: int = BOUNDARY) -> DataFrame:
     """Disjoint neighbouring models that a junction joins: a is the left one. A band join, then a range join to the junctions
-    that lie about the gap; the smallest (start, end) of each pair is kept."""
+    that lie about the gap; the smallest (start, end) of each pair is kept, with its strand, and reads and samples if it has any."""
     side = models.select(key, "seqid", "strand", "start", "end")
     p = overlap_join(side, side, ["seqid"], widen=window + 1).filter((F.col("end") < F.col("start_r")) & compatible(F.col("strand"), F.col("strand_r")))
     gaps = p.select("seqid", F.col(key).alias("a"), F.col(f"{key}_r").alias("b"), F.col("start").alias("l0"), F.col("end").alias("l1"), F.col("start_r").alias("r0"), F.col("end_r").alias("r1"), F.col("strand").alias("s1"), F.col("strand_r").alias("s2"), F.col("end").alias("start"), F.col("start_r").alias("end"))
-    met = overlap_join(gaps, junctions.select(*JUNCTION), ["seqid"], widen=boundary)
+    more = [c for c in ("reads", "samples") if c in junctions.columns]
+    met = overlap_join(gaps, junctions.select(*JUNCTION, *more), ["seqid"], widen=boundary)
     near = lambda at, edge, low, high: (F.abs(F.col(at) - F.col(edge)) <= boundary) | F.col(at).between(F.col(low), F.col(high))
-    strand = (F.col("strand_r") == ".") | (F.col("s1") == ".") | (F.col("s2") == ".") | F.col("strand_r").isin(".") | (F.col("strand_r") == F.col("s1")) | (F.col("strand_r") == F.col("s2"))
+    strand = (F.col("strand_r") == ".") | (F.col("s1") == ".") | (F.col("s2") == ".") | (F.col("strand_r") == F.col("s1")) | (F.col("strand_r") == F.col("s2"))
     good = met.filter(near("start_r", "l1", "l0", "l1") & near("end_r", "r0", "r0", "r1") & strand & (F.col("start_r") < F.col("end_r")))
-    return good.groupBy("a", "b").agg(F.min(F.struct("start_r", "end_r")).alias("j")).select("a", "b", F.col("j.start_r").alias("start"), F.col("j.end_r").alias("end"), F.lit("RNA_junction_bridge").alias("kind"))
+    kept = good.groupBy("a", "b").agg(F.min(F.struct("start_r", "end_r", "strand_r", *[f"{c}_r" for c in more])).alias("j"))
+    return kept.select("a", "b", F.col("j.start_r").alias("start"), F.col("j.end_r").alias("end"), F.lit("RNA_junction_bridge").alias("kind"), F.col("j.strand_r").alias("strand"), *[F.col(f"j.{c}_r").alias(c) for c in more])
+
+
+def unit_edges(models: DataFrame, hits: DataFrame, junctions: DataFrame, key: str = "tx_id", least: float = LEAST_SHARE, flank: int = 0, window: int = NEARBY, boundary: int = BOUNDARY) -> DataFrame:
+    """The edges between models as a table, one row for each pair and type: model_id_a, model_id_b (in order of their text),
+    edge_type, edge_strength, seqid, strand, evidence_detail.
+
+    Structural edges are all pairs; models of a gene, and those of a hit, are tied by edges that span them. `strand` is that of
+    both models, else compatible_or_mixed; `seqid` that of the first.
+    """
+    say = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    at, _ = written(models.select(F.col(key).alias("k"), "seqid", "strand", "source", "gene_id"), "edge-models")
+    target = hits.select("hit_id", F.coalesce("target", F.lit("")).alias("target")) if "target" in hits.columns else hits.select("hit_id", F.lit("").alias("target"))
+    genes = gene_edges(models, key).join(at.select(F.col("k").alias("a"), "source", "gene_id"), "a").select("a", "b", "kind", F.lit("strong").alias("strength"), say("source=", F.col("source"), ";gene_id=", F.col("gene_id")).alias("detail"))
+    proteins = protein_bridges(models, hits, key, flank).join(target, "hit_id").select("a", "b", "kind", F.lit("moderate").alias("strength"), say("protein_hit=", F.col("hit_id"), ";target=", F.col("target")).alias("detail"))
+    joined = junction_bridges(models, junctions, key, window, boundary).join(at.select(F.col("k").alias("a"), "seqid"), "a")
+    name = F.format_string("%s:%d-%d:%s", "seqid", "start", "end", "strand")
+    rna = joined.select("a", "b", "kind", F.lit("strong").alias("strength"), say(name, ";support=", F.col("reads"), ";samples=", F.col("samples")).alias("detail"))
+    every = _structural(models, key, least, True).union(genes).union(proteins).union(rna)
+    left, right = at.select(F.col("k").alias("a"), "seqid", "strand"), at.select(F.col("k").alias("b"), F.col("strand").alias("strand_b"))
+    whole = every.join(left, "a").join(right, "b")
+    return whole.select(
+        F.least(F.col("a").cast("string"), F.col("b").cast("string")).alias("model_id_a"), F.greatest(F.col("a").cast("string"), F.col("b").cast("string")).alias("model_id_b"), F.col("kind").alias("edge_type"), F.col("strength").alias("edge_strength"), "seqid",
+        F.when(F.col("strand") == F.col("strand_b"), F.col("strand")).otherwise("compatible_or_mixed").alias("strand"), F.col("detail").alias("evidence_detail"),
+    )
 
 
 def neighbour_conflicts(models: DataFrame, key: str = "tx_id", threshold: float = 0.9) -> DataFrame:

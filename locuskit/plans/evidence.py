@@ -81,9 +81,16 @@ def j04_same_gene_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.gene_edges(exons(spark, sf_dir).select("tx_id", "source", "gene_id").distinct()).select("a", "b")
 
 
-@query(", o AS (SELECT tx_id, hit_id, lead(tx_id) OVER (PARTITION BY hit_id ORDER BY tx_id) AS n FROM tx t JOIN hit h ON t.seqid = h.seqid AND t.s <= h.e AND h.s <= t.e AND (t.strand = h.strand OR t.strand = '.' OR h.strand = '.')) SELECT tx_id AS a, n AS b, min(hit_id) AS hit_id FROM o WHERE n IS NOT NULL GROUP BY ALL")
+_BRIDGED = """, o AS MATERIALIZED (SELECT tx_id, t.strand, hit_id FROM tx t JOIN hit h ON t.seqid = h.seqid AND t.s <= h.e + 50 AND h.s - 50 <= t.e),
+f AS (SELECT hit_id, strand, min(tx_id) AS k FROM o GROUP BY ALL), link AS (SELECT hit_id, tx_id AS a, lead(tx_id) OVER (PARTITION BY hit_id, strand ORDER BY tx_id) AS b FROM o
+  UNION ALL SELECT x.hit_id, least(x.k, y.k), greatest(x.k, y.k) FROM f x JOIN f y ON x.hit_id = y.hit_id AND x.strand = '.' AND y.strand <> '.'), bridge AS (SELECT a, b, min(hit_id) AS hit_id FROM link WHERE b IS NOT NULL GROUP BY ALL)
+"""
+
+
+@query(_BRIDGED + "SELECT a, b, hit_id FROM bridge")
 def j05_protein_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.protein_bridges(transcripts(spark, sf_dir), hits(spark, sf_dir)).select("a", "b", "hit_id")
+    """Models that overlap one hit, or come near it, on strands that go together."""
+    return evidence.protein_bridges(transcripts(spark, sf_dir), hits(spark, sf_dir), flank=50).select("a", "b", "hit_id")
 
 
 _WIDE = ", wide AS (SELECT s, e + 700 AS e, strand FROM junction)\n"
@@ -103,6 +110,25 @@ def j06_junction_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.junction_bridges(t, _wide(spark, sf_dir), window=700).select("a", "b", "start", "end")
 
 
+_SUM = "coalesce(list_sum(flatten(list_transform(a.{0}, lambda u: list_transform(b.{0}, lambda v: greatest(0, least(u.e, v.e) - greatest(u.s, v.s) + 1))))), 0)::BIGINT"
+_TYPED = _PAIR.rstrip() + _BRIDGED.rstrip() + f""", q AS MATERIALIZED (SELECT a.tx_id AS a, b.tx_id AS b, least(a.e, b.e) - greatest(a.s, b.s) + 1 AS bp, a.e - a.s + 1 AS la, b.e - b.s + 1 AS lb, {_SUM.format("x")} AS xb, {_SUM.format("c")} AS cb, len(a.g) AS n,
+    len(list_filter(a.g, lambda u: len(list_filter(b.g, lambda v: u.s = v.s AND u.e = v.e)) > 0)) AS gb, len(list_intersect(list_distinct(flatten(list_transform(a.g, lambda u: [u.s, u.e]))), list_distinct(flatten(list_transform(b.g, lambda u: [u.s, u.e]))))) AS sb, a.k = b.k AND a.k <> '' AS same, a.s <> b.s OR a.e <> b.e AS moved
+  FROM ch a JOIN ch b ON a.w = b.w AND a.tx_id < b.tx_id WHERE a.s <= b.e AND b.s <= a.e AND (a.strand = b.strand OR a.strand = '.' OR b.strand = '.')),
+typed AS (SELECT a, b, 'span_overlap' AS edge_type, 'moderate' AS edge_strength, 'overlap_bp=' || bp || ';frac_a=' || format('{{:.4f}}', bp / la) || ';frac_b=' || format('{{:.4f}}', bp / lb) AS evidence_detail FROM q WHERE greatest(bp / la, bp / lb) >= 0.2
+  UNION ALL SELECT a, b, 'exon_overlap', 'strong', 'overlap_bp=' || xb FROM q WHERE xb > 0 UNION ALL SELECT a, b, 'CDS_overlap', 'strong', 'overlap_bp=' || cb FROM q WHERE cb > 0 UNION ALL SELECT a, b, 'identical_intron_chain', 'strong', 'intron_count=' || n FROM q WHERE same
+  UNION ALL SELECT a, b, 'shared_introns', 'strong', 'shared_intron_count=' || gb FROM q WHERE gb > 0 AND NOT same UNION ALL SELECT a, b, 'shared_splice_site', 'moderate', 'shared_site_count=' || sb FROM q WHERE sb > 0 AND NOT same
+  UNION ALL SELECT a, b, 'terminal_boundary_difference_only', 'moderate', 'same_intron_chain_with_different_span' FROM q WHERE same AND moved
+  UNION ALL SELECT a, b, 'same_source_gene', 'strong', 'source=' || source || ';gene_id=' || gene_id FROM (SELECT tx_id AS a, lead(tx_id) OVER (PARTITION BY source, gene_id ORDER BY tx_id) AS b, source, gene_id FROM tx) WHERE b IS NOT NULL
+  UNION ALL SELECT a, b, 'protein_bridge', 'moderate', 'protein_hit=' || hit_id || ';target=' FROM bridge)
+SELECT least(a::VARCHAR, b::VARCHAR) AS model_id_a, greatest(a::VARCHAR, b::VARCHAR) AS model_id_b, edge_type, edge_strength, x.seqid, CASE WHEN x.strand = y.strand THEN x.strand ELSE 'compatible_or_mixed' END AS strand, evidence_detail FROM typed JOIN tx x ON x.tx_id = a JOIN tx y ON y.tx_id = b"""
+
+
+@query(_TYPED)
+def g01_unit_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of edges between models with their strength and what they rest on (G01, G04, X16); no junction reaches from one place into the next here."""
+    return evidence.unit_edges(transcripts(spark, sf_dir), hits(spark, sf_dir), junctions(spark, sf_dir), flank=50)
+
+
 @query(_OK + f"""SELECT tx_id, s AS start, e AS "end", EXISTS (SELECT 1 FROM ok j WHERE j.seqid = i.seqid AND j.s = i.s AND j.e = i.e AND {_STRAND}) AS exact,
   EXISTS (SELECT 1 FROM ok j WHERE j.seqid = i.seqid AND j.s = i.s AND {_STRAND}) AS donor, EXISTS (SELECT 1 FROM ok j WHERE j.seqid = i.seqid AND j.e = i.e AND {_STRAND}) AS acceptor FROM intron i""")
 def j07_intron_support(spark: SparkSession, sf_dir: str) -> DataFrame:
