@@ -114,18 +114,21 @@ _SUM = "coalesce(list_sum(flatten(list_transform(a.{0}, lambda u: list_transform
 _TYPED = _PAIR.rstrip() + _BRIDGED.rstrip() + f""", q AS MATERIALIZED (SELECT a.tx_id AS a, b.tx_id AS b, least(a.e, b.e) - greatest(a.s, b.s) + 1 AS bp, a.e - a.s + 1 AS la, b.e - b.s + 1 AS lb, {_SUM.format("x")} AS xb, {_SUM.format("c")} AS cb, len(a.g) AS n,
     len(list_filter(a.g, lambda u: len(list_filter(b.g, lambda v: u.s = v.s AND u.e = v.e)) > 0)) AS gb, len(list_intersect(list_distinct(flatten(list_transform(a.g, lambda u: [u.s, u.e]))), list_distinct(flatten(list_transform(b.g, lambda u: [u.s, u.e]))))) AS sb, a.k = b.k AND a.k <> '' AS same, a.s <> b.s OR a.e <> b.e AS moved
   FROM ch a JOIN ch b ON a.w = b.w AND a.tx_id < b.tx_id WHERE a.s <= b.e AND b.s <= a.e AND (a.strand = b.strand OR a.strand = '.' OR b.strand = '.')),
+rna AS (SELECT a.tx_id AS a, b.tx_id AS b, a.seqid, min({{'s': j.s, 'e': j.e, 'd': j.strand, 'r': j.reads, 'n': j.samples}}) AS j FROM tx a JOIN tx b ON a.tx_id // 4 = b.tx_id // 4 AND a.e < b.s AND b.s - a.e - 1 <= 500 AND (a.strand = b.strand OR a.strand = '.' OR b.strand = '.')
+  JOIN junction j ON j.seqid = a.seqid AND j.s // 1000 = a.s // 1000 AND (abs(j.s - a.e) <= 30 OR j.s BETWEEN a.s AND a.e) AND (abs(j.e - b.s) <= 30 OR j.e BETWEEN b.s AND b.e) AND j.s < j.e AND (j.strand IN ('.', a.strand, b.strand) OR a.strand = '.' OR b.strand = '.') GROUP BY ALL),
 typed AS (SELECT a, b, 'span_overlap' AS edge_type, 'moderate' AS edge_strength, 'overlap_bp=' || bp || ';frac_a=' || format('{{:.4f}}', bp / la) || ';frac_b=' || format('{{:.4f}}', bp / lb) AS evidence_detail FROM q WHERE greatest(bp / la, bp / lb) >= 0.2
   UNION ALL SELECT a, b, 'exon_overlap', 'strong', 'overlap_bp=' || xb FROM q WHERE xb > 0 UNION ALL SELECT a, b, 'CDS_overlap', 'strong', 'overlap_bp=' || cb FROM q WHERE cb > 0 UNION ALL SELECT a, b, 'identical_intron_chain', 'strong', 'intron_count=' || n FROM q WHERE same
   UNION ALL SELECT a, b, 'shared_introns', 'strong', 'shared_intron_count=' || gb FROM q WHERE gb > 0 AND NOT same UNION ALL SELECT a, b, 'shared_splice_site', 'moderate', 'shared_site_count=' || sb FROM q WHERE sb > 0 AND NOT same
   UNION ALL SELECT a, b, 'terminal_boundary_difference_only', 'moderate', 'same_intron_chain_with_different_span' FROM q WHERE same AND moved
   UNION ALL SELECT a, b, 'same_source_gene', 'strong', 'source=' || source || ';gene_id=' || gene_id FROM (SELECT tx_id AS a, lead(tx_id) OVER (PARTITION BY source, gene_id ORDER BY tx_id) AS b, source, gene_id FROM tx) WHERE b IS NOT NULL
-  UNION ALL SELECT a, b, 'protein_bridge', 'moderate', 'protein_hit=' || hit_id || ';target=' FROM bridge)
+  UNION ALL SELECT a, b, 'protein_bridge', 'moderate', 'protein_hit=' || hit_id || ';target=' FROM bridge
+  UNION ALL SELECT a, b, 'RNA_junction_bridge', 'strong', seqid || ':' || j.s || '-' || j.e || ':' || j.d || ';support=' || j.r || ';samples=' || j.n FROM rna)
 SELECT least(a::VARCHAR, b::VARCHAR) AS model_id_a, greatest(a::VARCHAR, b::VARCHAR) AS model_id_b, edge_type, edge_strength, x.seqid, CASE WHEN x.strand = y.strand THEN x.strand ELSE 'compatible_or_mixed' END AS strand, evidence_detail FROM typed JOIN tx x ON x.tx_id = a JOIN tx y ON y.tx_id = b"""
 
 
 @query(_TYPED)
 def g01_unit_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of edges between models with their strength and what they rest on (G01, G04, X16); no junction reaches from one place into the next here."""
+    """The table of edges between models with their strength and what they rest on."""
     return evidence.unit_edges(transcripts(spark, sf_dir), hits(spark, sf_dir), junctions(spark, sf_dir), flank=50)
 
 
