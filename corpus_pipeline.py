@@ -35,8 +35,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    # Workers that other stages used keep their memory: a smaller cache of words, for the same result.
-    return packing.digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=150_000))
+    # Workers serve other stages too: a smaller cache of words that goes with its task, for the same result.
+    return packing.digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=150_000, lasting=False))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

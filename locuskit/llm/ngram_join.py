@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locuskit.llm.graph import components
-from locuskit.llm.shared import bounded_batches, discard, row_of, small, stash, stash_at, table, text_batches, text_or_empty
+from locuskit.llm.shared import bounded_batches, discard, leaving_nothing, row_of, small, stash, stash_at, table, text_batches, text_or_empty
 
 #: Counters of the frequency sketch (fixed: 16 MB), and of one slice of it.
 SKETCH, SLICE = 1 << 22, 1 << 15
@@ -60,6 +60,10 @@ def _hash_words(words: list[bytes]):
     return np.fromiter(map(known.__getitem__, words), dtype="u8", count=len(words))
 
 
+def _forget_words() -> None:
+    _word_hashes().clear()
+
+
 def _mix(x):
     import numpy as np
 
@@ -140,7 +144,7 @@ def _sketch(parts: DataFrame):
     import pyarrow as pa
 
     codec, out = pa.Codec("zstd"), np.zeros(SKETCH, dtype="u4")
-    for i, c in parts.repartition("slice").mapInArrow(_added, "slice int, counts binary").collect():
+    for i, c in parts.repartition("slice").mapInArrow(leaving_nothing(_added), "slice int, counts binary").collect():
         out[i * SLICE : (i + 1) * SLICE] = np.frombuffer(codec.decompress(bytes(c), decompressed_size=4 * SLICE, asbytes=True), dtype="u4")
     # What distinct rare grams add to each other's counters is about the median.
     noise = np.uint32(np.median(out))
@@ -425,7 +429,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataF
     texts = rows.join(named, "id", "left_semi")
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
     two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
-    return two.mapInArrow(lambda x: _verified(x, size, percent), "a long, b long")
+    return two.mapInArrow(leaving_nothing(lambda x: _verified(x, size, percent), _forget_words), "a long, b long")
 
 
 def _open(index: DataFrame) -> DataFrame:
@@ -448,7 +452,7 @@ def _judged(index: DataFrame, bits: DataFrame, percent: int, spanning: bool) ->
     each = _measured(index).join(bits, ["id", "n", "l"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other")})
     dealt = each.select(*columns).repartition("gram", "block_a", "block_b").sortWithinPartitions("gram", "block_a", "block_b", "block")
-    met = dealt.mapInArrow(lambda b: _candidates(b, percent, spanning), "a long, b long, needed long")
+    met = dealt.mapInArrow(leaving_nothing(lambda b: _candidates(b, percent, spanning)), "a long, b long, needed long")
     return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("needed").alias("needed")).filter("shared >= needed").select("a", "b")
 
 
@@ -462,14 +466,15 @@ def similar(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
     spark = df.sparkSession
     bounded_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    first, first_path = stash_at(rows.mapInArrow(lambda b: _summaries(b, size), "id long, n long, digest binary, slice int, counts binary"), "grams")
+    first, first_path = stash_at(rows.mapInArrow(leaving_nothing(lambda b: _summaries(b, size), _forget_words), "id long, n long, digest binary, slice int, counts binary"), "grams")
     sketch = spark.sparkContext.broadcast(_sketch(first.filter("slice is not null").select("slice", "counts")))
     docs = stash(first.filter("slice is null").select("id", "n", "digest"), "sets")
     discard(spark, first_path)
     classes = stash(docs.filter("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("rep")), "classes")
 
-    made = rows.mapInArrow(lambda b: _prefixes(b, size, percent, sketch), "id long, digest binary, n long, l int, bits binary, grams array<long>")
+    made = rows.mapInArrow(leaving_nothing(lambda b: _prefixes(b, size, percent, sketch), _forget_words), "id long, digest binary, n long, l int, bits binary, grams array<long>")
     reps, reps_path = stash_at(made.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]), "prefixes")
+    sketch.unpersist()
     bits = reps.select("id", "n", "l", "bits")
     # Postings of grams that at least two classes have, then of documents with a possible partner in the list.
     postings = reps.select(F.explode("grams").alias("gram"), "id", "n", "l")
@@ -477,7 +482,7 @@ def similar(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
     index, path = stash_at(postings.join(several, "gram", "left_semi").withColumn("comp", F.col("id")), "postings")
     for _ in range(PRUNINGS):
         dealt = _measured(index).repartition("gram", "block").sortWithinPartitions("gram", "block")
-        fewer, fewer_path = stash_at(dealt.mapInArrow(lambda b: _pruned(b, percent), "gram long, id long, comp long, n long, l int"), "postings")
+        fewer, fewer_path = stash_at(dealt.mapInArrow(leaving_nothing(lambda b: _pruned(b, percent)), "gram long, id long, comp long, n long, l int"), "postings")
         discard(spark, path)
         index, path = fewer, fewer_path
 

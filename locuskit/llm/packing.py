@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuskit.llm.shared import table, text_batches, text_or_empty
+from locuskit.llm.shared import leaving_nothing, table, text_batches, text_or_empty
 
 MAX_LENGTH, END_ID = 4096, 2
 #: Distinct words whose ids a task remembers in each of two generations, and the longest word that it remembers; a word is
@@ -103,19 +103,24 @@ def encoder(path: str, remembered: int = CACHE_WORDS) -> WordEncoder:
     return WordEncoder(path, remembered)
 
 
+def _forget_encoder() -> None:
+    encoder.cache_clear()
+
+
 def lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
     """Piece lengths of a document of n ids, longest first."""
     rest = n % longest
     return [longest] * (n // longest) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_LENGTH, end_id: int = END_ID, remembered: int = CACHE_WORDS) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_LENGTH, end_id: int = END_ID, remembered: int = CACHE_WORDS, lasting: bool = True) -> DataFrame:
     """One row per piece: `id`, `start`, `length`, `bucket` (log2 of length), `doc_tokens`, `ids` (little-endian unsigned
     32-bit), `sequence_id`, `offset` (0).
 
     A null or empty text is the end id alone; rows that repeat an id, or have none, are packed like any other. Sequence ids
     are unique and ordered by bucket; an empty table gives an empty result. `longest` must be a power of two. A task remembers
-    up to twice `remembered` words: fewer need less memory and more time, and give the same result.
+    up to twice `remembered` words: fewer need less memory and more time, and give the same result. Unless `lasting`, workers
+    keep neither words nor tokenizer from one task to the next, which takes them more time.
     """
     import pyarrow as pa
 
@@ -137,7 +142,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    made = rows.mapInArrow(cut, "id long, start long, length long, bucket int, doc_tokens long, ids binary")
+    made = rows.mapInArrow(cut if lasting else leaving_nothing(cut, _forget_encoder), "id long, start long, length long, bucket int, doc_tokens long, ids binary")
     return made.withColumns({"sequence_id": F.shiftleft(F.col("bucket").cast("long"), ROW_BITS) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 

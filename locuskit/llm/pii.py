@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuskit.llm.shared import bounded_batches, discard, row_of, small, stash, stash_at, table, text_batches
+from locuskit.llm.shared import bounded_batches, discard, leaving_nothing, row_of, small, stash, stash_at, table, text_batches
 
 # The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -234,7 +234,7 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str = "n_chars") -
             arrays[place] = pa.array(new, arrays[place].type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(leaving_nothing(run), schema)
 
 
 def _joined(spans):

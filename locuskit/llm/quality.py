@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuskit.llm.shared import BATCH_CHARS, bounded_batches, table, text_batches, text_or_empty
+from locuskit.llm.shared import BATCH_CHARS, bounded_batches, leaving_nothing, table, text_batches, text_or_empty
 
 #: At most this many labelled rows (those of the smallest hash) fit the trees.
 FIT_ROWS = 60_000
@@ -204,7 +204,7 @@ def keep_good(df: DataFrame, trees: Trees, threshold: float = 0.5, text_col: str
                 keep += (trees.scores(statistics(part)) >= threshold).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(leaving_nothing(run), df.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,3 +91,34 @@ def text_batches(batches, chars: int = BATCH_CHARS):
                 ids, texts, held = [], [], 0
         if ids:
             yield ids, texts
+
+
+def give_back() -> None:
+    """Return to the system what Arrow's pool and the C library keep of freed memory."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def leaving_nothing(run: Callable[[Iterator], Iterator], *forget: Callable[[], object]) -> Callable[[Iterator], Iterator]:
+    """`run` for mapInArrow, of which a worker keeps no memory once the task has ended: `forget` drops what it remembers.
+
+    Workers live on beside later stages, where the JVM needs the room.
+    """
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            give_back()
+
+    return whole

@@ -7,7 +7,7 @@ import public_tokenizers
 
 import corpus_pipeline
 from locuskit.llm import pii, quality
-from locuskit.llm.shared import table
+from locuskit.llm.shared import leaving_nothing, table
 
 from tests.llm.test_near_duplicates import brute
 
@@ -116,3 +116,41 @@ def test_odd_tables(spark):
     assert {r.text for r in got if r.doc_id == 2} == {"[EMAIL] and [PHONE]"} and {r.text[:9] for r in got if r.doc_id in (5, 6, 7)} == {"[PHONE] w"}
     pieces = stages["packing"](spark, odd, SF)
     assert {r.doc_id for r in pieces.collect()} == {r[0] for r in rows} and pieces.filter("doc_id = 1").count() == 2
+
+
+def test_workers_keep_nothing_of_a_stage(spark):
+    """A worker that encoded, hashed or packed texts has neither words nor tokenizer afterwards."""
+
+    def held(batches):
+        import pyarrow as pa
+
+        from locuskit.llm import ngram_join, packing
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([packing.encoder.cache_info().currsize]), pa.array([len(ngram_join._word_hashes())])], names=["encoders", "words"])
+
+    docs, probe = table(spark, SF, "documents"), spark.range(64).repartition(16)
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("near_dedup", "packing"):
+        stages[name](spark, docs, SF).count()
+        assert {tuple(r) for r in probe.mapInArrow(held, "encoders long, words long").collect()} == {(0, 0)}
+
+
+def test_what_is_remembered_goes_with_the_task():
+    dropped = []
+
+    def run(batches):
+        for b in batches:
+            yield b
+            if b == 2:
+                raise ValueError("as a task fails")
+
+    got = leaving_nothing(run, lambda: dropped.append(1))
+    assert list(got([0, 1])) == [0, 1] and dropped == [1]
+    seen = []
+    try:
+        seen.extend(got([1, 2, 3]))
+    except ValueError:
+        seen.append("failed")
+    assert seen == [1, 2, "failed"] and dropped == [1, 1]
