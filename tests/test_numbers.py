@@ -20,3 +20,10 @@ def test_texts_and_rounded_numbers(spark):
                 continue
             want = f"{r.x:.{digits}f}"
             assert (r.t == want or (r.x == 0 and r.t == want.lstrip("-"))) and r.r == float(want), (r.x, r.t, want)
+
+
+def test_a_number_is_worked_out_once(spark):
+    """Written in place, each step repeats the one before it, which made the text thousands of nodes large."""
+    plan = spark.range(3).select((F.col("id") / 3).alias("x")).filter("x > 0").select(numbers.fixed_text(F.col("x"), 4))
+    text = plan._jdf.queryExecution().analyzed().toString().splitlines()[0]
+    assert text.count("LOG2") <= 2 and len(text) < 10000
