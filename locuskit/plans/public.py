@@ -24,7 +24,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     seventh transcript is named by its exons alone."""
     t, x = transcripts(spark, sf_dir), exons(spark, sf_dir)
     s = lambda c: F.col(c).cast("string")
-    row = lambda df, at, feature, start, end, attrs: df.select(F.col("source").alias("file"), at.cast("long").alias("row_idx"), "seqid", F.lit("s").alias("source"), F.lit(feature).alias("feature"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(".").alias("score"), "strand", F.lit(".").alias("phase"), attrs.alias("attributes"))
+    row = lambda df, at, feature, start, end, attrs: df.select(F.col("source").alias("file"), at.cast("long").alias("row_idx"), "seqid", F.lit("s").alias("source"), F.lit(feature).alias("feature"), start.alias("start"), end.alias("end"), F.lit(".").alias("score"), "strand", F.lit(".").alias("phase"), attrs.alias("attributes"))
     genes = t.filter("substr(gene_id, 2) % 2 = 0").groupBy("source", "gene_id", "seqid").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("strand").alias("strand"), F.min("tx_id").alias("tx_id"))
     tx = t.filter("tx_id % 7 > 0")
     parent = F.when(F.col("tx_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(";Parent="), "gene_id"))

@@ -134,3 +134,15 @@ def test_difference_keys(spark):
     df = rows(spark, [([(1, [2]), (1, [2]), (0, [])], [(1, [2]), (3, [4])])], "a array<struct<x:int,y:array<int>>>, b array<struct<x:int,y:array<int>>>")
     d = df.select(public_cards.difference_keys(F.col("a"), F.col("b")).alias("d")).first().d
     assert [tuple(x) for x in d.only_left] == [(0, [])] and [tuple(x) for x in d.only_right] == [(3, [4])]
+
+
+def test_normaliser_queries_reach_beyond_31_bits(spark, tmp_path):
+    """Places of a sequence may lie beyond 2**31."""
+    from locuskit.plans import public
+
+    lines = [(k, 1, 1, n, 10.0, 1.0) for k in (9_000_003, 9_000_005, 9_000_007) for n in (1, 2)]
+    rows(spark, lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows(spark, [(k, 2, "F") for k in (9_000_003, 9_000_005, 9_000_007)], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    made = {x.attributes.split(";")[0]: (x.file, x.start, x.end) for x in public.k04_normalised_rows(spark, str(tmp_path)).collect()}
+    assert len(made) == 9 and made["ID=x9000003.t1"] == ("ToolC", 2_250_000_061, 2_250_000_130) and made["ID=x9000005.t1.exon.2"] == ("ToolA", 2_250_001_121, 2_250_001_130)
+    assert sorted((x.file, x.gene_count, x.original_exon_features) for x in public.r42_normaliser(spark, str(tmp_path)).collect()) == [("ToolA", 2, 2), ("ToolC", 1, 4)]
