@@ -11,10 +11,10 @@ from locuskit.operators import cards, components, eligibility, evidence, islands
 from locuskit.session import written
 from locuskit.sources import evidence_tables, readers, writers
 
-JUNCTION_SCHEMA = "seqid string, start int, `end` int, strand string, sample string, reads int, hang int"
+JUNCTION_SCHEMA = "seqid string, start long, `end` long, strand string, sample string, reads long, hang long"
 #: Kinds of edges that alone don't make a long locus one place.
 WEAK = ("span_overlap", "protein_bridge", "RNA_junction_bridge")
-HIT_SCHEMA = "hit_id string, seqid string, strand string, start int, `end` int"
+HIT_SCHEMA = "hit_id string, seqid string, strand string, start long, `end` long"
 
 
 def candidates(spark: SparkSession, gffs: dict[str, str]) -> DataFrame:
@@ -26,7 +26,7 @@ def candidates(spark: SparkSession, gffs: dict[str, str]) -> DataFrame:
     blocks = intervals.ordered(F.col("exons"))
     bare = intervals.ordered(F.transform("cds", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
     ident = F.concat_ws(":", text.safe_id(F.col("source")), text.safe_id(F.col("gene_id")), text.safe_id(F.col("tx_id")))
-    made = whole.filter("start is not null").select(ident.alias("tx_id"), "source", "gene_id", "seqid", "strand", "start", "end", blocks.alias("blocks"), F.coalesce(bare, F.array().cast("array<struct<start:int,end:int>>")).alias("coding"), F.when(F.size("cds") > 0, F.transform(intervals.coding_order(F.col("cds"), F.col("strand")), lambda b: b["phase"].try_cast("int"))).alias("phases"))
+    made = whole.filter("start is not null").select(ident.alias("tx_id"), "source", "gene_id", "seqid", "strand", "start", "end", blocks.alias("blocks"), F.coalesce(bare, F.array().cast("array<struct<start:long,end:long>>")).alias("coding"), F.when(F.size("cds") > 0, F.transform(intervals.coding_order(F.col("cds"), F.col("strand")), lambda b: b["phase"].try_cast("int"))).alias("phases"))
     return written(made.withColumn("gaps", intervals.proper_introns(F.col("blocks"))), "candidates")[0]
 
 

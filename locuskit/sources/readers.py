@@ -26,7 +26,7 @@ def gff_rows(df: DataFrame, strict: bool = False) -> DataFrame:
     comments and blank lines never count.
     """
     c = F.split("line", "\t")
-    number = lambda i: F.try_element_at(c, F.lit(i)).try_cast("double").try_cast("int")
+    number = lambda i: F.try_element_at(c, F.lit(i)).try_cast("double").try_cast("long")
     raw = df.filter("line is not null and trim(line) <> '' and not startswith(line, '#')").select(
         *[x for x in df.columns if x != "line"], F.size(c).alias("__n"), *[F.try_element_at(c, F.lit(i)).alias(n) for i, n in ((1, "seqid"), (2, "source"), (3, "feature"))],
         number(4).alias("__a"), number(5).alias("__b"), *[F.try_element_at(c, F.lit(i)).alias(n) for i, n in ((6, "score"), (7, "strand"), (8, "phase"), (9, "attributes"))],
@@ -65,8 +65,8 @@ def junctions(df: DataFrame, sample: Column) -> DataFrame:
     """Observations from lines of nine numbers by an aligner: codes of strand and motif are spelt out; reads are those that
     map once and those that map several times."""
     c = F.split("line", "\t")
-    n = lambda i: F.try_element_at(c, F.lit(i)).try_cast("int")
-    spelt = lambda i, words: F.coalesce(F.try_element_at(F.array(*map(F.lit, words)), n(i) + 1), F.lit("."))
+    n = lambda i, kind="long": F.try_element_at(c, F.lit(i)).try_cast(kind)
+    spelt = lambda i, words: F.coalesce(F.try_element_at(F.array(*map(F.lit, words)), n(i, "int") + 1), F.lit("."))
     out = df.select(c[0].alias("seqid"), n(2).alias("start"), n(3).alias("end"), spelt(4, STRANDS).alias("strand"), spelt(5, MOTIFS).alias("motif"), sample.alias("sample"), (n(7) + F.coalesce(n(8), F.lit(0))).alias("reads"), n(9).alias("hang"))
     return out.filter("start is not null and `end` is not null and reads is not null")
 

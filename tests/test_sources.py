@@ -125,3 +125,12 @@ def test_long_read_folders_whose_columns_differ(spark, tmp_path):
     models, genes = evidence_tables.long_read_tables(spark, str(tmp_path))
     assert sorted((r.source, r.transcript, r.support, r.conflicts, r.risks) for r in models.collect()) == [("a", "t1", "partial", 3, []), ("b", "t2", "", 1, ["x", "y"])]
     assert [(r.source, r.gene_id, r.level) for r in genes.collect()] == [("a", "g", "exact")]
+
+
+FAR = 2_250_000_000
+
+
+def test_rows_beyond_31_bits(spark):
+    lines = [(0, f"chr1\tx\texon\t{FAR}\t{FAR + 9}.0\t.\t+\t.\tID=a"), (1, f"chr1\tx\texon\t{FAR + 9}\t{FAR}\t.\t+\t.\tID=b")]
+    got = readers.gff_rows(spark.createDataFrame(lines, "row_idx long, line string")).select("row_idx", "start", "end").collect()
+    assert sorted(map(tuple, got)) == [(0, FAR, FAR + 9), (1, FAR, FAR + 9)]
