@@ -134,3 +134,9 @@ def test_rows_beyond_31_bits(spark):
     lines = [(0, f"chr1\tx\texon\t{FAR}\t{FAR + 9}.0\t.\t+\t.\tID=a"), (1, f"chr1\tx\texon\t{FAR + 9}\t{FAR}\t.\t+\t.\tID=b")]
     got = readers.gff_rows(spark.createDataFrame(lines, "row_idx long, line string")).select("row_idx", "start", "end").collect()
     assert sorted(map(tuple, got)) == [(0, FAR, FAR + 9), (1, FAR, FAR + 9)]
+
+
+def test_rejects_beyond_31_bits(spark):
+    lines = [(0, f"chr1\tx\texon\t{FAR}\t{FAR + 9}\t.\t+\t.\tID=a"), (1, f"chr1\tx\texon\t{FAR + 9}\t{FAR}\t.\t+\t.\tID=b")]
+    got = readers.gff_rows(spark.createDataFrame(lines, "row_idx long, line string"), strict=True).select("row_idx", "reject").collect()
+    assert sorted(map(tuple, got)) == [(0, None), (1, "order")]
