@@ -82,7 +82,7 @@ def truth(text: Column) -> Column:
 
 def whole_number(text: Column) -> Column:
     """Integers and decimals cut towards zero; anything else is 0."""
-    return F.coalesce(text.cast("string").try_cast("double").try_cast("int"), F.lit(0))
+    return F.coalesce(text.cast("string").try_cast("double").try_cast("long"), F.lit(0))
 
 
 def natural_key(text: Column) -> Column:

@@ -151,7 +151,7 @@ def x12_splice_motif(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x17_tolerant_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.when(F.col("event_id") % 3 == 0, "x").when(F.col("event_id") % 3 == 1, "12.7").otherwise(F.col("event_id").cast("string"))
     word = F.when(F.col("event_type") == "click", " Yes ").otherwise(F.col("event_type"))
-    return table(spark, sf_dir, "events").select("event_id", text.truth(word).alias("flag"), text.whole_number(v).alias("number"))
+    return table(spark, sf_dir, "events").select("event_id", text.truth(word).alias("flag"), text.whole_number(v).cast("int").alias("number"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events", views=False)

@@ -24,7 +24,7 @@ def junction_file(lines: DataFrame, sample: Column) -> DataFrame:
     at = {c: i for i, c in enumerate(head.split("\t"))}
     cells = F.split("line", "\t")
     value = lambda *names: F.coalesce(*[F.nullif(F.get(cells, F.lit(at[n])), F.lit("")) for n in names if n in at], F.lit(None).cast("string"))
-    number = lambda *names: F.coalesce(value(*names).try_cast("double").try_cast("int"), F.lit(0))
+    number = lambda *names: F.coalesce(value(*names).try_cast("double").try_cast("long"), F.lit(0))
     rows = lines.filter(F.col("line") != F.lit(head))
     return rows.select(
         F.coalesce(value("chrom", "seqid", "chr"), F.lit("")).alias("seqid"), number("intron_start_1based", "intron_start").alias("start"), number("intron_end_1based", "intron_end").alias("end"), F.coalesce(value("strand"), F.lit(".")).alias("strand"),

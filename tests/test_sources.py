@@ -140,3 +140,14 @@ def test_rejects_beyond_31_bits(spark):
     lines = [(0, f"chr1\tx\texon\t{FAR}\t{FAR + 9}\t.\t+\t.\tID=a"), (1, f"chr1\tx\texon\t{FAR + 9}\t{FAR}\t.\t+\t.\tID=b")]
     got = readers.gff_rows(spark.createDataFrame(lines, "row_idx long, line string"), strict=True).select("row_idx", "reject").collect()
     assert sorted(map(tuple, got)) == [(0, None), (1, "order")]
+
+
+def test_junctions_beyond_31_bits(spark):
+    row = ("chr1", str(FAR), f"{FAR + 9}.0", "", "20", "1", "s1")
+    names = "chrom intron_start_1based intron_end_1based strand junction_read_count sample_support_count supporting_samples"
+    (got,) = evidence_tables.junction_tables(spark.createDataFrame([row], names.replace(" ", " string, ") + " string"), 20, 1).collect()
+    assert (got.start, got.end, got.reads) == (FAR, FAR + 9, 20)
+    lines = [(0, names.split(" supp")[0].replace(" ", "\t")), (1, "\t".join(row[:6]))]
+    (told,) = evidence_tables.junction_file(spark.createDataFrame(lines, "row_idx long, line string"), F.lit("s")).collect()
+    (bare,) = evidence_tables.junction_file(spark.createDataFrame([(0, f"chr1\t{FAR}\t{FAR + 9}\t1\t1\t0\t4\t3\t30")], "row_idx long, line string"), F.lit("s")).collect()
+    assert {(r.start, r.end) for r in (told, bare)} == {(FAR, FAR + 9)}
