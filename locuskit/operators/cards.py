@@ -21,12 +21,18 @@ def source_rank(source: Column, order: tuple[str, ...] = ORDER) -> Column:
     return F.when(at > 0, at - 1).otherwise(len(order))
 
 
-def collapse(sets: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
+def _alike(c: Column | str) -> Column:
+    """Whether a group holds one value: by its least and greatest, since several distinct counts would multiply the rows."""
+    return F.min(c) == F.max(c)
+
+
+def collapse(sets: DataFrame, order: tuple[str, ...] = ORDER, keep: tuple[str, ...] = ()) -> DataFrame:
     """Sets of equal structure as one. `sets`: locus, set_id, source, cds and introns (sorted arrays that together are the key),
     exons, span, evidence (struct of rules.EVIDENCE), fit, risks.
 
     Out: locus, set_id and source of the representative, members, sources, scope, difference, evidence (the best state of each
-    kind), fit, risks (cleaned), interpretation. A set without structure stands for itself.
+    kind), fit, risks (cleaned), interpretation, and columns to `keep` of the representative. A set without structure stands
+    for itself.
     """
     alone = F.when((F.size("cds") == 0) & (F.size("introns") == 0) & (F.size("exons") == 0), F.col("set_id"))
     ranked = sets.withColumns({"__r": F.struct(source_rank(F.col("source"), order), F.col("set_id")), "__alone": alone})
@@ -36,15 +42,15 @@ def collapse(sets: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
         at = F.array_position(states, F.col(f"evidence.{field}"))
         best.append(F.min(F.when(at > 0, at).otherwise(len(rules.STATES[field]) + 1)).alias(f"__{field}"))
     g = ranked.groupBy("locus", "cds", "introns", "__alone").agg(
-        F.min_by(F.struct("set_id", "source", "fit"), "__r").alias("r"), F.array_sort(F.collect_list("set_id")).alias("members"), F.array_sort(F.collect_set("source")).alias("sources"),
-        F.count_distinct(F.struct("exons", "span")).alias("shapes"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("set_id", "risks"))), lambda x: F.coalesce(x["risks"], F.array().cast(rules.NO_TAGS)))).alias("all_risks"), *best,
+        F.min_by(F.struct("set_id", "source", "fit", *keep), "__r").alias("r"), F.array_sort(F.collect_list("set_id")).alias("members"), F.array_sort(F.collect_set("source")).alias("sources"),
+        _alike(F.struct("exons", "span")).alias("alike"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("set_id", "risks"))), lambda x: F.coalesce(x["risks"], F.array().cast(rules.NO_TAGS)))).alias("all_risks"), *best,
     )
     state = lambda f: F.get(F.array(*map(F.lit, rules.STATES[f])), F.col(f"__{f}") - 1).alias(f)
     one = F.size("members") == 1
     made = g.select(
-        "locus", "r.set_id", "r.source", "r.fit", "members", "sources", "cds", "introns",
-        F.when(one, "single_set").when(F.col("shapes") == 1, "CDS_intron_exon_identical").otherwise("CDS_intron_identical_UTR_or_span_differs").alias("scope"),
-        F.when(~one & (F.col("shapes") > 1), "UTR_or_transcript_span").otherwise("none").alias("difference"),
+        "locus", "r.set_id", "r.source", "r.fit", "members", "sources", "cds", "introns", *[f"r.{c}" for c in keep],
+        F.when(one, "single_set").when(F.col("alike"), "CDS_intron_exon_identical").otherwise("CDS_intron_identical_UTR_or_span_differs").alias("scope"),
+        F.when(~one & ~F.col("alike"), "UTR_or_transcript_span").otherwise("none").alias("difference"),
         F.struct(*[state(f) for f in rules.EVIDENCE]).alias("evidence"), rules.cleaned_tags(F.col("all_risks")).alias("risks"),
     )
     return made.withColumn("interpretation", rules.interpretation(F.col("evidence"), F.col("fit"), collapsed=True))
@@ -93,14 +99,14 @@ def structure_differences(sets: DataFrame, variable: DataFrame | None = None) ->
     `variable`: loci with components that sets have in different states.
     """
     inner = lambda c: F.transform(c, lambda m: F.when(F.size(m) > 2, F.slice(m, F.lit(2), F.greatest(F.size(m) - 2, F.lit(0)))).otherwise(F.slice(m, 1, 0)))
-    n = lambda c: F.count_distinct(c)
     g = sets.groupBy("locus").agg(
-        F.count("*").alias("sets"), *[n(F.col(c)).alias(f"__{c}") for c in ("cds", "introns", "exons")], *[n(inner(F.col(c))).alias(f"__{c}_in") for c in ("cds", "exons")],
-        n("gene_count").alias("__genes"), n("transcript_count").alias("__tx"),
+        F.count("*").alias("sets"), *[_alike(c).alias(f"__{c}") for c in ("cds", "introns", "exons")], *[_alike(inner(F.col(c))).alias(f"__{c}_in") for c in ("cds", "exons")],
+        _alike("gene_count").alias("__genes"), _alike("transcript_count").alias("__tx"),
     )
-    state = lambda c: F.when(F.col(f"__{c}") <= 1, "identical").when(F.col(f"__{c}_in") == 1, "terminal_only_difference").otherwise("different")
-    same = lambda c: F.when(F.col(c) <= 1, "same").otherwise("different")
-    out = g.select("locus", "sets", state("cds").alias("cds"), F.when(F.col("__introns") <= 1, "identical").otherwise("different").alias("intron_chain"), state("exons").alias("exon_structure"), same("__genes").alias("gene_count"), same("__tx").alias("transcript_count"))
+    whole = lambda c: F.coalesce(c, F.lit(True))
+    state = lambda c: F.when(whole(f"__{c}"), "identical").when(F.col(f"__{c}_in"), "terminal_only_difference").otherwise("different")
+    same = lambda c: F.when(whole(c), "same").otherwise("different")
+    out = g.select("locus", "sets", state("cds").alias("cds"), F.when(whole("__introns"), "identical").otherwise("different").alias("intron_chain"), state("exons").alias("exon_structure"), same("__genes").alias("gene_count"), same("__tx").alias("transcript_count"))
     out = out.withColumn("variable", F.lit(False)) if variable is None else out.join(variable.select("locus").distinct().withColumn("variable", F.lit(True)), "locus", "left").withColumn("variable", F.coalesce("variable", F.lit(False)))
     overall, relevance = rules.structure_overall(F.col("sets"), F.col("variable"), F.col("gene_count"), F.col("intron_chain"), F.col("cds"), F.col("exon_structure"))
     return out.withColumns({"overall": overall, "relevance": relevance})
@@ -109,9 +115,9 @@ def structure_differences(sets: DataFrame, variable: DataFrame | None = None) ->
 def evidence_differences(sets: DataFrame) -> DataFrame:
     """Per locus: kinds of evidence that all its sets share (as kind=state), and those in which they differ."""
     value = lambda f: F.nullif(F.col(f"evidence.{f}"), F.lit(""))
-    g = sets.groupBy("locus").agg(*[F.count_distinct(value(f)).alias(f"n_{f}") for f in rules.EVIDENCE], *[F.min(value(f)).alias(f"v_{f}") for f in rules.EVIDENCE])
-    listed = lambda c, v: F.array_compact(F.array(*[F.when(c(F.col(f"n_{f}")), v(f)) for f in rules.EVIDENCE]))
-    return g.select("locus", listed(lambda n: n == 1, lambda f: F.concat(F.lit(f"{f}="), F.col(f"v_{f}"))).alias("shared"), listed(lambda n: n > 1, F.lit).alias("differing"))
+    g = sets.groupBy("locus").agg(*[_alike(value(f)).alias(f"one_{f}") for f in rules.EVIDENCE], *[F.min(value(f)).alias(f"v_{f}") for f in rules.EVIDENCE])
+    listed = lambda c, v: F.array_compact(F.array(*[F.when(c(F.col(f"one_{f}")), v(f)) for f in rules.EVIDENCE]))
+    return g.select("locus", listed(lambda one: one, lambda f: F.concat(F.lit(f"{f}="), F.col(f"v_{f}"))).alias("shared"), listed(lambda one: ~one, F.lit).alias("differing"))
 
 
 def comparison(sets: DataFrame) -> DataFrame:
@@ -144,10 +150,10 @@ def auto_gates(sets: DataFrame, differences: DataFrame, order: tuple[str, ...] =
     rank = F.struct(F.coalesce(F.array_min(F.transform("sources", lambda s: source_rank(s, order))), F.lit(len(order))).alias("k"), "set_id")
     row = F.struct("set_id", "interpretation", "risks", F.size("sources").alias("n_sources"))
     every = F.array_distinct(F.flatten(F.collect_list("sources")))
-    g = sets.groupBy("locus").agg(F.count("*").alias("n"), F.first(row).alias("any"), F.min_by(row, rank).alias("first"), F.count_distinct(seen).alias("looks"), F.size(every).alias("all_sources"), F.collect_list(F.struct(fine.alias("fine"), rules.strong_risk(F.col("risks")).alias("risky"), row.alias("row"))).alias("rows"))
+    g = sets.groupBy("locus").agg(F.count("*").alias("n"), F.first(row).alias("any"), F.min_by(row, rank).alias("first"), _alike(seen).alias("alike"), F.size(every).alias("all_sources"), F.collect_list(F.struct(fine.alias("fine"), rules.strong_risk(F.col("risks")).alias("risky"), row.alias("row"))).alias("rows"))
     d = g.join(differences, "locus", "left")
     able = F.filter("rows", lambda x: x["fine"] & ~x["risky"] & (2 * x["row"]["n_sources"] > F.col("all_sources")))
-    alike = (F.col("overall") == "terminal_boundary_only") & (F.col("intron_chain") == "identical") & (F.col("gene_count") == "same") & (F.col("transcript_count") == "same") & ~F.col("variable") & (F.size("differing") == 0) & (F.col("looks") == 1)
+    alike = (F.col("overall") == "terminal_boundary_only") & (F.col("intron_chain") == "identical") & (F.col("gene_count") == "same") & (F.col("transcript_count") == "same") & ~F.col("variable") & (F.size("differing") == 0) & F.col("alike")
     calm = (F.coalesce("main_conflict", F.lit("none")) == "none") & ~F.coalesce("possible_split_merge", F.lit(False))
     dominant = calm & (F.col("all_sources") >= 3) & (F.size(able) == 1) & (F.size(F.filter("rows", lambda x: x["fine"])) == 1)
     gate = F.when(F.col("n") == 1, "Gate_A_single_set_after_CDS_intron_collapse").when(alike, "Gate_C_terminal_boundary_equivalent").when(dominant, "Gate_B_dominant_supported_set")

@@ -61,8 +61,7 @@ def _card_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collapsed sets with the structure and counts of their representatives."""
-    sets = _card_sets(spark, sf_dir)
-    return cards.collapse(sets).join(sets.select("locus", "set_id", "exons", "gene_count", "transcript_count"), ["locus", "set_id"])
+    return cards.collapse(_card_sets(spark, sf_dir), keep=("exons", "gene_count", "transcript_count"))
 
 
 _PROFILE = """SELECT l_orderkey AS locus, l_linenumber AS set_no,

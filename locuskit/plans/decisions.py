@@ -21,7 +21,9 @@ _COUNTS = {
 
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    # Dealt by locus while rows are narrow: sets, and all that is grouped by locus after them, need no further shuffle.
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("l_orderkey")
+    li = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.expr(e.replace("//", "DIV")).cast("long").alias(f"c_{n}") for n, e in _COUNTS.items()])
 
 
