@@ -63,9 +63,10 @@ def gene_blocks(lines: DataFrame) -> DataFrame:
     owner = F.when(F.col("is_gene"), F.col("name")).when(~F.col("direct"), F.col("owner"))
     children = found.withColumn("gene_id", owner).filter("gene_id is not null").groupBy("row_idx").agg(F.min_by("gene_id", "at").alias("gene_id"))
     tied = children.join(names, "gene_id").select("row_idx", F.col("gene_id").alias("block"), "gene_id", F.col("several").alias("ambiguous"))
-    every = genes.select("row_idx", "block", "gene_id", F.lit(False).alias("ambiguous")).union(tied)
+    # Narrow and read again and again: who belongs where is found once, and heads meet it before the raw lines do.
+    every, _ = written(genes.select("row_idx", "block", "gene_id", F.lit(False).alias("ambiguous")).union(tied), "tied")
     heads = genes.select("block", F.col("row_idx").alias("g_row"), "g_seqid", "g_start", "g_end", "g_strand", "g_line", "g_attrs")
-    return rows.join(every, "row_idx").join(heads, "block")
+    return rows.join(every.join(heads, "block"), "row_idx")
 
 
 def block_order(rows: DataFrame) -> DataFrame:

@@ -78,8 +78,9 @@ def k06_policy_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     c = table(spark, sf_dir, "customer")
     models = c.select(F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("model_id"), F.when(F.col("c_custkey") % 3 == 0, "full_junction_support").otherwise("none_observed").alias("rna_junction_status"))
-    none = spark.createDataFrame([], "export_gene_id string, source_model_id string")
-    support = spark.createDataFrame([], "locus_id string, cds_signature string, source string")
+    # Known to be empty when planned, so that no coding line is shuffled for a join that finds nothing.
+    none = spark.createDataFrame([], "export_gene_id string, source_model_id string").limit(0)
+    support = spark.createDataFrame([], "locus_id string, cds_signature string, source string").limit(0)
     made = blocks.policy_blocks(found, found, calls, none, models, support, "supported_novel_singletool_junction_supported")
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in blocks.IN_BLOCK.items() for x in kv]), F.col("feature")), F.lit(5))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "row_idx", "line"))), lambda x: x["line"]), "\n")

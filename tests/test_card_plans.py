@@ -1,4 +1,4 @@
-"""How the queries of cards are shuffled: once by locus, without rows multiplied for distinct counts."""
+"""How the queries of cards and of blocks are shuffled: once by locus, without rows multiplied for distinct counts, ties found once."""
 
 import re
 
@@ -22,3 +22,10 @@ def test_differences_with_missing_values(spark):
     given = [(1, "a", ("pass", "", None, "x")), (1, "b", ("fail", None, "exact", "x")), (2, "a", (None, None, None, None))]
     got = {r.locus: (r.shared, r.differing) for r in cards.evidence_differences(rows(spark, given, schema)).collect()}
     assert got == {1: (["long_read=exact", "protein=x"], ["coding_qc"]), 2: ([], [])}
+
+
+def test_lines_are_tied_to_their_blocks_once(spark):
+    from locuskit.plans import export
+
+    plan = export.k06_policy_blocks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
